@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat, mixing, sharding
+from tracemill.llm import chat, decontaminate, embeddings, mixing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, weights=(1, 2, 3), cap=3).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = embeddings.embedding_clusters(vectors, threshold=0.9)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.simhash_clusters(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "distance", "match_end")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -33,7 +50,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op7_chat_format, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op4_simhash, op6_decontamination, op7_chat_format, op8_sharding)}
 
 ORACLES = {
     "op1_mixing": r"""
