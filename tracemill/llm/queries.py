@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat, decontaminate, embeddings, mixing, sharding, simhash
+from tracemill.llm import chat, decontaminate, embeddings, html_text, langid, mixing, pii, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,22 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_text.extract_text(pages, F.col("html"), page_id=F.col("page_id"), url=F.col("url"))
+    return out.select("page_id", "url", "text", html_text.char_count(F.col("text")).alias("n_chars"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_clusters(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.personal_data(docs, F.col("text"), doc_id=F.col("doc_id"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -50,7 +61,30 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op4_simhash, op6_decontamination, op7_chat_format, op8_sharding)}
+def _remainder(n: int) -> Column:
+    """crc32 of the document id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(_remainder(4) != 2), F.col("doc_id"), F.col("text"), F.col("lang"))
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    return langid.identify(docs, model, F.col("text"), doc_id=F.col("doc_id"), held_out=held_out)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    # Labels of one document are counted once; those of other rows never reach the learner.
+    labels = labels.where((_remainder(5) != 0) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    net = quality.learn(docs.join(labels, "doc_id"), F.col("doc_id"), F.col("text"), F.col("quality"))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    out = quality.score(docs, net, F.col("text"), doc_id=F.col("doc_id"), held_out=held_out)
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_html_text, op4_simhash, op5_pii, op6_decontamination, op7_chat_format, op8_sharding, op9_language, op10_quality)}
 
 ORACLES = {
     "op1_mixing": r"""
