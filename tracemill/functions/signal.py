@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 
 def rms(samples: Column) -> Column:
@@ -68,18 +69,18 @@ def _decode(b: np.ndarray) -> np.ndarray:
     return np.where(b & 0x80, -m, m).astype(np.int16)
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def to_mulaw(pcm: pd.Series) -> pd.Series:
     """16-bit little-endian samples as 8-bit mu-law."""
     return pcm.map(lambda x: None if x is None else _encode(np.frombuffer(x, "<i2")).tobytes())
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def from_mulaw(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else _decode(np.frombuffer(x, np.uint8)).astype("<i2").tobytes())
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def to_mono(pcm: pd.Series) -> pd.Series:
     """Two interleaved channels as their mean."""
     return pcm.map(lambda x: None if x is None else np.frombuffer(x, "<i2").reshape(-1, 2).astype(np.int32).mean(1).astype("<i2").tobytes())
@@ -88,7 +89,7 @@ def to_mono(pcm: pd.Series) -> pd.Series:
 def resampler(source_rate: int, target_rate: int):
     """A UDF that resamples by linear interpolation."""
 
-    @pandas_udf("binary")
+    @pandas_udf(BinaryType())
     def resample(pcm: pd.Series) -> pd.Series:
         def one(x):
             if x is None:
@@ -105,7 +106,7 @@ def resampler(source_rate: int, target_rate: int):
 def drop_frames(frame_bytes: int, loss: float, burst: float, seed: int):
     """A UDF that silences the frames that the two-state model loses."""
 
-    @pandas_udf("binary")
+    @pandas_udf(BinaryType())
     def run(pcm: pd.Series) -> pd.Series:
         def one(x):
             if x is None:

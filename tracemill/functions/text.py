@@ -36,7 +36,7 @@ def denoise_free(c: Column, cap: int = 200) -> Column:
 
 
 def confirms(c: Column, words: Sequence[str] = CONFIRM_WORDS) -> Column:
-    return F.coalesce(c.rlike(r"(?i)\b(" + "|".join(words) + r")\b"), F.lit(False))
+    return F.coalesce(c.rlike(r"(?iU)\b(" + "|".join(words) + r")\b"), F.lit(False))
 
 
 def mentions(messages: Column, needle: Column) -> Column:
@@ -116,10 +116,12 @@ def char_grams(words: Column, lo: int, hi: int) -> Column:
         p = F.concat(F.lit(" "), word, F.lit(" "))
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(p) - n + 1)), lambda i: F.substr(p, i, F.lit(n)))
 
-    first = F.flatten(F.transform(words, lambda w: of(w, lo)))
-    # Longer grams stop at the first length that swallows the whole word.
-    rest = [F.flatten(F.transform(F.filter(words, lambda w, n=n: F.length(w) + 2 >= n), lambda w, n=n: of(w, n))) for n in range(lo + 1, hi + 1)]
-    return F.concat(first, *rest)
+    def grams(n: int) -> Column:
+        # A longer gram skips words that a shorter one has swallowed whole.
+        fits = words if n == lo else F.filter(words, lambda w: F.length(w) + 2 >= n)
+        return F.flatten(F.transform(fits, lambda w: of(w, n)))
+
+    return F.concat(*[grams(n) for n in range(lo, hi + 1)])
 
 
 def merge_chunks(chunks: Column) -> Column:

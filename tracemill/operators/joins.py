@@ -123,7 +123,8 @@ def compose(sets: Sequence[DataFrame], name: str, valid: Column | None = None) -
     """All choices of at most one option from each set, as sorted arrays; the sets are small by nature."""
     out = None
     for k, s in enumerate(sets):
-        options = s.select(F.col(name).alias(f"o{k}")).unionByName(s.sparkSession.createDataFrame([(None,)], s.select(F.col(name).alias(f"o{k}")).schema))
+        nothing = s.sparkSession.range(1, numPartitions=1).select(F.lit(None).cast(s.schema[name].dataType).alias(f"o{k}"))
+        options = s.select(F.col(name).alias(f"o{k}")).unionByName(nothing).coalesce(1)
         out = options if out is None else out.crossJoin(options)
     combo = F.array_sort(F.array_compact(F.array(*[F.col(f"o{k}") for k in range(len(sets))])))
     out = out.select(combo.alias("combo"))

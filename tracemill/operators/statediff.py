@@ -15,8 +15,9 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_ROWS = "array<struct<path:array<string>,value:string>>"
+_ROWS = T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.StringType())), T.StructField("value", T.StringType())]))
 
 
 def _leaves(text: str | None) -> list[tuple[list[str], str]]:

@@ -117,7 +117,7 @@ def scan_log(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("next_audio", F.min(F.when(F.col("bytes").isNotNull(), F.col("pos"))).over(nine))
 
 
-@F.pandas_udf("struct<channels:int,rate:int,bits:int,samples:binary>")
+@F.pandas_udf(T.StructType([T.StructField(n, t) for n, t in (("channels", T.IntegerType()), ("rate", T.IntegerType()), ("bits", T.IntegerType()), ("samples", T.BinaryType()))]))
 def _wav(content: pd.Series) -> pd.DataFrame:
     rows = []
     for c in content:
