@@ -88,7 +88,7 @@ def ladder_cut(n: int, merges: Sequence, ladder: Sequence[float] = LADDER, large
 
 
 def density_clusters(vectors: np.ndarray, least: int) -> np.ndarray:
-    """Density clusters on the mutual-reachability tree, cut where most points lie in clusters of at least ``least``; noise is -1."""
+    """Density clusters on the mutual-reachability tree, cut where it has the most clusters of at least ``least`` points that hold half of them; noise is -1."""
     n = len(vectors)
     if n < least:
         return np.full(n, -1)
@@ -124,7 +124,8 @@ def density_clusters(vectors: np.ndarray, least: int) -> np.ndarray:
         roots = np.array([find(x) for x in range(n)])
         names, size = np.unique(roots, return_counts=True)
         big = names[size >= least]
-        score = size[size >= least].sum() / n * (len(big) > 1) + 1e-3 * len(big)
+        share = size[size >= least].sum() / n
+        score = len(big) + share if share >= 0.5 else share
         if score > best_score:
             best_score = score
             best_labels = np.array([np.flatnonzero(big == r)[0] if r in big else -1 for r in roots])

@@ -87,8 +87,8 @@ def abstract_path(path: Column, fields: Sequence[str]) -> Column:
 def signatures(diff: DataFrame, keys: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """``key, db_signature, db_kinds`` of every key; without differences the signature is ``no_db_diff``."""
     item = F.concat_ws(":", F.col("kind"), abstract_path(F.col("path"), fields))
-    g = diff.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(item)), ";").alias("s"), F.array_sort(F.collect_set("kind")).alias("k"))
-    return keys.select(key).distinct().join(g, key, "left").select(key, F.coalesce("s", F.lit("no_db_diff")).alias("db_signature"), F.coalesce("k", F.array().cast("array<string>")).alias("db_kinds"))
+    g = diff.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(item)), ";").alias("signature_"), F.array_sort(F.collect_set("kind")).alias("kinds_"))
+    return keys.select(key).distinct().join(g, key, "left").select(key, F.coalesce("signature_", F.lit("no_db_diff")).alias("db_signature"), F.coalesce("kinds_", F.array().cast("array<string>")).alias("db_kinds"))
 
 
 def kind_rows(columns: Sequence[str], initial: DataFrame, gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
