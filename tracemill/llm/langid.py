@@ -9,7 +9,7 @@ or if its cosine falls far below (``REJECT`` times) what labelled texts of its
 length usually reach.
 
 The labelled rows are a bounded sample: ``PER_LANGUAGE`` expected rows a
-language, chosen by a hash of id and text. Their sparse counts, not their
+language, chosen by a hash of the id. Their sparse counts, not their
 texts, go to the driver.
 
 A null text, or one without letters, is ``und`` with score 0. Repeated rows keep
@@ -121,15 +121,27 @@ def _sparse(batch_texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
     return at, n
 
 
-def labelled_sample(df: DataFrame, id_col: Column, text: Column, label: Column, per_label: int) -> DataFrame:
-    """``label, text``: a sample of about ``per_label`` rows a label (all, where there are fewer), by a hash of id and text."""
-    d = df.select(label.alias("label"), text.alias("text"), F.pmod(F.xxhash64(id_col, text), F.lit(1 << 30)).alias("h")).where("label is not null and text is not null")
-    rates = d.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.lit(float(per_label)) / F.col("n") * (1 << 30)).alias("most"))
-    return d.join(rates, "label").where("h < most").select("label", "text")
+#: Labels that a model may have; their counts are all that the driver gathers to set the rates.
+MOST_LABELS = 10_000
+
+
+def labelled_sample(df: DataFrame, label: Column, key: Column, per_label: int) -> DataFrame:
+    """The rows of a sample of about ``per_label`` a label (all, where there are fewer), by a hash of the key.
+
+    Rates are constants of the filter, so the sample is drawn inside the scan.
+    """
+    counts = df.where(label.isNotNull()).groupBy(label.alias("label")).agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    if not counts:
+        return df.where(F.lit(False))
+    most = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1 << 30, (per_label << 30) // r["n"]))])
+    return df.where(label.isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.try_element_at(most, label)))
 
 
 def learn(df: DataFrame, id_col: Column, text: Column, label: Column, per_language: int = PER_LANGUAGE) -> Model:
-    sample = labelled_sample(df, id_col, text, label.cast("string"), per_language)
+    label = label.cast("string")
+    sample = labelled_sample(df, label, id_col, per_language).select(label.alias("label"), text.alias("text"))
 
     def start():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

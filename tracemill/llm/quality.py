@@ -164,8 +164,17 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Net:
     return net
 
 
-def learn(df: DataFrame, id_col: Column, text: Column, label: Column, per_label: int = PER_LABEL) -> Net:
-    sample = labelled_sample(df, id_col, text, label.cast("int"), per_label).where("label in (0, 1)")
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> Net:
+    """Fit to documents whose labels (0 or 1; of several the smallest) are in ``labels``; ids that are null have none.
+
+    The sample is drawn from the small table of labels; what is left of it goes
+    to the documents, so no text is shuffled.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
+    chosen = labelled_sample(known, F.col("label"), F.col(id_col), per_label)
+    # About two times per_label rows; broadcast only if that held.
+    chosen = F.broadcast(chosen) if chosen.count() <= 4 * per_label + 1000 else chosen
+    sample = docs.select(id_col, F.col(text_col).alias("text")).join(chosen, id_col).select("label", F.coalesce("text", F.lit("")).alias("text"))
 
     def start():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
