@@ -296,7 +296,7 @@ def test_retrieval_edges(spark):
     assert [r.doc for r in d if r.query == 3 and r["rank"] == 1] == [2]
     assert [r.doc for r in retrieval.grep(docs, "id", "text", "A(").collect()] == [3]
     with pytest.raises(PySparkException):
-        retrieval.bm25_index(docs.withColumn("text", F.lit(None).cast("string")), "id", "text")["postings"].collect()
+        retrieval.bm25_index(docs.withColumn("text", F.lit(None).cast("string")), "id", "text")["terms"].collect()
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "id int, v array<double>")
     top = retrieval.cosine_top_k(v, "id", "v", v.where("id = 1"), "id", "v", 3).orderBy("rank").collect()
     assert [(r.doc, r.score) for r in top] == [(3, 1.0), (1, 1.0), (2, 0.0)]

@@ -3,7 +3,7 @@
 import pytest
 from compare import check, connect
 
-from tracemill.plans import compare_queries, metric_queries, ordered_queries, registry, stream_queries, text_queries  # noqa: F401
+from tracemill.plans import compare_queries, evaluation_queries, metric_queries, ordered_queries, registry, stream_queries, text_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -19,26 +19,40 @@ def tokens(text: Column) -> Column:
 
 
 def bm25_index(docs: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
-    """Postings, document lengths and term statistics. A null text raises."""
+    """Documents as words, their lengths, totals of the corpus and the idf of every term. A null text raises.
+
+    Document frequencies come from the distinct words of each document, so
+    counts combine before the shuffle and no (document, term) table is built.
+    """
     body = F.coalesce(F.col(text), F.raise_error(F.lit("document without text")).cast("string"))
     t = docs.select(F.col(doc).alias("doc"), tokens(body).alias("ts"))
     lengths = t.select("doc", F.size("ts").alias("dl"))
-    postings = t.select("doc", F.explode("ts").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # One row of totals reaches each term through a one-row join.
-    idf = terms.crossJoin(F.broadcast(corpus)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
-    return {"postings": postings, "lengths": lengths, "corpus": corpus, "idf": idf}
+    terms = t.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    # The mean over terms, from the few different document frequencies.
+    mean = terms.groupBy("df").agg(F.count("*").alias("k")).crossJoin(F.broadcast(corpus)).agg((F.sum(F.col("k") * raw) / F.sum("k")).alias("mean"))
+    return {"words": t, "lengths": lengths, "corpus": corpus, "terms": terms, "mean": mean}
+
+
+#: Different query terms that a broadcast may carry; more are joined by shuffle.
+MOST_TERMS = 1_000_000
 
 
 def bm25_scores(index: dict[str, DataFrame], queries: DataFrame, query: str, text: str) -> DataFrame:
-    """``query, doc, score`` for documents that share a term with the query; a repeated query term counts again."""
+    """``query, doc, score`` for documents that share a term with the query; a repeated query term counts again.
+
+    Only words that some query has become postings.
+    """
     q = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    d = q.join(index["idf"], "term").join(index["postings"], "term").join(index["lengths"], "doc").crossJoin(F.broadcast(index["corpus"].select("avgdl")))
+    asked = q.select("term").distinct()
+    asked = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
+    totals = index["corpus"].crossJoin(F.broadcast(index["mean"]))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = index["terms"].join(asked, "term").crossJoin(F.broadcast(totals)).select("term", "avgdl", F.when(raw < 0, F.col("mean") * EPSILON).otherwise(raw).alias("idf"))
+    postings = index["words"].select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(asked, "term").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return d.groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    return postings.join(idf, "term").join(q, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query", ties: Column | None = None, rounding: int | None = None) -> DataFrame:
