@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WORD, packed, row_hash, shape, unpacked
+from tracemill.llm.common import WORD, cut, packed, row_hash, shape, unpacked
 
 #: Key buckets an octave; the fullest bucket holds about 0.1% of its source.
 PER_OCTAVE = 256
@@ -88,14 +88,15 @@ def _mixed(
     budget: int | None = None,
     seed: int = 11,
 ) -> DataFrame:
-    shape(df, id_col, source_col, text_col)
+    shape(df, id_col, source_col, *([text_col] if size is None or quality is None else []))
     size = word_count(F.col(text_col)) if size is None else F.coalesce(size, F.lit(0)).cast("long")
     quality = letter_share(F.col(text_col)) if quality is None else F.greatest(F.coalesce(quality, F.lit(1.0)), F.lit(1e-6))
     d = packed(df, source=F.col(source_col), id=F.col(id_col), size=size, q=quality, tie=row_hash(df))
     d = d.withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     d = d.withColumn("key", -F.log(uniform(F.col("id"), F.col("size"), seed=seed)) / F.col("q"))
     d = d.withColumn("bucket", F.floor(F.log2("key") * PER_OCTAVE).cast("int"))
-    sums = d.groupBy("skey", "bucket").agg(F.sum("size").alias("bsize"), F.first("source").alias("source"))
+    # Two plans need the sums; written once, they don't measure the texts twice.
+    sums = cut(d.groupBy("skey", "bucket").agg(F.sum("size").alias("bsize"), F.first("source").alias("source")))
     sizes = sums.groupBy("skey").agg(F.sum("bsize").alias("source_size"), F.first("source").alias("source"))
     targets = source_targets(sizes, weights, cap, budget).drop("source")
     buckets = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)

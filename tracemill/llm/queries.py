@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import chat, decontaminate, embeddings, html_text, langid, mixing, pii, quality, sharding, simhash
+from tracemill.llm.common import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,8 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix_sources(docs, weights=(1, 2, 3), cap=3).select("doc_id", "size", "source_size", "target", "taken", "repeats")
+    docs = _table(spark, sf_dir, "documents")
+    # The result holds no texts, so they are measured once and left behind.
+    measured = cut(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), mixing.letter_share(F.col("text")).alias("letters")))
+    out = mixing.mix_sources(measured, size=F.col("words"), quality=F.col("letters"), weights=(1, 2, 3), cap=3)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
