@@ -34,7 +34,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import cut, map_batches, shape
@@ -91,31 +90,47 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _decode(words: int, share: float, seed: int):
-    codes: dict[int, Code] = {}
+class Codes:
+    """The codes of all dimensions that a task meets."""
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def __init__(self, words: int, share: float, seed: int):
+        self.how, self.codes = (words, share, seed), {}
+
+    def filters(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter number) in order of row; numbers differ between dimensions."""
+        dim, words = unit.shape[1], self.how[0]
+        if dim not in self.codes:
+            self.codes[dim] = Code(dim, *self.how)
+        at, which = self.codes[dim].decode(unit)
+        return at, which + dim * words * words
+
+
+def _decode(words: int, share: float, seed: int, thin: bool):
+    codes = Codes(words, share, seed)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         cids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
         lengths = np.diff(np.asarray(vectors.offsets))
         out: list[pa.RecordBatch] = []
         for dim in np.unique(lengths):
             rows = np.flatnonzero(lengths == dim)
             m = np.asarray(vectors.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(len(rows), dim)
-            code = codes.setdefault(int(dim), Code(int(dim), words, share, seed)) if int(dim) not in codes else codes[int(dim)]
-            at, which = code.decode(unit_rows(m))
-            order = np.lexsort((which, at))
-            at, which = at[order], which[order] + int(dim) * words * words
-            ends = np.searchsorted(at, np.arange(len(rows) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(which))
+            at, which = codes.filters(unit_rows(m))
+            if thin:
+                out.append(pa.RecordBatch.from_arrays([pa.array(which)], names=["filter"]))
+                continue
             pick = pa.array(rows[at])
-            out.append(pa.RecordBatch.from_arrays([pa.array(which), pa.array(cids[rows[at]]), batch.column(1).take(pick), vectors.take(pick), lists.take(pa.array(at))], names=["filter", "cid", "n", "vector", "filters"]))
+            out.append(pa.RecordBatch.from_arrays([pa.array(which), pa.array(cids[rows[at]]), batch.column(1).take(pick), vectors.take(pick)], names=["filter", "cid", "n", "vector"]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else None
 
     return step
 
 
-def _links(cids: np.ndarray, ns: np.ndarray, unit: np.ndarray, lists: list, here: int, side: np.ndarray | None, threshold: float) -> tuple:
-    """Links within one filter (or between two blocks of one) that no smaller common filter has."""
+def _links(ns: np.ndarray, unit: np.ndarray, codes: Codes, here: int, side: np.ndarray | None, threshold: float) -> tuple:
+    """Links within one filter (or between two blocks of one) that no smaller common filter has.
+
+    Only vectors that link at all are decoded again, to know their other filters.
+    """
     linked = unit @ unit.T >= threshold
     np.fill_diagonal(linked, False)
     if side is not None:
@@ -124,11 +139,12 @@ def _links(cids: np.ndarray, ns: np.ndarray, unit: np.ndarray, lists: list, here
     if not len(rows):
         return rows, rows, rows
     linked = linked[np.ix_(rows, rows)]
-    smaller = [x[x < here] for x in (lists[k] for k in rows)]
-    ids, at = np.unique(np.concatenate(smaller), return_inverse=True)
-    if len(ids):
+    at, which = codes.filters(unit[rows])
+    smaller = which < here
+    if smaller.any():
+        ids, column = np.unique(which[smaller], return_inverse=True)
         seen = np.zeros((len(rows), len(ids)), np.float32)
-        seen[np.repeat(np.arange(len(rows)), [len(x) for x in smaller]), at] = 1
+        seen[at[smaller], column] = 1
         linked &= seen @ seen.T < 0.5
     counts = linked @ ns[rows]
     label = np.arange(len(rows))
@@ -142,8 +158,9 @@ def _links(cids: np.ndarray, ns: np.ndarray, unit: np.ndarray, lists: list, here
     return rows, counts, rows[label]
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, words: int, share: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(words, share, seed)
         kept: list[pa.RecordBatch] = []
         key = None
         found: list[tuple] = []
@@ -154,15 +171,9 @@ def _verify(threshold: float):
             if not t or t[0].num_rows < 2:
                 return
             b = t[0]
-            n = b.num_rows
-            m = unit_rows(np.asarray(b.column("vector").flatten(), dtype=np.float64).reshape(n, -1))
-            flat, ends = np.asarray(b.column("filters").flatten()), np.asarray(b.column("filters").offsets)
-            ends = ends - ends[0]
-            lists = [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]
-            i, j, block = (b.column(c).to_numpy() for c in ("i", "j", "block"))
-            side = None if i[0] == j[0] else block
-            cids, ns = b.column("cid").to_numpy(), b.column("n").to_numpy()
-            rows, counts, roots = _links(cids, ns, m, lists, b.column("filter")[0].as_py(), side, threshold)
+            m = unit_rows(np.asarray(b.column("vector").flatten(), dtype=np.float64).reshape(b.num_rows, -1))
+            i, j, block, cids, ns = (b.column(c).to_numpy() for c in ("i", "j", "block", "cid", "n"))
+            rows, counts, roots = _links(ns, m, codes, b.column("filter")[0].as_py(), None if i[0] == j[0] else block, threshold)
             if len(rows):
                 some = counts > 0
                 found.append((cids[rows[some]], counts[some], cids[roots[some]]))
@@ -210,19 +221,18 @@ def embedding_clusters(df: DataFrame, *, id_col: str = "vec_id", vector_col: str
     total = max(1, classes.count())
     words = max(16, math.isqrt(total * PASSES // PER_FILTER) + 1)
     share = min(0.5, PASSES / words**2)
-    fat = map_batches(
-        classes.select("cid", "n", "vector"),
-        "filter long, cid long, n long, vector array<%s>, filters array<long>" % dict(df.dtypes)[vector_col].removeprefix("array<").removesuffix(">"),
-        lambda: _decode(words, share, seed),
-    )
-    # Blocks of crowded filters: counts first, from a thin pass.
-    sizes = W.partitionBy("filter")
-    fat = fat.withColumn("blocks", F.ceil(F.count("*").over(sizes) / BLOCK).cast("int"))
+    vectors = classes.select("cid", "n", "vector")
+    # Crowded filters first, from numbers alone, so that vectors are dealt out only once.
+    crowd = map_batches(vectors, "filter long", lambda: _decode(words, share, seed, True)).groupBy("filter").agg(F.count("*").alias("members"))
+    crowd = cut(crowd.where(F.col("members") > BLOCK))
+    kind = dict(df.dtypes)[vector_col]
+    fat = map_batches(vectors, f"filter long, cid long, n long, vector {kind}", lambda: _decode(words, share, seed, False))
+    fat = fat.join(crowd, "filter", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int"))
     fat = fat.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     spread = fat.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other", "members")
     parts = spread.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j")
-    found = cut(parts.mapInArrow(_verify(threshold), "cid long, links long, root long"))
+    found = cut(parts.mapInArrow(_verify(threshold, words, share, seed), "cid long, links long, root long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = connected_components(found, "cid", "root")
     table = classes.select("vector", "cid", "n").join(links, "cid", "left").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
