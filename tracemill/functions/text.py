@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: The noise that is cut from assertions and from free text, and words of consent.
 VALUE_NOISE = r"""(?U)(#\w+|\$[\d,.]+|\b\d[\d,.]*\b|'[^']*'|"[^"]*")"""
 FREE_NOISE = r"(?U)(#\w+|\$[\d,.]+|\b\d[\d,.]*\b|`[^`]*`)"
-CONFIRM_WORDS = ("yes", "confirm", "confirmed", "proceed", "go ahead", "sure", "okay", "ok")
+CONFIRM_WORDS = ("yes", "yeah", "yep", "confirm", "confirmed", "go ahead", "please do", "that's correct")
 
 
 def squeeze(c: Column) -> Column:
@@ -62,16 +62,24 @@ def call_parse(c: Column) -> Column:
     return F.when(c.rlike(r"^\w+\(.*\)$"), F.struct(F.regexp_extract(c, r"^(\w+)\(", 1).alias("name"), F.map_from_entries(args).alias("arguments")))
 
 
-def snippet(c: Column, n: int) -> Column:
-    """At most n characters, with an ellipsis where something is cut."""
-    t = squeeze(c)
-    return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n - 1), F.lit("…"))).otherwise(t)
+def snippet(c: Column, n: int = 60) -> Column:
+    """The first n characters on one line, with an ellipsis where something is cut."""
+    t = F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit("\n"), F.lit(" "))
+    return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("…"))).otherwise(t)
+
+
+def truncate(c: Column, n: int) -> Column:
+    """The first n characters and the number of those that are left out."""
+    t = F.trim(c)
+    cut = F.concat(F.rtrim(F.substring(t, 1, n)), F.lit(" …(+"), (F.length(t) - n).cast("string"), F.lit(" chars)"))
+    return F.when(F.length(t) > n, cut).otherwise(t)
 
 
 def truncate_middle(c: Column, n: int) -> Column:
-    """The two ends of a long text around an ellipsis, n characters of it in all."""
-    half = n // 2
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - half), F.lit(" … "), F.right(c, F.lit(half)))).otherwise(c)
+    """n characters of a long text, two thirds from its start, around a note of what is left out."""
+    head = n * 2 // 3
+    note = F.concat(F.lit("\n… ("), (F.length(c) - n).cast("string"), F.lit(" chars elided) …\n"))
+    return F.when(F.length(c) > n, F.concat(F.rtrim(F.substring(c, 1, head)), note, F.ltrim(F.right(c, F.lit(n - head))))).otherwise(c)
 
 
 def html_escape(c: Column) -> Column:
@@ -81,9 +89,9 @@ def html_escape(c: Column) -> Column:
 
 
 def file_name(c: Column) -> Column:
-    """A text that is safe as a file name."""
-    t = F.regexp_replace(F.lower(F.trim(c)), r"[^\w\-. ]", "")
-    return F.substring(F.regexp_replace(t, r"[\s]+", "_"), 1, 200)
+    """A text that is safe as a file name: anything but letters, digits, dots, dashes and underscores becomes an underscore."""
+    t = F.replace(c, F.lit(".."), F.lit("_"))
+    return F.substring(F.regexp_replace(t, r"[^\p{L}\p{N}._-]", "_"), 1, 255)
 
 
 def json_in(c: Column) -> Column:

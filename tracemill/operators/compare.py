@@ -41,20 +41,23 @@ def mode_shift(a: DataFrame, b: DataFrame, label: str) -> DataFrame:
 
 
 def subset_verdict(spec: DataFrame, baseline: DataFrame, candidate: DataFrame, task: str, reward: str, role: str = "role") -> DataFrame:
-    """One row: flips of targets, regressions of controls, and pass, fail or review.
+    """One row: flips, those of targets and controls, and the verdict.
 
-    Each side's reward of a task is its best trial; a missing side counts 0.
+    Each side's reward of a task is its best trial; a missing side counts 0. A
+    control that regresses fails the candidate, a target that improves passes
+    it, an improvement elsewhere alone is to be reviewed, none at all fails.
     """
     best = lambda d, n: d.groupBy(task).agg(F.max(reward).alias(n))
     d = spec.join(best(baseline, "b"), task, "left").join(best(candidate, "c"), task, "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("b", "c")})
     f = flip(F.col("b"), F.col("c"))
     d = d.agg(
+        F.count_if(f == "improved").alias("improved"),
         F.count_if((F.col(role) == "target") & (f == "improved")).alias("target_improved"),
-        F.count_if((F.col(role) == "target") & (f == "regressed")).alias("target_regressed"),
-        F.count_if((F.col(role) == "control") & (f == "regressed")).alias("control_regressed"),
+        F.count_if(f == "regressed").alias("regressed"),
+        F.count_if(F.col(role).isin("control", "oracle_stable") & (f == "regressed")).alias("control_regressed"),
         F.count("*").alias("tasks"),
     )
-    verdict = F.when(F.col("control_regressed") > 0, "fail").when((F.col("target_improved") > 0) & (F.col("target_regressed") == 0), "pass").otherwise("review")
+    verdict = F.when(F.col("control_regressed") > 0, "fail").when(F.col("target_improved") > 0, "pass").when(F.col("improved") > 0, "review").otherwise("fail")
     return d.withColumn("verdict", verdict)
 
 

@@ -100,31 +100,43 @@ def booking_guard(bookings: DataFrame, seats: DataFrame, balances: DataFrame, in
 
 
 def mobile_data_works(d: Column) -> Column:
-    """Device flags: any of the blockers stops mobile data."""
-    blocked = d["airplane_mode"] | ~d["mobile_data"] | (d["signal"] == "none") | (d["network"] == "none") | (d["abroad"] & ~d["roaming"]) | (d["used_gb"] >= d["limit_gb"])
+    """Whether nothing stops mobile data: airplane mode, no signal, no service, roaming abroad, data off, usage exceeded."""
+    abroad = d["is_abroad"] & ~(d["roaming_enabled"] & d["roaming_allowed"])
+    blocked = d["airplane_mode"] | (d["signal"] == "none") | (d["status"] == "no_service") | abroad | ~d["data_enabled"] | d["usage_exceeded"]
     return ~F.coalesce(blocked, F.lit(True))
 
 
 #: Speed ranges by network in Mbit/s and factors by signal.
 SPEEDS = {"2G": (0.1, 0.4), "3G": (1.0, 5.0), "4G": (10.0, 100.0), "5G": (50.0, 500.0)}
 SIGNALS = {"none": 0.0, "poor": 0.2, "fair": 0.5, "good": 0.8, "excellent": 1.0}
-BANDS = ((1, "very poor"), (5, "poor"), (25, "fair"), (100, "good"))
+BANDS = ((1, "Very Poor"), (5, "Poor"), (25, "Fair"), (100, "Good"))
+PREFERENCES = {"4g_only": "4G", "3g_only": "3G", "2g_only": "2G"}
 
 
-def speed_test(network: Column, signal: Column, vpn: Column, saver: Column) -> tuple[Column, Column]:
-    """(speed, band): the middle of the network's range times the factors of signal, VPN and data saver."""
+def speed_test(network: Column, signal: Column, slow_vpn: Column, saver: Column, works: Column | None = None) -> tuple[Column, Column]:
+    """(speed, band): the middle of the network's range times the factors of signal, VPN and data saver; none without a connection."""
     mid = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, (a, b) in SPEEDS.items() for x in (k, (a + b) / 2)]), network), F.lit(0.0))
     factor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SIGNALS.items() for x in kv]), signal), F.lit(0.0))
-    speed = F.round(mid * factor * F.when(vpn, 0.1).otherwise(1.0) * F.when(saver, 0.2).otherwise(1.0), 2)
-    band = F.lit("excellent")
+    speed = F.round(mid * factor * F.when(slow_vpn, 0.1).otherwise(1.0) * F.when(saver, 0.2).otherwise(1.0), 2)
+    band = F.lit("Excellent")
     for top, name in reversed(BANDS):
         band = F.when(speed < top, name).otherwise(band)
-    return speed, band
+    works = F.lit(True) if works is None else works
+    return F.when(works, speed), F.when(works, band).otherwise("No Connection")
 
 
 def network_search(d: Column) -> Column:
-    """The connection after a search: none in airplane mode or without a SIM, else the best network at hand."""
-    return F.when(d["airplane_mode"] | (d["sim"] != "active"), "no_service").when(d["available"].isNull() | (F.size(d["available"]) == 0), "no_service").otherwise("connected")
+    """status, network and signal after a search.
+
+    An active SIM connects by preference: 5G if it has a signal, else 4G; or the
+    one network asked for. No SIM, airplane mode, a broken access point and an
+    inactive line leave no service.
+    """
+    level = lambda n: F.coalesce(F.try_element_at(d["signals"], n), F.lit("none"))
+    only = F.try_element_at(F.create_map(*[F.lit(x) for kv in PREFERENCES.items() for x in kv]), d["preference"])
+    network = F.when(d["preference"] == "4g_5g_preferred", F.when(level(F.lit("5G")) == "none", "4G").otherwise("5G")).otherwise(F.coalesce(only, F.lit("4G")))
+    served = F.coalesce((d["sim"] == "active") & ~d["airplane_mode"] & ~d["apn_broken"] & d["line_active"], F.lit(False))
+    return F.struct(F.when(served, "connected").otherwise("no_service").alias("status"), F.when(served, network).otherwise("none").alias("network"), F.when(served, level(network)).otherwise("none").alias("signal"))
 
 
 def close_to(a: Column, b: Column, eps: float = 1e-6) -> Column:

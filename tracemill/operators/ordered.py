@@ -86,13 +86,17 @@ def carry_forward(df: DataFrame, by: Sequence[str], value: str, order: Sequence[
 
 
 def gap_timing(df: DataFrame, by: Sequence[str], at: str, order: Sequence[Column]) -> DataFrame:
-    """Seconds since the group's first row and since the row before; a null time takes the one before it."""
+    """A row's bar: ``offset``, where the row before stands after the group's first time, and ``wait``, the time from there.
+
+    A null time takes the one before it; nulls at the head take the first time there is.
+    """
     w = W.partitionBy(*by).orderBy(*order)
     d = carry_forward(df, by, at, order, "known")
-    start = F.first("known", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    before = F.lag("known").over(w)
+    d = d.withColumn("start", F.first(at, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    d = d.withColumn("known", F.coalesce("known", "start"))
+    d = d.withColumn("before", F.coalesce(F.lag("known").over(w), F.col("start")))
     secs = lambda x: F.round(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)), 3)
-    return d.withColumn("offset", secs(F.col("known") - start)).withColumn("wait", secs(F.col("known") - before)).drop("known")
+    return d.withColumn("offset", secs(F.col("before") - F.col("start"))).withColumn("wait", secs(F.col("known") - F.col("before"))).drop("known", "start", "before")
 
 
 def pattern_groups(df: DataFrame, by: Sequence[str], pattern: str, order: Sequence[Column], alone: Column | None = None) -> DataFrame:

@@ -58,9 +58,9 @@ def mode_shift(t: Tables) -> DataFrame:
 with {_HALVES}, spec as (select c_custkey as o_custkey, case when c_custkey % 4 = 0 then 'control' else 'target' end as role from customer where c_mktsegment = 'BUILDING'),
 b as (select o_custkey, max(r) as b from h where not late group by 1), c as (select o_custkey, max(r) as c from h where late group by 1),
 j as (select role, coalesce(b, 0) as b, coalesce(c, 0) as c from spec left join b using (o_custkey) left join c using (o_custkey)),
-s as (select count(*) filter (where role = 'target' and b < 0.999 and c >= 0.999) as target_improved, count(*) filter (where role = 'target' and b >= 0.999 and c < 0.999) as target_regressed,
+s as (select count(*) filter (where b < 0.999 and c >= 0.999) as improved, count(*) filter (where role = 'target' and b < 0.999 and c >= 0.999) as target_improved, count(*) filter (where b >= 0.999 and c < 0.999) as regressed,
       count(*) filter (where role = 'control' and b >= 0.999 and c < 0.999) as control_regressed, count(*) as tasks from j)
-select *, case when control_regressed > 0 then 'fail' when target_improved > 0 and target_regressed = 0 then 'pass' else 'review' end as verdict from s
+select *, case when control_regressed > 0 then 'fail' when target_improved > 0 then 'pass' when improved > 0 then 'review' else 'fail' end as verdict from s
 """)
 def subset_verdict(t: Tables) -> DataFrame:
     a, b = _halves(t)
@@ -384,7 +384,7 @@ def guard_order(t: Tables) -> DataFrame:
 @query("""
 with x as (select p_partkey, ['2G', '3G', '4G', '5G'][p_size % 4 + 1] as net, ['none', 'poor', 'fair', 'good', 'excellent'][p_size % 5 + 1] as sig, p_size % 3 = 0 as vpn, p_size % 7 = 0 as saver from part),
 y as (select *, round(case net when '2G' then 0.25 when '3G' then 3.0 when '4G' then 55.0 else 275.0 end * case sig when 'none' then 0 when 'poor' then 0.2 when 'fair' then 0.5 when 'good' then 0.8 else 1.0 end * case when vpn then 0.1 else 1.0 end * case when saver then 0.2 else 1.0 end, 2)::double as speed from x)
-select p_partkey, speed, case when speed < 1 then 'very poor' when speed < 5 then 'poor' when speed < 25 then 'fair' when speed < 100 then 'good' else 'excellent' end as band from y
+select p_partkey, speed, case when speed < 1 then 'Very Poor' when speed < 5 then 'Poor' when speed < 25 then 'Fair' when speed < 100 then 'Good' else 'Excellent' end as band from y
 """)
 def speed_test(t: Tables) -> DataFrame:
     pick = lambda *x: F.get(F.array(*[F.lit(v) for v in x]), (F.col("p_size") % len(x)).cast("int"))

@@ -95,9 +95,9 @@ def max_unanswered_run(t: Tables) -> DataFrame:
 
 @query("""
 with x as (select *, case when event_id % 5 = 0 then null else epoch_us(ts) / 1000000.0 end as tm from events),
-y as (select *, last_value(tm ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as known from x),
-z as (select *, first_value(known ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following) as f, lag(known) over (partition by user_id order by ts, event_id) as b from y)
-select event_id, round(greatest(coalesce(known - f, 0.0), 0.0), 3) as "offset", round(greatest(coalesce(known - b, 0.0), 0.0), 3) as wait from z
+y as (select *, last_value(tm ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as k, first_value(tm ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following) as f from x),
+z as (select *, coalesce(k, f) as known, coalesce(lag(coalesce(k, f)) over (partition by user_id order by ts, event_id), f) as b from y)
+select event_id, round(greatest(coalesce(b - f, 0.0), 0.0), 3) as "offset", round(greatest(coalesce(known - b, 0.0), 0.0), 3) as wait from z
 """)
 def gap_timing(t: Tables) -> DataFrame:
     d = t.events.withColumn("at", F.when(F.col("event_id") % 5 == 0, None).otherwise(micros("ts") / 1e6))

@@ -150,11 +150,12 @@ def call_codec(t: Tables) -> DataFrame:
 
 
 @query(r"""
-select item_id, case when length(s) > 60 then substr(s, 1, 59) || '…' else s end as snippet, case when length(text) > 40 then substr(text, 1, 20) || ' … ' || right(text, 20) else text end as middle
-from (select item_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) as s from benchmark)
+select item_id, case when length(s) > 60 then substr(s, 1, 60) || '…' else s end as snippet, case when length(trim(text)) > 50 then rtrim(substr(trim(text), 1, 50)) || ' …(+' || (length(trim(text)) - 50) || ' chars)' else trim(text) end as cut,
+  case when length(text) > 40 then rtrim(substr(text, 1, 26)) || chr(10) || '… (' || (length(text) - 40) || ' chars elided) …' || chr(10) || ltrim(right(text, 14)) else text end as middle
+from (select item_id, text, replace(trim(text), chr(10), ' ') as s from benchmark)
 """)
 def snippets(t: Tables) -> DataFrame:
-    return t.benchmark.select("item_id", X.snippet(F.col("text"), 60).alias("snippet"), X.truncate_middle(F.col("text"), 40).alias("middle"))
+    return t.benchmark.select("item_id", X.snippet(F.col("text"), 60).alias("snippet"), X.truncate(F.col("text"), 50).alias("cut"), X.truncate_middle(F.col("text"), 40).alias("middle"))
 
 
 @query("""
@@ -221,7 +222,7 @@ select i::bigint as i, round((sin(i / 10.0 * 2 * pi() * 0.5) * 0.6 + sin(i / 10.
 """)
 def snr_envelope(t: Tables) -> DataFrame:
     d = t.spark.range(1000).withColumnRenamed("id", "i")
-    return d.select("i", F.round(S.snr_envelope(F.col("i") / 10.0, 0.5, 15.0, 3.0), 6).alias("snr"))
+    return d.select("i", F.round(S.snr_envelope(F.col("i") / 10.0, 0.5, 15.0, 3.0, (0.6, 1.0), (0.3, 2.3), (0.1, 0.37)), 6).alias("snr"))
 
 
 @query("""
@@ -235,11 +236,11 @@ def audio_levels(t: Tables) -> DataFrame:
 
 
 @query("""
-select l.k as id, round(0.05 * (k + 1), 2)::double as loss, round(1 / (2.0 + k), 6)::double as p_bad_to_good, round(1 / (2.0 + k) * (0.05 * (k + 1)) / (1 - 0.05 * (k + 1)), 6)::double as p_good_to_bad from range(5) l(k)
+select l.k as id, round(1000 / (100.0 + 50 * k), 6)::double as r_rate, round(1000 / (100.0 + 50 * k) * (0.02 * (k + 1)) / (0.2 - 0.02 * (k + 1)), 6)::double as p_rate, round(0.02 * (k + 1) / 0.2, 6)::double as bad_share from range(5) l(k)
 """)
 def loss_model(t: Tables) -> DataFrame:
-    rows = [(k, round(0.05 * (k + 1), 2), round(m["p_bad_to_good"], 6), round(m["p_good_to_bad"], 6)) for k in range(5) for m in [S.gilbert_elliott(0.05 * (k + 1), 2.0 + k)]]
-    return t.spark.createDataFrame(rows, "id long, loss double, p_bad_to_good double, p_good_to_bad double")
+    rows = [(k, *(round(m[x], 6) for x in ("r_rate", "p_rate", "bad_share"))) for k in range(5) for m in [S.gilbert_elliott(0.02 * (k + 1), 100.0 + 50 * k)]]
+    return t.spark.createDataFrame(rows, "id long, r_rate double, p_rate double, bad_share double")
 
 
 @query("select string_agg('# ' || item_id || chr(10) || text, chr(10) || chr(10) order by item_id) as knowledge_base from benchmark")
