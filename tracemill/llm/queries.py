@@ -122,6 +122,17 @@ r as (
   select *, epochs + case when epochs < 3 and size > 0 and 2 * before + size <= 2 * (target - epochs * source_size) then 1 else 0 end as repeats
   from p)
 select doc_id, size, source_size, target, (repeats * size)::bigint as taken, repeats::bigint as repeats from r
+""",
+    "op2_embedding_dedup": r"""
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as component_id from r group by 1),
+n as (select a, count(*) as n from l group by 1)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join c on c.a = vec_id left join n on n.a = vec_id
 """,
     "op7_chat_format": r"""
 with t as (
