@@ -147,6 +147,24 @@ def test_crowded_filters_in_blocks(spark, monkeypatch):
     assert [r.n_links for r in got] == n and [r.component_id for r in got] == comp
 
 
+@pytest.mark.parametrize("dim,vectors,missed", [(64, 50_000, 0.002), (64, 500, 0.0), (16, 50_000, 0.005)])
+def test_isolated_pairs_meet(dim, vectors, missed):
+    """Random pairs at exactly the threshold share a filter of codes made for tables of that size."""
+    rng = np.random.default_rng(1)
+    n = 1500
+    v = rng.normal(size=(n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    z = rng.normal(size=(n, dim))
+    z -= (z * v).sum(1, keepdims=True) * v
+    w = 0.9 * v + math.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    codes = embeddings.Codes(max(16, math.isqrt(vectors * embeddings.PASSES // embeddings.PER_FILTER) + 1), 5)
+    (a, fa), (b, fb) = codes.filters(v), codes.filters(w)
+    assert (np.bincount(a, minlength=n) >= embeddings.PASSES * embeddings.CODES).all()
+    met = len(set(zip(a.tolist(), fa.tolist())) & set(zip(b.tolist(), fb.tolist())))
+    pairs = {x for x, _ in set(zip(a.tolist(), fa.tolist())) & set(zip(b.tolist(), fb.tolist()))}
+    assert met > 0 and 1 - len(pairs) / n <= missed
+
+
 # --- 3 html ----------------------------------------------------------------------------
 
 
