@@ -1,6 +1,7 @@
 """Ticks and streams: golden orders, batch against stream."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,7 @@ def test_policy_stream_equals_batch(spark, tmp_path):
     for n in range(3):
         part = [r for r in rows if r[1] // 10 == n]
         (src / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("conv_id", "tick_id", "own", "other", "tool"), r))) for r in part))
+        os.utime(src / f"{n}.json", (1_700_000_000 + 60 * n,) * 2)  # files are taken in order of time
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(src))
     p = S.Policy(wait_self=2, backchannel_every=5)
     S.run_available(S.decision_stream(stream, p), None, str(tmp_path / "out"), str(tmp_path / "state"))
