@@ -102,11 +102,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
+#: Queries of a block: as many travel to the documents by one broadcast or meet them in one cell.
+BLOCK = 4096
+
+
 def cosine_scores(docs: DataFrame, doc: str, vector: str, queries: DataFrame, query: str, query_vector: str) -> DataFrame:
-    """Every stated query against every document; the queries are a bounded set and travel to the documents in blocks."""
-    q = queries.select(F.col(query).alias("query"), doubles(F.col(query_vector)).alias("qv"))
-    d = docs.select(F.col(doc).alias("doc"), doubles(F.col(vector)).alias("dv"))
-    return d.crossJoin(F.broadcast(q)).select("query", "doc", cosine(F.col("dv"), F.col("qv")).alias("score"))
+    """Every query against every document. One block of queries is broadcast; of more, each meets each slice of the documents in a cell."""
+    q = queries.select(F.col(query).alias("query"), doubles(F.col(query_vector)).alias("qv")).withColumn("qn", F.sqrt(dot(F.col("qv"), F.col("qv"))))
+    d = docs.select(F.col(doc).alias("doc"), doubles(F.col(vector)).alias("dv")).withColumn("dn", F.sqrt(dot(F.col("dv"), F.col("dv"))))
+    blocks = -(-q.count() // BLOCK)
+    if blocks <= 1:
+        pairs = d.crossJoin(F.broadcast(q))
+    else:
+        slices = max(1, -(-d.count() // (4 * BLOCK)))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        q = q.withColumn("block", deal("query", blocks)).withColumn("slice", every(slices))
+        d = d.withColumn("slice", deal("doc", slices)).withColumn("block", every(blocks))
+        pairs = d.join(q.hint("shuffle_hash"), ["block", "slice"])
+    n = F.col("dn") * F.col("qn")
+    return pairs.select("query", "doc", F.when(n > 0, dot(F.col("dv"), F.col("qv")) / n).otherwise(0.0).alias("score"))
 
 
 def cosine_top_k(docs: DataFrame, doc: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, rounding: int = 6) -> DataFrame:
