@@ -1,6 +1,7 @@
 """Queries that do the whole job: every stated row, whole texts, against brute force."""
 
 import os
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from compare import connect
 
 from tracemill.operators import retrieval
-from tracemill.plans import registry, text_queries  # noqa: F401
+from tracemill.plans import evaluation_queries, registry, text_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +106,25 @@ def test_tfidf_over_documents(spark, data, con):
     got = {(r["query"], r["doc"]): r["score"] for r in registry.QUERIES["tfidf_cosine"](spark, data).collect()}
     assert got.keys() == want.keys() and len({a for a, _ in want}) > 3
     assert max(abs(got[k] - want[k]) for k in want) < 2e-6
+
+
+def test_pipeline_searches_whole_items(spark, data, con, bm25):
+    docs = con.execute("select doc_id, text from documents").fetchall()
+    want = {}
+    for q, x in fiftieth(con, "select item_id, text from benchmark"):
+        found = re.compile(retrieval.valid_pattern(x))
+        top = {d: s for d, s, _ in bm25[q][:5]}
+        for d, n, _ in best([(d, float(n)) for d, y in docs if (n := len(found.findall(y)))], 5, False):
+            top[d] = max(n, top.get(d, n))
+        want[q] = best(top.items(), 6, False)
+    same(registry.QUERIES["retrieval_pipeline"](spark, data), want)
+
+
+def test_grep_matches_all_patterns_in_one_pass(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a A b"), (2, "(a"), (3, "none"), (4, "b b b")], "id int, text string")
+    q = spark.createDataFrame([(k, p) for k, p in enumerate(["a", "b+", "(a", "zz"])], "query int, text string")
+    want = [(0, 1, 2.0, 1), (0, 2, 1.0, 2), (1, 4, 3.0, 1), (1, 1, 1.0, 2), (2, 2, 1.0, 1)]
+    for block in (4096, 2):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        got = retrieval.grep_top_k(docs, q, 2, "id", "text", "query", "text").orderBy("query", "rank")
+        assert [(r["query"], r.doc, r.score, r["rank"]) for r in got.collect()] == want

@@ -88,6 +88,32 @@ def grep(docs: DataFrame, doc: str, text: str, pattern: str, k: int | None = Non
     return d if k is None else d.orderBy(F.desc("score"), "doc").limit(k)
 
 
+#: Queries of a block: as many travel to the documents by one broadcast or meet them in one cell.
+BLOCK = 4096
+
+
+def in_blocks(d: DataFrame, q: DataFrame) -> DataFrame:
+    """Every row of q (``query``, ...) with every row of d (``doc``, ...). One block of queries is broadcast; of more, each meets each slice of the documents in a cell."""
+    blocks = -(-q.count() // BLOCK)
+    if blocks <= 1:
+        return d.crossJoin(F.broadcast(q))
+    slices = max(1, -(-d.count() // (4 * BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = q.withColumn("block", deal("query", blocks)).withColumn("slice", every(slices))
+    d = d.withColumn("slice", deal("doc", slices)).withColumn("block", every(blocks))
+    return d.join(q.hint("shuffle_hash"), ["block", "slice"]).drop("block", "slice")
+
+
+def grep_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str, text: str, query: str, pattern: str, ignore_case: bool = True) -> DataFrame:
+    """``query, doc, score, rank``: the k documents with most matches of each query's pattern. The patterns are a column, so one pass over the documents matches a block of them."""
+    valid = F.udf(lambda p: valid_pattern(p, ignore_case) if p is not None else None, "string")
+    q = queries.select(F.col(query).alias("query"), valid(F.col(pattern)).alias("pattern"))
+    d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("body"))
+    score = F.regexp_count("body", F.col("pattern")).cast("double").alias("score")
+    return top_k(in_blocks(d, q).select("query", "doc", score).where("score > 0"), k)
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -102,24 +128,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-#: Queries of a block: as many travel to the documents by one broadcast or meet them in one cell.
-BLOCK = 4096
-
-
 def cosine_scores(docs: DataFrame, doc: str, vector: str, queries: DataFrame, query: str, query_vector: str) -> DataFrame:
-    """Every query against every document. One block of queries is broadcast; of more, each meets each slice of the documents in a cell."""
+    """Every query against every document, in blocks of queries."""
     q = queries.select(F.col(query).alias("query"), doubles(F.col(query_vector)).alias("qv")).withColumn("qn", F.sqrt(dot(F.col("qv"), F.col("qv"))))
     d = docs.select(F.col(doc).alias("doc"), doubles(F.col(vector)).alias("dv")).withColumn("dn", F.sqrt(dot(F.col("dv"), F.col("dv"))))
-    blocks = -(-q.count() // BLOCK)
-    if blocks <= 1:
-        pairs = d.crossJoin(F.broadcast(q))
-    else:
-        slices = max(1, -(-d.count() // (4 * BLOCK)))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        q = q.withColumn("block", deal("query", blocks)).withColumn("slice", every(slices))
-        d = d.withColumn("slice", deal("doc", slices)).withColumn("block", every(blocks))
-        pairs = d.join(q.hint("shuffle_hash"), ["block", "slice"])
+    pairs = in_blocks(d, q)
     n = F.col("dn") * F.col("qn")
     return pairs.select("query", "doc", F.when(n > 0, dot(F.col("dv"), F.col("qv")) / n).otherwise(0.0).alias("score"))
 

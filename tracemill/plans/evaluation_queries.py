@@ -155,4 +155,4 @@ def retrieval_pipeline(t: Tables) -> DataFrame:
     config = {"document_preprocessors": [{"type": "bm25_indexer"}], "retrievers": [{"type": "bm25", "params": {"top_k": 5}}, {"type": "grep", "params": {"top_k": 5}}]}
     p = G.RetrievalPipeline(config)
     p.index(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
-    return p.retrieve(t.benchmark.where("item_id < 3").select(F.col("item_id").alias("query"), F.substring("text", 1, 30).alias("text")), top_k=6)
+    return p.retrieve(t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query"), "text"), top_k=6)

@@ -129,12 +129,7 @@ def _by_vector(queries: DataFrame, state: dict, top_k: int = 10, vector: str = "
 
 @retrievers.register("grep")
 def _by_pattern(queries: DataFrame, state: dict, top_k: int = 10, case_sensitive: bool = False, **_: Any) -> DataFrame:
-    """Patterns are plans of their own, so the queries are few."""
-    out = None
-    for q in queries.select("query", "text").collect():
-        r = R.grep(state["documents"], "id", "content", q.text, top_k, not case_sensitive).withColumn("query", F.lit(q.query))
-        out = r if out is None else out.unionByName(r)
-    return out.select("query", "doc", "score")
+    return R.grep_top_k(state["documents"], queries, top_k, "id", "content", "query", "text", not case_sensitive)
 
 
 @postprocessors.register("reranker")
