@@ -7,9 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from compare import connect
+from pyspark.sql import functions as F
 
-from tracemill.operators import retrieval
-from tracemill.plans import evaluation_queries, registry, text_queries  # noqa: F401
+from tracemill.operators import ordered, retrieval
+from tracemill.plans import evaluation_queries, ordered_queries, registry, text_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +129,22 @@ def test_grep_matches_all_patterns_in_one_pass(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "BLOCK", block)
         got = retrieval.grep_top_k(docs, q, 2, "id", "text", "query", "text").orderBy("query", "rank")
         assert [(r["query"], r.doc, r.score, r["rank"]) for r in got.collect()] == want
+
+
+def test_envelope_spans_each_users_events(spark, data, con):
+    users = {}
+    for u, x in con.execute("select user_id, value from events order by user_id, ts, event_id").fetchall():
+        users.setdefault(u, []).append(x)
+    want = set()
+    for u, x in users.items():
+        n = max(1, len(x) // 6)
+        want |= {(u, k, min(x[k * n : k * n + n]), max(x[k * n : k * n + n])) for k in range(len(x) // n)}
+    got = [(r.user_id, r.bucket, r.low, r.high) for r in registry.QUERIES["waveform_envelope"](spark, data).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_envelope_of_short_and_long_groups(spark):
+    d = spark.createDataFrame([(g, k) for g, n in ((None, 3), ("b", 11), ("c", 1000)) for k in range(n)], "g string, pos long")
+    got = {(r.g, r.bucket): (r.low, r.high) for r in ordered.envelope(d, ["g"], F.col("pos"), "pos", 6).collect()}
+    want = {(None, k): (k, k) for k in range(3)} | {("b", k): (k, k) for k in range(11)} | {("c", k): (166 * k, 166 * k + 165) for k in range(6)}
+    assert got == want

@@ -123,9 +123,12 @@ def proportional_release(df: DataFrame, by: Sequence[str], order: Sequence[Colum
     return d.withColumn("part", F.substr(F.col(text), (F.col("from") + 1).cast("int"), (F.col("released") - F.col("from")).cast("int")))
 
 
-def envelope(df: DataFrame, by: Sequence[str], pos: Column, value: str, width: int, points: int) -> DataFrame:
-    """Minimum and maximum of each stretch of ``width`` positions; what is past the last point is dropped."""
-    d = df.withColumn("bucket", F.floor(pos / width)).where(F.col("bucket") < points)
+def envelope(df: DataFrame, by: Sequence[str], pos: Column, value: str, points: int) -> DataFrame:
+    """Minimum and maximum of each whole window of a group; a window is a ``points``-th of the group's rows, one row at least, so only a rest shorter than a window is left out."""
+    d = df.withColumn("pos", pos)
+    n = d.groupBy(*by).agg(F.count("*").alias("n")).withColumn("width", F.greatest(F.lit(1).cast("long"), F.expr(f"n div {int(points)}")))
+    n = n.select(*[F.col(b).alias(f"of_{b}") for b in by], "n", "width")
+    d = d.join(n, [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by]).withColumn("bucket", F.expr("pos div width")).where(F.col("bucket") < F.expr("n div width"))
     return d.groupBy(*by, "bucket").agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 

@@ -155,7 +155,7 @@ select user_id, (pos // 8)::bigint as bucket, min(value) as low, max(value) as h
 """)
 def waveform_envelope(t: Tables) -> DataFrame:
     pos = F.row_number().over(W.partitionBy("user_id").orderBy(*by_time())) - 1
-    return O.envelope(t.events.withColumn("pos", pos), ["user_id"], F.col("pos"), "value", 8, 6)
+    return O.envelope(t.events.withColumn("pos", pos), ["user_id"], F.col("pos"), "value", 6)
 
 
 @query("""
