@@ -1,5 +1,6 @@
 """Queries that do the whole job: every stated row, whole texts, against brute force."""
 
+import math
 import os
 import re
 from collections import Counter
@@ -148,3 +149,19 @@ def test_envelope_of_short_and_long_groups(spark):
     got = {(r.g, r.bucket): (r.low, r.high) for r in ordered.envelope(d, ["g"], F.col("pos"), "pos", 6).collect()}
     want = {(None, k): (k, k) for k in range(3)} | {("b", k): (k, k) for k in range(11)} | {("c", k): (166 * k, 166 * k + 165) for k in range(6)}
     assert got == want
+
+
+def test_release_gives_whole_transcripts(spark, data, con):
+    turns = {}
+    for c, n, x in con.execute("select conv_id, turn, text from conversations order by conv_id, turn").fetchall():
+        turns.setdefault(c, []).append((n, x))
+    want = set()
+    for c, rows in turns.items():
+        text, at = rows[0][1], 0
+        for n, _ in rows:
+            end = max(at, min(len(text), math.ceil(n * 7 % 10 / 9.0 * len(text))))
+            want.add((c, n, end, text[at:end]))
+            at = end
+    assert max(r[2] for r in want) > 40
+    got = [tuple(r) for r in registry.QUERIES["proportional_release"](spark, data).select("conv_id", "turn", "released", "part").collect()]
+    assert len(got) == len(want) and set(got) == want
