@@ -1,5 +1,6 @@
 """Queries that do the whole job: every stated row, whole texts, against brute force."""
 
+import html
 import math
 import os
 import re
@@ -165,3 +166,10 @@ def test_release_gives_whole_transcripts(spark, data, con):
     assert max(r[2] for r in want) > 40
     got = [tuple(r) for r in registry.QUERIES["proportional_release"](spark, data).select("conv_id", "turn", "released", "part").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_whole_pages_are_escaped(spark, data, con):
+    want = {(p, html.escape(x), len(x)) for p, x in con.execute("select page_id, html from pages").fetchall()}
+    assert max(r[2] for r in want) > 200
+    got = [tuple(r) for r in registry.QUERIES["html_escape"](spark, data).select("page_id", "escaped", "n").collect()]
+    assert len(got) == len(want) and set(got) == want

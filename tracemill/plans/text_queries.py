@@ -162,7 +162,7 @@ def snippets(t: Tables) -> DataFrame:
 select page_id, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as escaped, length(html) as n from pages
 """)
 def html_escape(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", X.html_escape(F.substring("html", 1, 200)).alias("escaped"), long(F.length("html")).alias("n"))
+    return t.pages.select("page_id", X.html_escape(F.col("html")).alias("escaped"), long(F.length("html")).alias("n"))
 
 
 @query("select c_custkey, contains(replace(lower(c_name || ', 1,000 units'), ',', ''), lower('1000 UNITS')) as plain, contains(replace(lower(c_name || ', 1,000 units'), ',', ''), '1,000') as comma from customer")
