@@ -10,9 +10,12 @@ share of link characters and link tags against the page's own:
 
 with C characters, T tags, LC link characters, LT link tags, nLC the rest,
 LCb and Cb those of the body; zeros count as one. The subtree whose children's
-densities add up to the most is the core of the article. The least density on
-the path from it to the body is the threshold: blocks beside the path, up to
-the article or body element, stay if they reach it.
+densities add up to the most is the core of the article; the article or main
+element around it is all article. The least density on the path from there to
+the body is the threshold: blocks beside the path, up to the outermost main or
+article or else to the body, stay if they reach it, or if they have headings,
+paragraphs, lists or the like and no more than half of their text is links; so
+does bare text.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by an empty line. Null or empty html
@@ -43,6 +46,8 @@ DROP = frozenset("nav header footer aside form button dialog menu svg math canva
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption table caption thead tbody tfoot tr td th address hgroup details summary center search".split()
 )
+#: Blocks that articles are written in.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl pre blockquote figure table details".split())
 #: Words of a class, id or role that mark an element as no part of the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adbox banner sponsor sponsored promo promotion sidebar aside comment comments discussion disqus respond reply replies nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets tags skip contentinfo complementary".split()
@@ -177,6 +182,37 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _beside(n: Node, on_path: Node, least: float) -> set[tuple[int, int]]:
+    """(node, place) of the children of a path node that belong to the article: blocks by themselves, bare text in runs between them."""
+    picked: set[tuple[int, int]] = set()
+    run, chars, links = [], 0, 0
+    for i, k in enumerate([*n.kids, None]):
+        if isinstance(k, Node) and k.dropped:
+            continue
+        if k is None or k is on_path or isinstance(k, Node) and k.tag in BLOCK:
+            if 2 * links <= chars:
+                picked.update(run)
+            run, chars, links = [], 0, 0
+            if k is not None and k is not on_path and (k.density >= least or 2 * k.links <= k.chars and _has_prose(k)):
+                picked.add((id(n), i))
+        else:
+            size = len(" ".join(_decoded(k).split())) if isinstance(k, str) else k.chars
+            run.append((id(n), i))
+            chars += size
+            links += size * n.link if isinstance(k, str) else k.links
+    return picked
+
+
+def _has_prose(n: Node) -> bool:
+    stack = [n]
+    while stack:
+        k = stack.pop()
+        if k.tag in PROSE:
+            return True
+        stack.extend(x for x in k.kids if isinstance(x, Node) and not x.dropped)
+    return False
+
+
 def main_blocks(source: str | None) -> list[str]:
     """The blocks of the article."""
     if not source or not source.strip():
@@ -190,18 +226,18 @@ def main_blocks(source: str | None) -> list[str]:
         if core.tag == "p" and core.parent is not None:
             core = core.parent
     path = [core]
-    while path[-1].tag not in KEEP and path[-1].parent is not None:
+    while path[-1].tag != "body" and path[-1].parent is not None:
         path.append(path[-1].parent)
-    least = min(n.density for n in path)
-    picked = {id(core)}
-    for n in path[1:]:
-        for k in n.kids:
-            if isinstance(k, Node) and not k.dropped and k.density >= least:
-                picked.add(id(k))
-    return _texts(path[-1], picked, core)
+    around = [k for k, n in enumerate(path) if n.tag in ("article", "main")]
+    first, last = (around[0], around[-1]) if around else (0, len(path) - 1)
+    least = min(n.density for n in path[first:])
+    picked: set[tuple[int, int]] = set()
+    for k in range(first, last):
+        picked |= _beside(path[k + 1], path[k], least)
+    return _texts(path[last], picked, path[first])
 
 
-def _texts(top: Node, picked: set[int], core: Node) -> list[str]:
+def _texts(top: Node, picked: set[tuple[int, int]], core: Node) -> list[str]:
     out: list[str] = []
     now: list[str] = []
 
@@ -212,7 +248,7 @@ def _texts(top: Node, picked: set[int], core: Node) -> list[str]:
             out.append(text)
 
     # (node, inside a picked subtree); None closes a block
-    stack: list[tuple] = [(top, id(top) in picked)]
+    stack: list[tuple] = [(top, False)]
     while stack:
         n, inside = stack.pop()
         if n is None:
@@ -225,14 +261,14 @@ def _texts(top: Node, picked: set[int], core: Node) -> list[str]:
             if n.tag == "hr":
                 flush()
         elif not n.dropped:
-            inside = inside or id(n) in picked
+            inside = inside or n is core
             block = n.tag in BLOCK and n.tag not in ("td", "th")
             if block:
                 flush()
                 stack.append((None, False))
             elif n.tag in ("td", "th"):
                 now.append(" ")
-            stack.extend((k, inside) for k in reversed(n.kids))
+            stack.extend((n.kids[i], inside or (id(n), i) in picked) for i in reversed(range(len(n.kids))))
     flush()
     return out
 
