@@ -25,3 +25,18 @@ def test_menus_beside_the_core_still_go():
     links = "<ul>" + "<li><a href=x>menu</a>" * 5 + "</ul>"
     assert f(f"<body><div>{links}<div>{BODY}</div><a href=x>home</a> | <a href=x>top</a></div></body>") == [A, B, C]
     assert f(f"<body><div><p>outside</p></div><article><div>{BODY}</div></article></body>") == [A, B, C]
+
+
+def test_body_ends_an_open_head():
+    for start in ("<html><head><meta charset=utf-8><title>t</title><body>", "<head><link rel=x href=y>", "<!DOCTYPE html><head><title>t</title></head><body class=x>", "<head>\n<style>p{}</style>\n<body>"):
+        assert f(f"{start}<article><h1>{H}</h1>{BODY}</article>") == [H, A, B, C], start
+    assert f("<html><head><title>t</title>Plain text of a page") == ["Plain text of a page"]
+
+
+def test_marks_inside_names_do_not_drop_the_article():
+    for name in ("content has-sidebar", "post tags-news", "page header-fixed", "no-comments"):
+        assert f(f'<body><nav><a href=x>menu</a></nav><div class="{name}"><h1>{H}</h1>{BODY}</div></body>') == [H, A, B, C], name
+    posts = "".join(f'<div class="post tags-news"><p>{x} {k}</p></div>' for k in range(3) for x in (A, B))
+    assert len(f(f"<body>{posts}</body>")) == 6
+    for name in ("sidebar-right", "site-header", "comments-area", "cookie-notice", "footer"):
+        assert f(f'<body><div class="{name}"><p>Something short.</p></div><div>{BODY}</div></body>') == [A, B, C], name

@@ -2,7 +2,8 @@
 
 A page becomes a tree of elements. Elements that hold no article text by their
 nature (menus, headers, footers, sidebars, forms, scripts, notices, adverts,
-reader comments: by tag, role or a word of their class or id) leave it first.
+reader comments: by tag, role, class name or id) leave it first; where only a
+part of a name says so, unless the element holds much of the page's text.
 Each remaining block's density is its characters per tag, adjusted by the
 share of link characters and link tags against the page's own:
 
@@ -52,6 +53,10 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl pre blockquote figure tab
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adbox banner sponsor sponsored promo promotion sidebar aside comment comments discussion disqus respond reply replies nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets tags skip contentinfo complementary".split()
 )
+#: Words beside a mark that leave it a mark.
+NEUTRAL = frozenset("area box block container form list section thread wrap wrapper".split())
+#: What may stand in a head; any other start tag or text ends it.
+HEAD = frozenset("base basefont bgsound link meta title script style noscript template".split())
 KEEP = frozenset("html body main article".split())
 #: Start tags that end an open element of the named kinds.
 _P_ENDERS = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -60,20 +65,23 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "dropped", "link", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "dropped", "doubt", "link", "chars", "links", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, link: bool):
         self.tag, self.parent, self.dropped, self.link = tag, parent, dropped, link
+        self.doubt = False
         self.kids: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _marked(tag: str, attributes: str) -> bool | None:
+    """Whether an element is no part of the article; None if only a part of a class name, id or role says so."""
     if tag in DROP:
         return True
     if not attributes or tag in KEEP:
         return False
+    doubt = False
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -81,18 +89,54 @@ def _marked(tag: str, attributes: str) -> bool:
         if name == "style":
             if "display:none" in value.replace(" ", ""):
                 return True
-        elif name in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        elif name in ("class", "id", "role"):
+            for whole in value.split():
+                words = {w for w in re.split(r"[^a-z]+", whole) if w}
+                if not MARKS.isdisjoint(words):
+                    if words <= MARKS | NEUTRAL:
+                        return True
+                    doubt = True
+    return None if doubt else False
+
+
+def _settle(root: Node) -> None:
+    """Drop the elements in doubt unless their text speaks for them: a quarter of the page's own, or half of it together and not mostly links."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(k for k in n.kids if isinstance(k, Node) and not k.dropped)
+    text: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for n in reversed(order):
+        own = sum(len(" ".join(_decoded(k).split())) for k in n.kids if isinstance(k, str))
+        kids = [id(k) for k in n.kids if isinstance(k, Node) and not k.dropped]
+        text[id(n)] = own * (not n.link) + sum(text[k] for k in kids)
+        links[id(n)] = own * n.link + sum(links[k] for k in kids)
+    most = text[id(root)]
+    small, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if n.doubt and 4 * text[id(n)] < max(1, most):
+            small.append(n)
+        else:
+            stack.extend(k for k in n.kids if isinstance(k, Node) and not k.dropped)
+    together = 2 * sum(text[id(n)] for n in small) >= max(1, most)
+    for n in small:
+        n.dropped = not (together and text[id(n)] >= links[id(n)])
 
 
 def parse(source: str) -> Node:
     root = node = Node("html", None, False, False)
+    doubt = False
+    head = body = None
     at, end = 0, len(source)
     while at < end:
         m = _TAG.search(source, at)
         text = source[at : m.start()] if m else source[at:]
         if text:
+            if node is head and not text.isspace():
+                node = root
             node.kids.append(text)
         if not m:
             break
@@ -111,10 +155,12 @@ def parse(source: str) -> Node:
                 node.kids.append(Node("p", node, node.dropped, node.link))
             continue
         if tag in ("html", "body"):
-            if tag == "body" and root.tag != "body" and node is root:
-                node = Node("body", root, False, False)
+            if tag == "body" and body is None and node in (root, head):
+                node = body = Node("body", root, False, False)
                 root.kids.append(node)
             continue
+        if node is head and tag not in HEAD:
+            node = root
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(source, at)
             at = stop.end() if stop else end
@@ -134,11 +180,18 @@ def parse(source: str) -> Node:
                 up = up.parent
             if hit is not None:
                 node = hit.parent
-        new = Node(tag, node, node.dropped or _marked(tag, attributes), node.link or tag == "a")
+        marked = _marked(tag, attributes)
+        new = Node(tag, node, node.dropped or bool(marked), node.link or tag == "a")
+        if marked is None and not new.dropped:
+            new.doubt = doubt = True
+        if tag == "head" and head is None and node is root:
+            head = new
         node.kids.append(new)
         if tag not in VOID and not attributes.endswith("/") or tag == "a":
             if tag not in VOID:
                 node = new
+    if doubt:
+        _settle(root)
     return root
 
 
