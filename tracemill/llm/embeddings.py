@@ -6,12 +6,14 @@ rotated at random and split into two halves, each half has ``words`` random unit
 code words, and every pair of code words is a direction, so words x words filters
 cost 2 x words inner products. List decoding finds all directions that a vector
 exceeds from the few best code words of either half. The height is the vector's
-own: ``PASSES`` directions of each of ``CODES`` independent codes exceed it. (One
+own: ``PASSES`` directions of each of ``CODES`` or more independent codes exceed it. (One
 height for all vectors leaves some without any filter: it missed 10 % of random
 pairs at cosine 0.9 in 64 dimensions where own heights missed none of 4,000.)
 Vectors that share a filter meet and are verified by cosine in double
 precision. ``words`` grows with the number of vectors, so that a filter has about
-``PER_FILTER`` vectors of a random set.
+``PER_FILTER`` vectors of a random set; each dimension then gets more codes, and
+fewer words where ``MOST_CODES`` do not do, until random pairs at the threshold
+miss each other in no more than ``MISSED`` of a trial.
 
 Equal vectors are one class with a count. A filter with more than ``BLOCK``
 classes is dealt out as pairs of blocks, so that no task holds more than two
@@ -41,6 +43,9 @@ from tracemill.llm.common import cut, map_batches, shape
 from tracemill.llm.components import connected_components
 
 CODES = 8
+MOST_CODES = 12
+#: Share of the random pairs at the threshold that a plan may miss, and their number.
+MISSED, PAIRS = 0.001, 4000
 PASSES = 4
 PER_FILTER = 16
 BLOCK = 1024
@@ -78,21 +83,50 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 class Codes:
     """The codes of all dimensions that a task meets."""
 
-    def __init__(self, words: int, seed: int):
-        self.words, self.seed, self.codes = words, seed, {}
+    def __init__(self, words: int, seed: int, plans: dict[int, tuple[int, int]] | None = None):
+        self.words, self.seed, self.plans, self.codes = words, seed, plans or {}, {}
 
     def filters(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter number); numbers differ between codes and dimensions."""
         dim = unit.shape[1]
         if dim not in self.codes:
-            self.codes[dim] = [Code(dim, self.words, self.seed, n) for n in range(CODES)]
+            words, number = self.plans.get(dim, (self.words, CODES))
+            self.codes[dim] = [Code(dim, words, self.seed, n) for n in range(number)]
         found = [c.decode(unit) for c in self.codes[dim]]
-        which = [f + (dim * CODES + n) * self.words**2 for n, (_, f) in enumerate(found)]
+        which = [f + (dim * MOST_CODES + n) * self.words**2 for n, (_, f) in enumerate(found)]
         return np.concatenate([r for r, _ in found]), np.concatenate(which)
 
 
-def _decode(words: int, seed: int, thin: bool):
-    codes = Codes(words, seed)
+def random_pairs(rng: np.random.Generator, n: int, dim: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    v = unit_rows(rng.standard_normal((n, dim)))
+    z = rng.standard_normal((n, dim))
+    z = unit_rows(z - (z * v).sum(1, keepdims=True) * v)
+    return v, cosine * v + math.sqrt(1 - cosine * cosine) * z
+
+
+def plan(dim: int, words: int, seed: int, threshold: float) -> tuple[int, int]:
+    """(code words, codes) of a dimension: as many codes, then as few words, as let random pairs at the threshold meet but for ``MISSED`` of them."""
+    if dim < 2 or not 0 < threshold < 1:
+        return words, CODES
+    v, w = random_pairs(np.random.default_rng([seed, dim]), PAIRS, dim, threshold)
+    while True:
+        apart = np.arange(PAIRS)
+        for n in range(MOST_CODES):
+            if n >= CODES and len(apart) <= MISSED * PAIRS:
+                return words, n
+            if not len(apart):
+                continue
+            code = Code(dim, words, seed, n)
+            (a, fa), (b, fb) = code.decode(v[apart]), code.decode(w[apart])
+            met = np.unique(np.intersect1d(a * words**2 + fa, b * words**2 + fb) // words**2)
+            apart = np.delete(apart, met)
+        if words <= 16 or len(apart) <= MISSED * PAIRS:
+            return words, MOST_CODES
+        words = max(16, words * 3 // 4)
+
+
+def _decode(words: int, seed: int, thin: bool, plans: dict[int, tuple[int, int]]):
+    codes = Codes(words, seed, plans)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         cids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
@@ -144,9 +178,9 @@ def _links(ns: np.ndarray, unit: np.ndarray, codes: Codes, here: int, side: np.n
     return rows, counts, rows[label]
 
 
-def _verify(threshold: float, words: int, seed: int):
+def _verify(threshold: float, words: int, seed: int, plans: dict[int, tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(words, seed)
+        codes = Codes(words, seed, plans)
         kept: list[pa.RecordBatch] = []
         key = None
         found: list[tuple] = []
@@ -204,20 +238,21 @@ def embedding_clusters(df: DataFrame, *, id_col: str = "vec_id", vector_col: str
     """One row a vector: ``id, n_links, component_id, kept``."""
     shape(df, id_col, vector_col)
     classes = cut(vector_classes(df, id_col, vector_col))
-    total = max(1, classes.count())
-    words = max(16, math.isqrt(total * PASSES // PER_FILTER) + 1)
+    count = classes.agg(F.count("*").alias("n"), F.collect_set(F.size("vector")).alias("dims")).first()
+    words = max(16, math.isqrt(max(1, count.n) * PASSES // PER_FILTER) + 1)
+    plans = {dim: plan(dim, words, seed, threshold) for dim in count.dims}
     vectors = classes.select("cid", "n", "vector")
     # Crowded filters first, from numbers alone, so that vectors are dealt out only once.
-    crowd = map_batches(vectors, "filter long", lambda: _decode(words, seed, True)).groupBy("filter").agg(F.count("*").alias("members"))
+    crowd = map_batches(vectors, "filter long", lambda: _decode(words, seed, True, plans)).groupBy("filter").agg(F.count("*").alias("members"))
     crowd = cut(crowd.where(F.col("members") > BLOCK))
     kind = dict(df.dtypes)[vector_col]
-    fat = map_batches(vectors, f"filter long, cid long, n long, vector {kind}", lambda: _decode(words, seed, False))
+    fat = map_batches(vectors, f"filter long, cid long, n long, vector {kind}", lambda: _decode(words, seed, False, plans))
     fat = fat.join(crowd, "filter", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int"))
     fat = fat.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     spread = fat.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other", "members")
     parts = spread.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j")
-    found = cut(parts.mapInArrow(_verify(threshold, words, seed), "cid long, links long, root long"))
+    found = cut(parts.mapInArrow(_verify(threshold, words, seed, plans), "cid long, links long, root long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = connected_components(found, "cid", "root")
     table = classes.select("vector", "cid", "n").join(links, "cid", "left").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
