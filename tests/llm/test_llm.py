@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -258,7 +259,7 @@ def slow_base(text):
     for k, (name, pattern) in enumerate([("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]):
         for m in re.finditer(pattern, text):
             d = re.sub("[^0-9]", "", m[0])
-            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if name == "ip" else True, "card": 14 <= len(d) <= 19 and pii.luhn(d), "phone": 10 <= len(d) <= 15}[name]
+            ok = {"email": True, "ip": name != "ip" or all(x.lstrip("0").zfill(3) <= "255" and len(x.lstrip("0")) <= 3 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and pii.luhn(d), "phone": 10 <= len(d) <= 15}[name]
             if ok:
                 out.append((m.start(), k, m.end(), name))
     return [(a, b, n) for a, _, b, n in sorted(out)]
@@ -266,25 +267,55 @@ def slow_base(text):
 
 def test_base_spans(docs):
     rng = random.Random(7)
-    bits = ["a@b.c", "@", ".", "x..y", "1.2.3.4", "256.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 555-1234", "+", "12345678901234567890", " ", "é", "-", "9", "token = "]
+    bits = ["a@b.c", "@", ".", "x..y", "1.2.3.4", "256.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 555-1234", "+", "12345678901234567890", "1.2.3." + "9" * 5000, "00000.0007.1.255", "@a.b@c.d", " ", "é", "-", "9", "token = "]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [r.text for r in rows(docs)]
     for t in texts:
         assert pii.base_spans(t) == slow_base(t), t
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
-def test_crf_adds_secrets(spark, docs):
+def test_long_and_hostile_texts():
     crf = pii.train()
-    fresh = pii.labelled_table(300, seed=99)
-    found = pii.find([t for t, _ in fresh], crf)
-    want = {(n, a, b) for n, (_, spans) in enumerate(fresh) for a, b, k in spans if k == "secret"}
-    got = {(n, a, b) for n, (_, spans) in enumerate(found) for a, b, k in spans if k == "secret"}
-    assert len(want & got) / len(want) > 0.95 and len(want & got) / len(got) > 0.95
+    hostile = ["1.2.3." + "9" * 5000, "9" * 1_000_000, "1." * 300_000, "+1" * 300_000, "a." * 300_000 + "@", "@a" * 300_000, 'token = "' + "a1" * 300_000, "1 " * 60_000, "a@b " * 30_000]
+    for t in hostile:
+        began = time.process_time()
+        pii.find([t], crf)
+        assert time.process_time() - began < 3, t[:20]
+
+
+def test_crf_adds_spans(spark, docs):
+    """Lines that are not in the labelled table."""
+    crf = pii.train()
+    fresh = [
+        'her token: "[secret|0f1e2d3c4b5a69788796a5b4c3d2e1f00112233a]" , she said',
+        "AUTH=[secret|Qw7Er2Ty9Ui4Op1As6Df3Gh8Jk5] then go",
+        "we lost ([secret|aB3dE5fG7hI9jK1lM3nO5pQ7]) there",
+        "ask [phone|(617) 555-0122] at noon",
+        "the number [phone|702-555-0164] works",
+        "write [email|bob7@mailhost] soon",
+        "on 13.04.2019 some 120 of 4,500 came",
+        "version 3.2.1 of 2022-12-01 has 14 parts",
+        "it is 12:30, room 204, 50% off $20.99",
+        "row 123e4567-e89b-12d3-a456-426614174000 is there",
+    ]
+    table = pii.labelled_table(fresh)
+    for (text, want), (own, spans) in zip(table, pii.find([t for t, _ in table], crf)):
+        assert own == [] and spans == want, (text, spans)
     for r in rows(docs):
         own, spans = pii.find([r.text], crf)[0]
         assert set(own) <= set(spans)
-        for m in re.finditer('token = "([0-9a-f]{40})"', r.text):
-            assert (m.start(1), m.end(1), "secret") in spans
+        planted = {(m.start(1), m.end(1), "secret") for m in re.finditer('token = "([0-9a-fA-F]{40})"', r.text, re.I)}
+        assert set(spans) - set(own) == planted
+
+
+def test_pii_query(spark, data, docs):
+    """The registered query's digest columns against the slow search."""
+    got = {r.doc_id: r for r in rows(queries.op5_pii(spark, data))}
+    for d in rows(docs):
+        want, r = slow_base(d.text or ""), got[d.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in want).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for _, _, x in want) for k in pii.KINDS)
+        assert {f"{k}:{a}:{b}" for a, b, k in want} <= set(r.spans.split(",")) | {""}
 
 
 def test_crf_decoding_is_exact():
@@ -306,6 +337,8 @@ def test_pii_edges(odd, none):
     r = rows(pii.personal_data(odd, F.col("text"), doc_id=F.col("doc_id")))
     assert len(r) == len(ODD) and all(x.spans == "" and x.base_sha256 == hashlib.sha256(b"").hexdigest() for x in r)
     assert pii.personal_data(none, F.col("text"), doc_id=F.col("doc_id")).count() == 0
+    clash = pii.personal_data(odd, F.col("text"), text=F.col("text"), spans=F.lit(1), work0=F.col("id"))
+    assert clash.columns[:2] == ["text", "work0"] and clash.count() == len(ODD)
     assert pii.redact("mail a@b.c now", [(5, 10, "email")]) == "mail <email> now" and pii.redact(None, []) is None
 
 

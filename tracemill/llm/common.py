@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> None:
     """Make sure that checkpoints have a folder: the cluster's own, or a local one where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
         told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
         spark.sparkContext.setCheckpointDir(told or tempfile.mkdtemp(prefix="tracemill-ck-"))
 
 
@@ -38,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def hashable(df: DataFrame) -> list[Column]:
-    """The columns of ``df`` that xxhash64 accepts."""
+    """The columns of ``df`` in forms that xxhash64 accepts: maps as sorted entries, variants (and what holds them deeper) as JSON."""
 
     def plain(t: T.DataType) -> bool:
         if isinstance(t, T.ArrayType):
@@ -47,7 +49,15 @@ def hashable(df: DataFrame) -> list[Column]:
             return all(plain(f.dataType) for f in t.fields)
         return not isinstance(t, (T.MapType, T.VariantType))
 
-    return [F.col(f"`{f.name}`") for f in df.schema.fields if plain(f.dataType)]
+    def form(f: T.StructField) -> Column:
+        c, t = F.col(f"`{f.name}`"), f.dataType
+        if plain(t):
+            return c
+        if isinstance(t, T.MapType) and plain(t.keyType) and plain(t.valueType):
+            return F.array_sort(F.map_entries(c))
+        return F.to_json(F.struct(c))
+
+    return [form(f) for f in df.schema.fields]
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -80,6 +90,50 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def add_columns(
+    df: DataFrame,
+    keep: dict[str, Column],
+    work: list[Column],
+    new: list[T.StructField],
+    start: Callable[[], Callable[..., list[pa.Array]]],
+) -> DataFrame:
+    """Columns ``keep``, then ``new``, made in Python from ``work`` alone.
+
+    ``start`` runs once a task; its function takes the arrays of ``work`` and
+    gives those of ``new``. Working columns have no names that could clash; a kept
+    column with the name of a new one is left out.
+    """
+    taken = {f.name.lower() for f in new}
+    keep = {k: c for k, c in keep.items() if k.lower() not in taken}
+    d = df.select(*[c.alias(f"keep{n}") for n, c in enumerate(keep.values())], *[c.alias(f"work{n}") for n, c in enumerate(work)])
+    fields = [T.StructField(k, f.dataType, f.nullable) for k, f in zip(keep, d.schema.fields)]
+    names = [*keep, *[f.name for f in new]]
+    kept = len(keep)
+
+    def begin() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        step = start()
+        return lambda batch: pa.RecordBatch.from_arrays([*batch.columns[:kept], *step(*batch.columns[kept:])], names=names)
+
+    return map_batches(d, T.StructType([*fields, *new]), begin)
+
+
+#: Tasks that the rows of one group are spread over at most.
+SALTS = 32
+
+
+def beside(df: DataFrame, key: str, by: Column, **aggregates: tuple[Callable[[Column], Column], Column]) -> DataFrame:
+    """``df`` with aggregates of each ``key``'s rows beside every row, a key of any size spread over up to ``SALTS`` tasks.
+
+    ``by`` deals the rows of a key out; an aggregate is a function that may be applied to its own results (min, max, sum), and a column.
+    Sums of a salt come first, then those of a key, which go back to the salts that have rows of it.
+    """
+    d = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    part = d.groupBy(key, "_salt").agg(*[f(c).alias(k) for k, (f, c) in aggregates.items()])
+    whole = part.groupBy(key).agg(*[f(F.col(k)).alias(k) for k, (f, _) in aggregates.items()], F.collect_set("_salt").alias("_salts"))
+    back = whole.select(key, *aggregates, F.explode("_salts").alias("_salt"))
+    return d.join(back, [key, "_salt"]).drop("_salt")
+
+
 def shape(df: DataFrame, *columns: str) -> None:
     """Raise a plain error for a missing column."""
     missing = [c for c in columns if c not in df.columns]

@@ -8,10 +8,12 @@ automaton finds every exact piece hit, and Myers' bit-parallel algorithm
 verifies the window around it. Windows of one item that overlap are joined and
 verified once. An item too short for any edit must occur as whole words.
 
-Documents are read once, whole, by an automaton in each task, so nothing is
-shuffled. Items come to the tasks in blocks of at most ``BLOCK_CHARS``
-characters, each block a pass over the documents: the table of items may grow,
-what a task holds may not.
+Documents are read whole, by an automaton in each task, so nothing is shuffled.
+Different items go to the tasks in blocks of about ``BLOCK_CHARS`` characters (a
+longer item is a block of its own), as broadcasts that the driver makes one at a
+time; each block is a pass over the documents. So the table of items may grow,
+what the driver or a task holds may not. Benchmarks of less than a block, some
+50,000 questions, take one pass.
 
 Null and blank items and documents match nothing. Items that repeat give a row
 each, rows of documents that repeat are judged each, a null id is kept as null,
@@ -22,11 +24,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracemill.llm.common import map_batches, shape
 
@@ -75,10 +80,11 @@ def bits(pattern: str) -> dict[str, int]:
 
 
 class Matcher:
-    """Finds the items of one block in normalised documents."""
+    """Finds the items of one block, (id, text, copies) each, in normalised documents."""
 
-    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int = CHARS_PER_EDIT):
-        self.items = [(i, t, len(t) // chars_per_edit) for i, t in ((i, normalise(t)) for i, t in items) if t]
+    def __init__(self, items: list[tuple], chars_per_edit: int = CHARS_PER_EDIT):
+        self.items = [(i, t, len(t) // chars_per_edit) for i, t in ((i, normalise(t)) for i, t, *_ in items) if t]
+        self.copies = [n[0] if n else 1 for i, t, *n in items if normalise(t)]
         self.peq = [bits(t) for _, t, _ in self.items]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, text, k) in enumerate(self.items):
@@ -94,8 +100,8 @@ class Matcher:
         if pieces:
             self.automaton.make_automaton()
 
-    def find(self, text: str | None, first: bool = False) -> list[tuple[int, int, int]]:
-        """(item id, distance, end in the normalised text) of every item that the text leaks; ``first``: stop at one."""
+    def find(self, text: str | None, first: bool = False) -> list[tuple]:
+        """(item id, distance, end in the normalised text) of every item that the text leaks, for each of its copies; ``first``: stop at one."""
         if not self.items:
             return []
         text = f" {normalise(text)} "
@@ -107,7 +113,7 @@ class Matcher:
         for n, diagonals in starts.items():
             item, pattern, k = self.items[n]
             if not k:
-                found.append((item, 0, diagonals[0] + len(pattern)))
+                found += [(item, 0, diagonals[0] + len(pattern))] * self.copies[n]
             else:
                 best = None
                 diagonals.sort()
@@ -126,38 +132,50 @@ class Matcher:
                     if hit and (best is None or hit[0] < best[0]):
                         best = (hit[0], a + hit[1] - 1)
                 if best:
-                    found.append((item, *best))
+                    found += [(item, *best)] * self.copies[n]
             if first and found:
                 break
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about ``limit`` characters at most, one on the driver at a time being the bound for each."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
+    """The different items and how often each occurs, in blocks of about ``limit`` characters; the driver holds one block."""
     shape(items, id_col, text_col)
-    total = items.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n = -(-total // limit) or 1
-    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).alias("b"))
-    return [[(r.i, r.t) for r in rows.where(F.col("b") == b).orderBy("i", "t").collect()] for b in range(n)]
+    d = items.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).groupBy("i", "t").agg(F.count("*").alias("n"))
+    total = d.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = -(-total // limit) or 1
+    d = d.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    for b in range(blocks):
+        yield [(r.i, r.t, r.n) for r in d.where(F.col("b") == b).orderBy("i", "t").collect()]
+
+
+def _shared(items: DataFrame, id_col: str, text_col: str) -> Iterator[Broadcast]:
+    """Each block as a broadcast, which keeps it on disk and off the driver's heap."""
+    for block in item_blocks(items, id_col, text_col):
+        shared = items.sparkSession.sparkContext.broadcast(block)
+        del block
+        yield shared
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """``id, item_id, distance, match_end``: a row for each document and item that it leaks; the end is in the normalised text."""
     shape(docs, id_col, text_col)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {dict(d.dtypes)['id']}, item_id {dict(items.dtypes)[item_col]}, distance int, match_end long"
+    item_type = items.schema[item_col].dataType
+    schema = f"id {dict(d.dtypes)['id']}, item_id {item_type.simpleString()}, distance int, match_end long"
+    arrow_type = to_arrow_type(item_type)
     out = None
-    for block in item_blocks(items, item_col, item_text):
+    for block in _shared(items, item_col, item_text):
 
         def start(block=block):
-            matcher = Matcher(block, chars_per_edit)
+            matcher = Matcher(block.value, chars_per_edit)
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
                 rows = [(k, *hit) for k, text in enumerate(batch.column(1).to_pylist()) for hit in matcher.find(text)]
                 if not rows:
                     return None
                 k, item, distance, end = zip(*rows)
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), pa.array(item), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], names=["id", "item_id", "distance", "match_end"])
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), pa.array(item, arrow_type), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], names=["id", "item_id", "distance", "match_end"])
 
             return step
 
@@ -170,10 +188,10 @@ def drop_leaking(docs: DataFrame, items: DataFrame, *, text_col: str = "text", i
     """``docs`` without the rows that leak an item; columns stay as they are."""
     shape(docs, text_col)
     at = docs.columns.index(text_col)
-    for block in item_blocks(items, item_col, item_text):
+    for block in _shared(items, item_col, item_text):
 
         def start(block=block):
-            matcher = Matcher(block, chars_per_edit)
+            matcher = Matcher(block.value, chars_per_edit)
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 return batch.filter(pa.array([not matcher.find(t, first=True) for t in batch.column(at).to_pylist()], pa.bool_()))

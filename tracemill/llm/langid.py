@@ -9,8 +9,9 @@ or if its cosine falls far below (``REJECT`` times) what labelled texts of its
 length usually reach.
 
 The labelled rows are a bounded sample: ``PER_LANGUAGE`` expected rows a
-language, chosen by a hash of the id. Their sparse counts, not their
-texts, go to the driver.
+language, chosen by a hash of id and text, so that rows with one id, or none,
+are drawn each by itself; rows that repeat count once. Their sparse counts, not
+their texts, go to the driver, and no more of them than twice the expected rows.
 
 A null text, or one without letters, is ``und`` with score 0. Repeated rows keep
 their rows; an empty table gives an empty result; a table without any label
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import map_batches
+from tracemill.llm.common import add_columns, map_batches
 
 BINS = 4096
 CENTROIDS = 3
@@ -125,56 +126,61 @@ def _sparse(batch_texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
 MOST_LABELS = 10_000
 
 
-def labelled_sample(df: DataFrame, label: Column, key: Column, per_label: int) -> DataFrame:
-    """The rows of a sample of about ``per_label`` a label (all, where there are fewer), by a hash of the key.
+def labelled_sample(df: DataFrame, label: Column, per_label: int, *content: Column) -> DataFrame:
+    """``label``, ``h`` and ``content`` (c0, c1, ...) of about ``per_label`` different rows a label (all, where there are fewer), by a hash of the content.
 
-    Rates are constants of the filter, so the sample is drawn inside the scan.
+    Rates come from the number of different rows and are constants of the filter,
+    so the sample is drawn inside the scan; rows that repeat are one. A limit of
+    twice the expected size, which chance doesn't reach, makes the bound sure.
     """
-    counts = df.where(label.isNotNull()).groupBy(label.alias("label")).agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    h = F.xxhash64(*content)
+    counts = df.where(label.isNotNull()).groupBy(label.alias("label")).agg(F.approx_count_distinct(h).alias("n")).limit(MOST_LABELS + 1).collect()
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
     if not counts:
-        return df.where(F.lit(False))
-    most = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1 << 30, (per_label << 30) // r["n"]))])
-    return df.where(label.isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.try_element_at(most, label)))
+        counts = [{"label": None, "n": 1}]
+    rates = [F.lit(x) for r in counts if r["label"] is not None for x in (r["label"], min(1 << 30, (per_label << 30) // max(1, r["n"])))]
+    most = F.try_element_at(F.create_map(*rates), label) if rates else F.lit(0)
+    names = [f"c{n}" for n in range(len(content))]
+    rows = df.where(label.isNotNull() & (F.pmod(F.xxhash64(h), F.lit(1 << 30)) < most)).select(label.alias("label"), h.alias("h"), *[c.alias(n) for c, n in zip(content, names)])
+    once = rows.groupBy("label", "h").agg(*[F.first(n).alias(n) for n in names])
+    return once.limit(2 * per_label * len(counts) + 100)
 
 
 def learn(df: DataFrame, id_col: Column, text: Column, label: Column, per_language: int = PER_LANGUAGE) -> Model:
-    label = label.cast("string")
-    sample = labelled_sample(df, label, id_col, per_language).select(label.alias("label"), text.alias("text"))
+    sample = labelled_sample(df, label.cast("string"), per_language, id_col, text.cast("string"))
 
     def start():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at, n = _sparse(batch.column(1).to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["label", "at", "n"])
+        def step(texts: pa.Array) -> list[pa.Array]:
+            at, n = _sparse(texts.to_pylist())
+            return [pa.array(at, pa.binary()), pa.array(n, pa.binary())]
 
         return step
 
-    got = sorted((r.label, bytes(r.at), bytes(r.n)) for r in map_batches(sample, "label string, at binary, n binary", start).collect())
+    new = [T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())]
+    got = sorted((r.label, bytes(r.at), bytes(r.n)) for r in add_columns(sample, {"label": F.col("label")}, [F.col("c1")], new, start).collect())
     rows = np.zeros((len(got), BINS), np.uint32)
     for k, (_, at, n) in enumerate(got):
         rows[k, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
     return fit(rows, [g[0] for g in got])
 
 
-def identify(df: DataFrame, model: Model, text: Column, **keep: Column) -> DataFrame:
-    """Columns ``keep``, ``lang_pred``, ``score`` and ``rejected``."""
-    d = df.select(*[c.alias(k) for k, c in keep.items()], F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.cast("string").alias("text"))
-    schema = T.StructType([*d.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    names = [*keep, "lang_pred", "score", "rejected"]
+def identify(df: DataFrame, model: Model, text: Column, /, **keep: Column) -> DataFrame:
+    """Columns ``keep``, ``lang_pred``, ``score`` and ``rejected``; a kept column with the name of a new one is left out."""
 
     def start():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            letters = np.array(batch.column(len(names) - 3).to_pylist(), bool)
-            rows = np.stack([counts(t) for t in batch.column(len(names) - 2).to_pylist()])
-            which, score, rejected = model.predict(rows)
+        def step(has_letters: pa.Array, texts: pa.Array) -> list[pa.Array]:
+            letters = np.array(has_letters.to_pylist(), bool)
+            which, score, rejected = model.predict(np.stack([counts(t) for t in texts.to_pylist()]))
             known = letters & (which >= 0)
             pred = [model.names[w] if k else "und" for w, k in zip(which, known)]
-            return pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(rejected | ~known)], names=names)
+            return [pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(rejected | ~known)]
 
         return step
 
-    return map_batches(d, schema, start)
+    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return add_columns(df, keep, [letters, text.cast("string")], new, start)
 
 
 def drop_rejected(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

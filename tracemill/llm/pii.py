@@ -15,15 +15,18 @@ span, its marks trimmed, where no pattern span overlaps it; the labels of the
 pattern kinds only compete with it, so pattern spans always stay as they are.
 
 Offsets are code points, ends exclusive. A null or empty text has no spans.
+All searches take time in proportion to the text.
 Repeated rows keep their rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
 import re
+from bisect import bisect_left
+from collections.abc import Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import map_batches
+from tracemill.llm.common import add_columns
+from tracemill.llm.pii_lines import LINES
 
 #: The kinds in their order, and the patterns of the contract.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# A chain of numbers and dots, as long as it goes; addresses are its parts four by four.
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -52,6 +57,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _small(number: str) -> bool:
+    """Whether a run of digits of any length is at most 255."""
+    digits = number.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def base_spans(text: str) -> list[Span]:
     """All pattern spans by start, then in the order of the kinds."""
     out: list[tuple[int, int, int]] = []
@@ -64,11 +75,16 @@ def base_spans(text: str) -> list[Span]:
         if start < m.start():
             out.append((start, 0, m.end()))
             last = m.end()
-    for m in _IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
-            out.append((m.start(), 1, m.end()))
+    for m in _CHAIN.finditer(text):
+        parts, at = m.group().split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            size = sum(map(len, four)) + 3
+            if all(_small(p) for p in four):
+                out.append((at, 1, at + size))
+            at += size + 1
     for m in _CARD.finditer(text):
-        if m.end() - m.start() >= 14:
+        if 14 <= m.end() - m.start() <= 37:
             digits = re.sub(r"[^0-9]", "", m.group())
             if 14 <= len(digits) <= 19 and luhn(digits):
                 out.append((m.start(), 2, m.end()))
@@ -173,42 +189,28 @@ class Crf:
         return label
 
 
-def labelled_table(rows: int = 320, seed: int = 17) -> list[tuple[str, list[Span]]]:
-    """The labelled table: short texts with marked spans, made from a seed. Wrappers and neighbours vary, so shapes carry the label."""
-    r = random.Random(seed)
-    word = lambda: "".join(r.choice("aeioustrnlmdpch") for _ in range(r.randint(2, 9)))
-    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    make = {
-        "email": lambda: f"{word()}.{digits(2)}@{word()}.{r.choice(['com', 'org', 'example.net'])}",
-        "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
-        "card": lambda: r.choice([digits(16), " ".join(digits(4) for _ in range(4)), "-".join(digits(4) for _ in range(4))]),
-        "phone": lambda: r.choice([f"+{r.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(11)}"]),
-        "secret": lambda: "".join(r.choice(r.choice(["0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])) for _ in range(r.randint(20, 64))),
-        "other": lambda: r.choice([digits(r.randint(1, 8)), f"{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{word()}{digits(2)}", f"{digits(2)}:{digits(2)}", f"v{digits(1)}.{digits(2)}.{digits(1)}", f"{word()}@", f"({digits(3)})", f"{digits(2)}%", f"${digits(3)}.{digits(2)}", f"{word()}-{digits(3)}-{word()}", "-".join(word() for _ in range(6)) + digits(2)]),
-    }
+_MARKED = re.compile(r"\[(email|ip|card|phone|secret)\|([^\]]*)\]")
+
+
+def labelled_table(lines: Sequence[str] = LINES) -> list[tuple[str, list[Span]]]:
+    """The labelled table as texts with spans."""
     table = []
-    for _ in range(rows):
-        text, spans = "", []
-        for _ in range(r.randint(1, 4)):
-            text += " ".join(word().capitalize() if r.random() < 0.2 else word() for _ in range(r.randint(1, 5))) + " "
-            kind = r.choice(["secret", "secret", "other", "other", *KINDS])
-            left, right = r.choice([("", ""), ("", r.choice([".", ",", "###", "!!", "&&&"])), ('"', '"'), ("(", ")"), ("'", "',")])
-            if kind == "secret" and r.random() < 0.5:
-                text += r.choice(["token = ", "key: ", "password=", "secret = "])
-                left, right = r.choice([('"', '"'), ('"', '"###'), ("", "")])
-            value = make[kind]()
-            if kind != "other":
-                spans.append((len(text) + len(left), len(text) + len(left) + len(value), kind))
-            text += left + value + right + " "
-        table.append((text + word(), spans))
+    for line in lines:
+        text, spans, at = "", [], 0
+        for m in _MARKED.finditer(line):
+            text += line[at : m.start()]
+            spans.append((len(text), len(text) + len(m[2]), m[1]))
+            text += m[2]
+            at = m.end()
+        table.append((text + line[at:], spans))
     return table
 
 
 @lru_cache(maxsize=1)
-def train(rows: int = 320, seed: int = 17, steps: int = 120) -> Crf:
+def train(steps: int = 200) -> Crf:
     """Fit the field to the labelled table by Adam on the exact negative log-likelihood."""
     features, labels, sequences, n = [], [], [], 0
-    for text, spans in labelled_table(rows, seed):
+    for text, spans in labelled_table():
         a, b, f, s = word_features(text)
         y = np.zeros(len(a), np.int64)
         for lo, hi, kind in spans:
@@ -252,7 +254,52 @@ def train(rows: int = 320, seed: int = 17, steps: int = 120) -> Crf:
     return Crf(emit, move)
 
 
+#: Labels of the field that add spans, and what a span of theirs must have: digits enough for a telephone, an at sign for an address.
+ADDED = ("secret", "phone", "email")
 _CORE = re.compile(r"[A-Za-z0-9](?:.*[A-Za-z0-9])?", re.S)
+_HOST = re.compile(r"@[A-Za-z0-9.-]*[A-Za-z0-9]")
+#: Digits of a telephone number that the field may add; dates have fewer.
+PHONE_DIGITS = (9, 15)
+
+
+def _trimmed(text: str, lo: int, hi: int, kind: str) -> tuple[int, int] | None:
+    """The span of a labelled word or run of words without its marks; None if it can't be of its kind."""
+    if kind == "email":
+        host = _HOST.search(text, lo, hi)
+        start = host.start() if host else lo
+        while start > lo and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        return (start, host.end()) if host and start < host.start() else None
+    core = _CORE.search(text, lo, hi)
+    if not core:
+        return None
+    lo, hi = core.span()
+    if kind == "phone":
+        lo -= lo > 0 and text[lo - 1] == "("
+        return (lo, hi) if PHONE_DIGITS[0] <= sum("0" <= c <= "9" for c in text[lo:hi]) <= PHONE_DIGITS[1] else None
+    # In an assignment without spaces the value is what follows the sign.
+    cut = max(text.rfind("=", lo, hi), text.rfind(":", lo, hi))
+    value = _CORE.search(text, cut + 1, hi) if cut >= 0 else None
+    return value.span() if value else (lo, hi)
+
+
+def _added(text: str, starts: np.ndarray, ends: np.ndarray, label: np.ndarray, sequence: np.ndarray, own: list[Span]) -> list[Span]:
+    """Spans of the field where no pattern span is: secrets and addresses word by word, telephone numbers over neighbouring words."""
+    begins = [a for a, _, _ in own]
+    reach = list(accumulate((b for _, b, _ in own), max))
+    out = []
+    k = 0
+    while k < len(label):
+        kind, last = LABELS[label[k]], k
+        if kind == "phone":
+            while last + 1 < len(label) and label[last + 1] == label[k] and sequence[last + 1] == sequence[k]:
+                last += 1
+        if kind in ADDED and (span := _trimmed(text, int(starts[k]), int(ends[last]), kind)):
+            before = bisect_left(begins, span[1])
+            if not before or reach[before - 1] <= span[0]:
+                out.append((*span, kind))
+        k = last + 1
+    return out
 
 
 def find(texts: list[str | None], crf: Crf) -> list[tuple[list[Span], list[Span]]]:
@@ -265,19 +312,10 @@ def find(texts: list[str | None], crf: Crf) -> list[tuple[list[Span], list[Span]
         shift += (s[-1] + 1) if len(s) else 0
     label = crf.decode(np.concatenate([p[2] for p in parts]), np.concatenate(sequences)) if parts else np.zeros(0, int)
     out, at = [], 0
-    for text, own, (a, b, _, _) in zip(texts, base, parts):
-        extra = []
-        for k in np.flatnonzero(label[at : at + len(a)] == SECRET):
-            core = _CORE.search(text, a[k], b[k])
-            # In an assignment without spaces the value is what follows the sign.
-            lo, hi = core.span() if core else (0, 0)
-            cut = max(text.rfind("=", lo, hi), text.rfind(":", lo, hi))
-            if cut >= 0 and (value := _CORE.search(text, cut + 1, hi)):
-                lo, hi = value.span()
-            if hi > lo and not any(x < hi and lo < y for x, y, _ in own):
-                extra.append((int(lo), int(hi), "secret"))
+    rank = {k: n for n, k in enumerate((*KINDS, "secret"))}
+    for text, own, (a, b, _, s) in zip(texts, base, parts):
+        extra = _added(text or "", a, b, label[at : at + len(a)], s, own)
         at += len(a)
-        rank = {k: n for n, k in enumerate((*KINDS, "secret"))}
         out.append((own, sorted(own + extra, key=lambda s: (s[0], rank[s[2]], s[1]))))
     return out
 
@@ -286,26 +324,30 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def personal_data(df: DataFrame, text: Column, **keep: Column) -> DataFrame:
-    """Columns ``keep``, then ``n_email, n_ip, n_card, n_phone`` (pattern spans), ``base_sha256``, ``spans`` (all, written), ``n_secret``."""
+def personal_data(df: DataFrame, text: Column, /, **keep: Column) -> DataFrame:
+    """Columns ``keep``, then ``n_email, n_ip, n_card, n_phone`` (pattern spans), ``base_sha256``, ``spans`` (all, written), ``n_secret``, ``n_added``.
+
+    ``n_added`` counts the spans of the field, secrets among them. A kept column with the name of a new one is left out.
+    """
     crf = train()
-    d = df.select(*[c.alias(k) for k, c in keep.items()], text.cast("string").alias("text"))
-    new = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_secret", T.LongType())]
-    schema = T.StructType([*d.schema.fields[:-1], *new])
-    names = [f.name for f in schema.fields]
+    long = T.LongType()
+    new = [T.StructField(f"n_{k}", long) for k in KINDS]
+    new += [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_secret", long), T.StructField("n_added", long)]
 
     def start():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = find(batch.column(batch.num_columns - 1).to_pylist(), crf)
-            cols = [pa.array([sum(s[2] == k for s in own) for own, _ in found], pa.int64()) for k in KINDS]
-            cols.append(pa.array([hashlib.sha256(written(own).encode()).hexdigest() for own, _ in found], pa.string()))
-            cols.append(pa.array([written(spans) for _, spans in found], pa.string()))
-            cols.append(pa.array([sum(s[2] == "secret" for s in spans) for _, spans in found], pa.int64()))
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=names)
+        def step(texts: pa.Array) -> list[pa.Array]:
+            found = find(texts.to_pylist(), crf)
+            return [
+                *[pa.array([sum(s[2] == k for s in own) for own, _ in found], pa.int64()) for k in KINDS],
+                pa.array([hashlib.sha256(written(own).encode()).hexdigest() for own, _ in found], pa.string()),
+                pa.array([written(spans) for _, spans in found], pa.string()),
+                pa.array([sum(s[2] == "secret" for s in spans) for _, spans in found], pa.int64()),
+                pa.array([len(spans) - len(own) for own, spans in found], pa.int64()),
+            ]
 
         return step
 
-    return map_batches(d, schema, start)
+    return add_columns(df, keep, [text.cast("string")], new, start)
 
 
 def redact(text: str | None, spans: list[Span]) -> str | None:
