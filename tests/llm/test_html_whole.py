@@ -1,5 +1,12 @@
 """Nested layouts and ordinary html whose articles were lost."""
 
+import html
+import math
+import random
+import time
+
+from pyspark.sql import functions as F
+
 from tracemill.llm import html_text
 
 f = html_text.main_blocks
@@ -40,3 +47,76 @@ def test_marks_inside_names_do_not_drop_the_article():
     assert len(f(f"<body>{posts}</body>")) == 6
     for name in ("sidebar-right", "site-header", "comments-area", "cookie-notice", "footer"):
         assert f(f'<body><div class="{name}"><p>Something short.</p></div><div>{BODY}</div></body>') == [A, B, C], name
+
+
+def slow_numbers(node):
+    """(characters, link characters, tags, link tags) of a node, straight from the definition."""
+    chars = links = tags = link_tags = 0
+    for k in node.kids:
+        if isinstance(k, str):
+            n = len(" ".join(html.unescape(k).split()))
+            chars, links = chars + n, links + n * node.link
+        elif not k.dropped:
+            c, lc, t, lt = slow_numbers(k)
+            chars, links, tags, link_tags = chars + c, links + lc, tags + t + 1, link_tags + lt + (k.tag == "a")
+    return chars, links, tags, link_tags
+
+
+def slow_density(node, body):
+    c, lc, t, lt = slow_numbers(node)
+    if not c:
+        return 0.0
+    bc, blc, _, _ = slow_numbers(body)
+    base = math.log(c / max(1, c - lc) * max(1, lc) + blc / max(1, bc) * c + math.e)
+    return c / max(1, t) * math.log(max(c / max(1, lc) * max(1, t) / max(1, lt), 1 + 1e-9)) / math.log(base)
+
+
+def all_nodes(node):
+    yield node
+    for k in node.kids:
+        if not isinstance(k, str) and not k.dropped:
+            yield from all_nodes(k)
+
+
+def test_density_by_definition():
+    """Counts, densities and their sums on random trees, and the core against the greatest sum."""
+    rng = random.Random(12)
+    bits = ["<div>", "</div>", "<p>", "</p>", "<ul>", "<li>", "</ul>", "<a href=x>", "</a>", "<b>", "</b>", "<nav>", "</nav>", "words of a text ", "more &amp; more ", "x", "<br>", "<section>", "</section>"]
+    seen = 0
+    for _ in range(400):
+        page = "<body>" + "".join(rng.choice(bits) for _ in range(rng.randint(1, 60)))
+        root = html_text.parse(page)
+        order = html_text._measure(root)
+        nodes = list(all_nodes(root))
+        assert {id(n) for n in nodes} == {id(n) for n in order}
+        body = next((n for n in nodes if n.tag == "body"), root)
+        for n in nodes:
+            assert (n.chars, n.links, n.tags, n.link_tags) == slow_numbers(n)
+            assert math.isclose(n.density, slow_density(n, body), rel_tol=1e-6, abs_tol=1e-6)
+            kids = [k for k in n.kids if not isinstance(k, str) and not k.dropped and k.tag in html_text.BLOCK]
+            assert math.isclose(n.total, sum(slow_density(k, body) for k in kids), rel_tol=1e-6, abs_tol=1e-6)
+        blocks = [n for n in nodes if n.tag in html_text.BLOCK]
+        core = max(blocks, key=lambda n: n.total)
+        if core.total > 0:
+            seen += 1
+            inside = [" ".join(html.unescape(t).split()) for n in all_nodes(core) for t in n.kids if isinstance(t, str)]
+            text = " ".join(html_text.main_text(page).split())
+            assert all(t in text for t in inside)
+    assert seen > 200
+
+
+def test_hostile_pages():
+    pages = ["<a " * 60_000, '<a "x>" ' * 30_000 + '"', "<div>" * 20_000 + "</b>" * 20_000, "<div>" * 8000 + "<li>" * 8000, "<p><div>" + "<b>" * 8000 + "<hr>" * 8000, "<!--" * 50_000, "<ul><li>" * 10_000, "<a '>" * 30_000, "<dl>" + "<dd><b>" * 10_000]
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 2, page[:20]
+
+
+def test_frames(spark):
+    rows = [(1, "<p>a &amp; b", 7), (1, "<p>a &amp; b", 7), (2, None, None), (None, "", 8), (3, "<nav>x</nav>", 9)]
+    d = spark.createDataFrame(rows, "page_id long, html string, n_chars int").select("*", F.lit(1).alias("text"), F.lit(2).alias("work0"))
+    out = html_text.extract_text(d, F.col("html"), page_id=F.col("page_id"), html=F.col("html"), text=F.col("text"), work0=F.col("work0"))
+    assert out.columns == ["page_id", "html", "work0", "text"]
+    assert sorted((r.page_id or 0, r.text) for r in out.collect()) == [(0, ""), (1, "a & b"), (1, "a & b"), (2, ""), (3, "")]
+    assert html_text.extract_text(d.where("false"), F.col("html"), page_id=F.col("page_id")).count() == 0

@@ -396,8 +396,18 @@ def test_leaks_brute(spark):
         assert r.distance == (edit_substring(p, t) if len(p) >= decontaminate.CHARS_PER_EDIT else 0)
     kept = {r.doc_id for r in rows(decontaminate.drop_leaking(d, b))}
     assert kept == {i for i, _ in docs} - {i for i, _ in want}
-    small = decontaminate.item_blocks(b, "item_id", "text", 60)
-    assert len(small) > 3 and sorted(i for x in small for i, _ in x) == sorted(i for i, _ in items)
+    small = list(decontaminate.item_blocks(b, "item_id", "text", 60))
+    assert len(small) > 3 and sorted(i for x in small for i, _, _ in x) == sorted(i for i, _ in items)
+
+
+def test_leaks_by_item_type_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 30)
+    d = spark.createDataFrame([(1, "so the quick brown fox did jump over it"), (2, "none of that")], "doc_id int, text string")
+    items = spark.createDataFrame([("1", "the quick brown fox did jump"), ("2", "none of that"), ("2", "none of that"), (None, "brown fox did")], "item_id string, text string")
+    for kind in ("int", "short", "long", "string", "decimal(5,0)"):
+        got = rows(decontaminate.leaks(d, items.withColumn("item_id", F.col("item_id").cast(kind))))
+        assert sorted((r.id, "" if r.item_id is None else str(r.item_id)) for r in got) == [(1, ""), (1, "1"), (2, "2"), (2, "2")]
+    assert decontaminate.drop_leaking(d, items).count() == 0
 
 
 def test_decontamination_edges(spark, odd, none):
@@ -492,6 +502,69 @@ def test_language(spark, data, odd, none):
     assert {r.lang_pred for r in rows(langid.identify(odd, blank, F.col("text"), doc_id=F.col("doc_id")))} == {"und"}
 
 
+def slow_language(model, text):
+    """TF-IDF by a dictionary of trigrams and cosines one by one."""
+    data = b" " + "".join(c if c.isalpha() or ord(c) >= 128 else " " for c in text.lower()).encode() + b" "
+    tf = {}
+    for k in range(len(data) - 2):
+        a, b, c = data[k : k + 3]
+        if b != 32:
+            h = ((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 20
+            tf[h] = tf.get(h, 0) + 1
+    v = {h: math.log1p(n) * float(model.idf[h]) for h, n in tf.items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    cos = [sum(x * float(c[h]) for h, x in v.items()) / norm for c in model.centroids]
+    best = max(range(len(cos)), key=cos.__getitem__)
+    return model.names[model.owner[best]], cos[best]
+
+
+def test_language_by_definition(docs):
+    model = langid.learn(docs, F.col("doc_id"), F.col("text"), F.col("lang"))
+    assert len(model.owner) > len(model.names)
+    for r in rows(langid.identify(docs, model, F.col("text"), text=F.col("text"), score=F.lit(1))):
+        if r.lang_pred != "und":
+            lang, cos = slow_language(model, r.text)
+            assert lang == r.lang_pred and math.isclose(cos, r.score, abs_tol=1e-4)
+
+
+def test_samples_are_bounded(spark):
+    """Rows with one id or none are drawn one by one, rows that repeat once."""
+    for n, key in ((3000, F.lit(None).cast("long")), (3000, F.lit(7).cast("long"))):
+        d = spark.range(n).select(key.alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"), F.lit("en").alias("lang"))
+        got = langid.labelled_sample(d, F.col("lang"), 600, F.col("doc_id"), F.col("text")).count()
+        assert 480 < got < 720
+        same = d.withColumn("text", F.lit("one text"))
+        assert langid.labelled_sample(same, F.col("lang"), 600, F.col("doc_id"), F.col("text")).count() == 1
+
+
+def slow_quality(net, text):
+    """The network byte by byte: filters over embeddings, maxima, pooling, one probability."""
+    data = text or b""
+    step = quality.CHUNK - quality.OVERLAP
+    n = max(1, -(-(len(data) - quality.OVERLAP) // step))
+    tops = []
+    for c in range(n):
+        chunk = data[c * step : c * step + quality.CHUNK].ljust(quality.CHUNK, b" ")
+        best = np.full(quality.FILTERS, -np.inf)
+        for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+            best = np.maximum(best, sum(net.embed[chunk[at + k]] @ net.filters[k] for k in range(quality.WIDTH)))
+        tops.append(np.maximum(best + net.bias, 0))
+    z = np.concatenate([np.mean(tops, 0), np.max(tops, 0)]) @ net.weights + net.offset
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_quality_by_definition():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, int(rng.integers(1, 900)), np.uint8)) if k % 2 else bytes(rng.integers(33, 64, int(rng.integers(1, 900)), np.uint8)) for k in range(80)]
+    net = quality.fit(texts, np.arange(80) % 2)
+    some = [*texts[:12], None, b"", bytes(rng.integers(0, 256, 3000, np.uint8))]
+    for t, got in zip(some, net.score(some)):
+        assert math.isclose(got, slow_quality(net, t), abs_tol=1e-4)
+    assert (net.score(texts) > 0.5).tolist() == [k % 2 == 1 for k in range(80)]
+    long = [b"good words " * 200_000, b"#### 1234 " * 200_000] * 4
+    assert quality.fit(long, np.array([1, 0] * 4)).constant is None
+
+
 def test_trigram_counts_do_not_depend_on_pieces(monkeypatch):
     text = "Le été und the niño 日本 " * 400
     want = langid.counts(text)

@@ -21,8 +21,9 @@ does bare text.
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by an empty line. Null or empty html
 gives an empty text; html without tags is one block; unclosed and crossed tags
-are closed as browsers do in the common cases. Repeated rows keep their rows;
-only the columns asked for are read.
+are closed as browsers do in the common cases, in time about proportional to the
+page however it is nested. Repeated rows keep their rows; an empty table gives
+an empty result; only the columns asked for are read.
 """
 
 from __future__ import annotations
@@ -30,15 +31,18 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import map_batches
+from tracemill.llm.common import add_columns
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)", re.S)
+#: What may begin with a less-than sign: a comment, a start or end tag, a declaration.
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
+_MARK = re.compile("[>\"']")
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,14 +64,22 @@ HEAD = frozenset("base basefont bgsound link meta title script style noscript te
 KEEP = frozenset("html body main article".split())
 #: Start tags that end an open element of the named kinds.
 _P_ENDERS = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
-_SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
+#: Elements that hide the open ones of a kind from what is inside them.
+_SCOPE = {"ul": "li", "ol": "li", "menu": "li", "dl": "dd", "table": "tr"}
+_KIND = {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "tr", "th": "tr", "thead": "tr", "tbody": "tr", "tfoot": "tr"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "dropped", "doubt", "link", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "dropped", "doubt", "link", "chars", "links", "tags", "link_tags", "density", "total", "depth", "p", "open")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, link: bool):
+        # The open paragraph that a block would end, and the outermost open items of lists and tables by kind and tag.
+        self.depth = parent.depth + 1 if parent else 0
+        self.p = self if tag == "p" else parent.p if parent and tag not in BLOCK and tag not in DROP else None
+        self.open: dict[str, dict[str, Node]] = parent.open if parent else {"li": {}, "dd": {}, "tr": {}}
+        if tag in _SCOPE:
+            self.open = {**self.open, _SCOPE[tag]: {}}
         self.tag, self.parent, self.dropped, self.link = tag, parent, dropped, link
         self.doubt = False
         self.kids: list[Node | str] = []
@@ -126,60 +138,136 @@ def _settle(root: Node) -> None:
         n.dropped = not (together and text[id(n)] >= links[id(n)])
 
 
+class Ends:
+    """Where tags end: at the first ``>`` outside quotes; where quotes don't pair up, at the first of all.
+
+    One pass from the back over the marks gives the end for every place, so
+    that text full of opened tags costs no more than other text.
+    """
+
+    def __init__(self, source: str):
+        self.at = [m.start() for m in _MARK.finditer(source)]
+        self.plain: list[int] = [-1] * (len(self.at) + 1)
+        self.any: list[int] = [-1] * (len(self.at) + 1)
+        quote = {'"': -1, "'": -1}
+        for k in range(len(self.at) - 1, -1, -1):
+            c = source[self.at[k]]
+            if c == ">":
+                self.plain[k] = self.any[k] = self.at[k]
+            else:
+                self.any[k] = self.any[k + 1]
+                self.plain[k] = self.plain[quote[c] + 1] if quote[c] >= 0 else -1
+                quote[c] = k
+
+    def after(self, place: int, quotes: bool = True) -> int:
+        """The place of the ``>``, -1 if there is none."""
+        k = bisect_left(self.at, place)
+        return self.plain[k] if quotes and self.plain[k] >= 0 else self.any[k]
+
+
+class Tree:
+    """The open element, and how many of each name are open."""
+
+    def __init__(self) -> None:
+        self.root = self.node = Node("html", None, False, False)
+        self.count: dict[str, int] = {"html": 1}
+
+    def enter(self, node: Node) -> None:
+        self.node = node
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
+        if node.tag in _KIND:
+            node.parent.open[_KIND[node.tag]].setdefault(node.tag, node)
+
+    def leave(self, until: Node) -> None:
+        """Close open elements up to ``until``, which stays open."""
+        while self.node is not until:
+            n = self.node
+            self.count[n.tag] -= 1
+            if n.tag in _KIND:
+                same = n.parent.open[_KIND[n.tag]]
+                if same.get(n.tag) is n:
+                    del same[n.tag]
+            self.node = n.parent
+
+    def end(self, tag: str) -> bool:
+        """Close the innermost element of that name, the root excepted; whether there is one."""
+        if not self.count.get(tag):
+            return False
+        up = self.node
+        while up.tag != tag:
+            up = up.parent
+        if up.parent is None:
+            return False
+        self.leave(up.parent)
+        return True
+
+    def end_before(self, tag: str) -> None:
+        """Close what a start tag ends without an end tag."""
+        if tag in _P_ENDERS and self.node.p is not None:
+            self.leave(self.node.p.parent)
+        if tag == "option" and self.node.tag == "option":
+            self.leave(self.node.parent)
+        if tag in _CLOSES:
+            same = self.node.open[_KIND[tag]]
+            hits = [same[t] for t in _CLOSES[tag] if t in same]
+            if hits:
+                self.leave(min(hits, key=lambda n: n.depth).parent)
+
+
 def parse(source: str) -> Node:
-    root = node = Node("html", None, False, False)
+    tree = Tree()
+    root = tree.root
+    ends = Ends(source)
     doubt = False
     head = body = None
-    at, end = 0, len(source)
-    while at < end:
-        m = _TAG.search(source, at)
-        text = source[at : m.start()] if m else source[at:]
-        if text:
-            if node is head and not text.isspace():
-                node = root
-            node.kids.append(text)
+    at, size = 0, len(source)
+    text: list[str] = []
+
+    def flush() -> None:
+        whole = "".join(text)
+        text.clear()
+        if whole:
+            if tree.node is head and not whole.isspace():
+                tree.leave(root)
+            tree.node.kids.append(whole)
+
+    while at < size:
+        m = _OPEN.search(source, at)
         if not m:
             break
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        if m[1]:
+            stop = source.find("-->", m.end())
+            after = stop + 3 if stop >= 0 else size
+        else:
+            stop = ends.after(m.end(), bool(m[3]))
+            if stop < 0:
+                break
+            after = stop + 1
+        text.append(source[at : m.start()])
+        flush()
+        at = after
+        if not m[3]:
             continue
-        tag = tag.lower()
-        if closing:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
-            elif tag == "p":
-                node.kids.append(Node("p", node, node.dropped, node.link))
+        tag, attributes = m[3].lower(), source[m.end() : stop]
+        if m[2]:
+            if not tree.end(tag) and tag == "p":
+                tree.node.kids.append(Node("p", tree.node, tree.node.dropped, tree.node.link))
             continue
         if tag in ("html", "body"):
-            if tag == "body" and body is None and node in (root, head):
-                node = body = Node("body", root, False, False)
-                root.kids.append(node)
+            if tag == "body" and body is None and tree.node in (root, head):
+                tree.leave(root)
+                body = Node("body", root, False, False)
+                root.kids.append(body)
+                tree.enter(body)
             continue
-        if node is head and tag not in HEAD:
-            node = root
+        if tree.node is head and tag not in HEAD:
+            tree.leave(root)
         if tag in RAW:
-            stop = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(source, at)
-            at = stop.end() if stop else end
+            stop = re.compile(f"</{re.escape(tag)}\\b[^>]*+>", re.I).search(source, at)
+            at = stop.end() if stop else size
             continue
-        if tag in _P_ENDERS:
-            up = node
-            while up is not None and up.tag != "p" and (up.tag not in BLOCK and up.tag not in DROP):
-                up = up.parent
-            if up is not None and up.tag == "p":
-                node = up.parent
-        ends = _CLOSES.get(tag)
-        if ends:
-            up, hit = node, None
-            while up is not None and up.tag not in _SCOPE[tag]:
-                if up.tag in ends:
-                    hit = up
-                up = up.parent
-            if hit is not None:
-                node = hit.parent
+        tree.end_before(tag)
+        node = tree.node
         marked = _marked(tag, attributes)
         new = Node(tag, node, node.dropped or bool(marked), node.link or tag == "a")
         if marked is None and not new.dropped:
@@ -187,9 +275,10 @@ def parse(source: str) -> Node:
         if tag == "head" and head is None and node is root:
             head = new
         node.kids.append(new)
-        if tag not in VOID and not attributes.endswith("/") or tag == "a":
-            if tag not in VOID:
-                node = new
+        if tag not in VOID and (tag == "a" or not attributes.endswith("/")):
+            tree.enter(new)
+    text.append(source[at:])
+    flush()
     if doubt:
         _settle(root)
     return root
@@ -330,20 +419,13 @@ def main_text(source: str | None) -> str:
     return "\n\n".join(main_blocks(source))
 
 
-def extract_text(df: DataFrame, source: Column, **keep: Column) -> DataFrame:
-    """Columns ``keep`` and ``text``, the main text."""
-    d = df.select(*[c.alias(k) for k, c in keep.items()], source.cast("string").alias("html"))
-    schema = T.StructType([*d.schema.fields[:-1], T.StructField("text", T.StringType())])
-    names = [*keep, "text"]
+def extract_text(df: DataFrame, source: Column, /, **keep: Column) -> DataFrame:
+    """Columns ``keep`` and ``text``, the main text; a kept column of that name is left out."""
 
     def start():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [main_text(x) for x in batch.column(len(names) - 1).to_pylist()]
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=names)
-
-        return step
+        return lambda pages: [pa.array([main_text(x) for x in pages.to_pylist()], pa.string())]
 
-    return map_batches(d, schema, start)
+    return add_columns(df, keep, [source.cast("string")], [T.StructField("text", T.StringType())], start)
 
 
 def char_count(text: Column) -> Column:

@@ -7,10 +7,11 @@ by mean and by maximum over the document, and a logistic layer makes them one
 probability that the label is 1. Filters over embeddings are applied as table
 look-ups: one gather a byte of the filter.
 
-Training: Adam on a bounded sample, ``PER_LABEL`` expected rows a label chosen by
-a hash; of a training document at most ``TRAIN_CHUNKS`` chunks, evenly spread
-over it, go to the driver, so the driver's memory is bounded whatever the
-lengths. Scoring reads every byte of every document.
+Training: Adam on a bounded sample, ``PER_LABEL`` expected documents a label
+chosen by a hash of the id, each whole: training and scoring read every byte of
+a document. A sixth of the sample is held out of the steps; training ends when
+its loss has not fallen for ``PATIENCE`` epochs, and the best epoch stays. Of an
+id that repeats among the documents the text with the smallest hash is learned.
 
 Null and empty texts score as a document of one blank chunk. Repeated rows keep
 their rows; an empty table gives an empty result; without both labels the
@@ -19,6 +20,7 @@ score is the share of label 1 (0.5 if there are none).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import map_batches
+from tracemill.llm.common import add_columns
 from tracemill.llm.langid import labelled_sample
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 256, 32, 8, 2
 FILTERS, EMBED = 16, 6
-PER_LABEL = 1500
-TRAIN_CHUNKS = 32
+PER_LABEL = 1000
 EPOCHS = 14
+PATIENCE = 3
 STEP_CHUNKS = 2048
 _SPOTS = (CHUNK - WIDTH) // STRIDE + 1
 
@@ -63,6 +65,11 @@ class Net:
         """Per filter byte a table of its contribution for each byte value."""
         self.tables = np.ascontiguousarray(np.einsum("be,kef->kbf", self.embed, self.filters).astype(np.float32))
 
+    def spots(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk maxima and the spot of each, a bounded number of chunks at a time."""
+        parts = [self.pool(x[a : a + STEP_CHUNKS], where=True) for a in range(0, len(x), STEP_CHUNKS)]
+        return np.concatenate([h for h, _ in parts]), np.concatenate([s.astype(np.uint8) for _, s in parts])
+
     def pool(self, x: np.ndarray, where: bool = False):
         """Chunk maxima (n, FILTERS) of the rectified filters, and the spot of each maximum if asked for."""
         out = np.zeros((len(x), _SPOTS, FILTERS), np.float32)
@@ -103,8 +110,8 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Net:
-    """Train on documents given as chunk matrices."""
+def fit(texts: list[bytes], labels: np.ndarray, seed: int = 9) -> Net:
+    """Train on whole documents."""
     rng = np.random.default_rng(seed)
     net = Net(
         rng.standard_normal((256, EMBED)).astype(np.float32) * 0.5,
@@ -123,15 +130,21 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Net:
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     t = 0
+    held = np.arange(len(texts)) % 6 == 5
+    if len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
+        held[:] = False
+    test = [texts[k] for k in np.flatnonzero(held)]
+    best, least, since = None, math.inf, 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(docs))
+        order = rng.permutation(np.flatnonzero(~held))
         for a in range(0, len(order), 32):
             pick = order[a : a + 32]
             net.prepare()
-            x = np.concatenate([docs[k] for k in pick])
-            size = np.array([len(docs[k]) for k in pick])
+            docs = [chunks(texts[k]) for k in pick]
+            x = np.concatenate(docs)
+            size = np.array([len(d) for d in docs])
             own = np.repeat(np.arange(len(pick)), size)
-            h, spot = net.pool(x, where=True)
+            h, spot = net.spots(x)
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
             mean = np.add.reduceat(h, start, axis=0) / size[:, None]
             most = np.maximum.reduceat(h, start, axis=0)
@@ -144,7 +157,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Net:
             tables = np.zeros((WIDTH, 256, FILTERS), np.float32)
             n, f = np.nonzero(dh)
             for k in range(WIDTH):
-                byte = x[n, spot[n, f] * STRIDE + k].astype(np.int64)
+                byte = x[n, spot[n, f].astype(np.int64) * STRIDE + k].astype(np.int64)
                 tables[k] = np.bincount(byte * FILTERS + f, weights=dh[n, f], minlength=256 * FILTERS).reshape(256, FILTERS)
             grads = {
                 "embed": np.einsum("kbf,kef->be", tables, net.filters),
@@ -159,6 +172,17 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Net:
                 first[k] = 0.9 * first[k] + 0.1 * grads[k]
                 second[k] = 0.99 * second[k] + 0.01 * grads[k] ** 2
                 v -= (rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)).astype(v.dtype)
+        if test:
+            net.prepare()
+            net.offset = float(params["offset"][0])
+            p, y = np.clip(net.score(test), 1e-6, 1 - 1e-6), labels[held]
+            loss = -float((weight[held] * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+            if loss < least - 1e-4:
+                best, least, since = {k: v.copy() for k, v in params.items()}, loss, 0
+            elif (since := since + 1) == PATIENCE:
+                break
+    for k, v in (best or {}).items():
+        params[k][...] = v
     net.offset = float(params["offset"][0])
     net.prepare()
     return net
@@ -171,35 +195,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     to the documents, so no text is shuffled.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
-    chosen = labelled_sample(known, F.col("label"), F.col(id_col), per_label)
-    # About two times per_label rows; broadcast only if that held.
-    chosen = F.broadcast(chosen) if chosen.count() <= 4 * per_label + 1000 else chosen
-    sample = docs.select(id_col, F.col(text_col).alias("text")).join(chosen, id_col).select("label", F.coalesce("text", F.lit("")).alias("text"))
-
-    def start():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for t in batch.column(1).to_pylist():
-                c = chunks(t.encode("utf-8", "replace"))
-                out.append(c[np.unique(np.linspace(0, len(c) - 1, min(TRAIN_CHUNKS, len(c))).astype(int))].tobytes())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["label", "chunks"])
+    chosen = labelled_sample(known, F.col("label"), per_label, F.col(id_col)).select(F.col("c0").alias("id"), "label")
+    # At most what the sample's limit allows.
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "id")
+    once = d.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = sorted((bytes(r.text), r.label) for r in once.select("label", "text").collect())
+    return fit([t for t, _ in got], np.array([y for _, y in got]))
 
-        return step
 
-    got = sorted((bytes(r.chunks), r.label) for r in map_batches(sample, "label int, chunks binary", start).collect())
-    return fit([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c, _ in got], np.array([y for _, y in got]))
-
-
-def score(df: DataFrame, net: Net, text: Column, **keep: Column) -> DataFrame:
-    """Columns ``keep`` and ``score``."""
-    d = df.select(*[c.alias(k) for k, c in keep.items()], text.cast("string").cast("binary").alias("text"))
-    schema = T.StructType([*d.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    names = [*keep, "score"]
+def score(df: DataFrame, net: Net, text: Column, /, **keep: Column) -> DataFrame:
+    """Columns ``keep`` and ``score``; a kept column of that name is left out."""
 
     def start():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(net.score(batch.column(len(names) - 1).to_pylist()))], names=names)
-
-        return step
+        return lambda texts: [pa.array(net.score(texts.to_pylist()), pa.float64())]
 
-    return map_batches(d, schema, start)
+    return add_columns(df, keep, [text.cast("string").cast("binary")], [T.StructField("score", T.DoubleType())], start)
