@@ -225,6 +225,59 @@ def test_links_brute(spark):
     assert got == want and out == len(want) and len(want) > 100
 
 
+def test_crowded_keys(spark, monkeypatch):
+    """Blocks and forests keep the components of all links, for any radius that the segments answer."""
+    rng = random.Random(13)
+    for block, few, radius, segments in [(40, 4, 4, 2), (4096, 8, 8, 3), (40, 64, 5, 2)]:
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "FEW", few)
+        base = [rng.getrandbits(64) for _ in range(12)]
+        fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, radius + 3))) for b in base for _ in range(40)}
+        signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+        parent = {x: x for x in signed}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for n, a in enumerate(signed):
+            for b in signed[:n]:
+                if bin((a ^ b) & (2**64 - 1)).count("1") <= radius:
+                    x, y = sorted((find(a), find(b)))
+                    parent[y] = x
+        links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius, segments)
+        got = {r.node: r.root for r in rows(components.connected_components(links, "a", "b"))}
+        assert got == {x: find(x) for x in signed if find(x) != x}
+
+
+def jaccard(a, b, width=5):
+    def of(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or {tuple(w)}
+
+    return len(of(a) & of(b)) / len(of(a) | of(b))
+
+
+def test_similar_documents(spark, docs):
+    """Recall and precision of the wide form against five-word shingles of edited copies."""
+    rng = random.Random(14)
+    texts = [r.text for r in rows(docs) if len((r.text or "").split()) > 60][:150]
+    pairs, data = [], []
+    for n, t in enumerate(texts):
+        words = t.split()
+        for at in rng.sample(range(len(words)), max(1, int(len(words) * rng.choice([0.002, 0.01, 0.018, 0.05, 0.1])))):
+            words[at] = rng.choice(["other", "word", "novel", "thing"])
+        pairs.append(jaccard(t, " ".join(words)))
+        data += [(2 * n, t), (2 * n + 1, " ".join(words))]
+    root = {r.id: r.root for r in rows(simhash.similar_clusters(spark.createDataFrame(data, "doc_id long, text string")))}
+    met = [root[2 * n] == root[2 * n + 1] for n in range(len(texts))]
+    like = [m for m, j in zip(met, pairs) if j >= 0.8]
+    unlike = [m for m, j in zip(met, pairs) if j < 0.55]
+    assert len(like) > 50 and sum(like) / len(like) >= 0.95
+    assert len(unlike) > 20 and sum(unlike) / len(unlike) <= 0.1
+
+
 def test_drop_near_duplicates(spark, odd, none):
     kept = rows(simhash.drop_near_duplicates(odd))
     assert sorted((r.doc_id is None, r.doc_id) for r in kept) == [(False, 1), (False, 2), (False, 4), (True, None)]

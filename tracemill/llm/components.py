@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Works on edges only; nothing is gathered on the driver but a count and a
-checksum a round. Each round is cut by a checkpoint in the shared folder.
+checksum a round. The edges of a hub are spread over several tasks. Each round is cut by a checkpoint in the shared folder.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut
+from tracemill.llm.common import beside, cut
 
 #: Rounds grow with the logarithm of the longest chain; this many would do for any graph that fits a cluster.
 MOST_ROUNDS = 60
@@ -32,12 +32,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         # Large star: larger neighbours move to the smallest one.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        big = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        big = beside(both, "u", F.col("v"), m=(F.min, F.col("v"))).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # Small star: smaller neighbours and the node itself move to the smallest one.
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        near = beside(big, "u", F.col("v"), m=(F.min, F.col("v")))
+        small = near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = cut(small.distinct())
         before, state = state, _state(e)
         if before == state:
             break

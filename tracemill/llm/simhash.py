@@ -1,24 +1,33 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A text, with A-Z lower-cased, gives word shingles; a bit of its fingerprint is
-set where more than half of the shingles' XXH64 hashes have it set. Two
-fingerprints link if at most ``radius`` bits differ. By the pigeonhole
-principle a link of at most four differing bits has at most two in the high
-half or at most one in the low half. So each fingerprint is entered in a table
-under every value in a Hamming ball of radius one around its high half, and
-looked up in the same way: two such balls meet just if the halves differ in
-at most two bits. Low halves are entered under their ball and looked up
-exactly. Each pair is verified on all 64 bits, inside the join, in the one place
-where it counts: no pair comes out twice, none that fails comes out at all.
+Contract form (``fingerprints``): a text, with A-Z lower-cased, gives word
+shingles; a bit of its fingerprint is set where more than half of the shingles'
+XXH64 hashes have it set. Wide form (``wide_fingerprints``), for the similarity
+of the pipeline: 64 bits of the different two-word shingles find candidates,
+128 bits of the different five-word shingles judge them. (At a similarity of 0.8
+of five-word shingles some 10 of 64 bits of their own differ, too many to look up;
+of the two-word ones about 6 do.)
+
+The 64 bits are cut into segments. A fingerprint is entered under every value in
+the Hamming ball of radius one around each segment, so two fingerprints meet in
+a segment just if they differ there in at most two bits; by the pigeonhole
+principle none within 3 x segments - 1 bits is missed. What meets is verified
+on all bits. A pair that meets several times counts in one place only: in its
+first segment, exact values before flipped ones. A key under which many
+fingerprints meet is dealt out as pairs of blocks, of which a task holds two;
+there a spanning forest stands for the links, found by taking each linked one
+off the list, so thousands of near copies of one text cost no square of them.
 
 Equal fingerprints are one node, so copies cost nothing. A null or blank text
 has fingerprint zero and links like any other. Null ids come last: a component
 takes the smallest id that is not null. Repeated rows keep their rows. An empty
-table gives an empty result.
+table gives an empty result. Columns of any name may be kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,11 +35,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import cut, hashable, map_batches, row_hash, shape
+from tracemill.llm.common import SALTS, add_columns, beside, cut, hashable, row_hash, shape
 from tracemill.llm.components import connected_components
 
 SEED = 42
 RADIUS = 4
+SEGMENTS = 2
+#: The wide form: segments, bits of two-word shingles and of five-word shingles that may differ. Of 128 bits, 19 differ on average at a similarity of 0.8.
+WIDE_SEGMENTS, WIDE_RADIUS, CHECK_RADIUS = 3, 12, 26
+#: Fingerprints under one key that a block holds, and from how many on a spanning forest stands for the links.
+BLOCK = 4096
+FEW = 64
+#: Most keys in blocks whose table is broadcast (16 bytes each); beyond it, it is joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
@@ -55,55 +72,270 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, text: Column, width: int = 4, **keep: Column) -> DataFrame:
+def fingerprints(df: DataFrame, text: Column, width: int = 4, /, **keep: Column) -> DataFrame:
     """Columns ``keep`` and ``fp``, the fingerprint as a signed 64-bit number."""
-    d = df.select(*[c.alias(k) for k, c in keep.items()], text.cast("string").cast("binary").alias("text"))
-    schema = T.StructType([*d.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
-    names = [*keep, "fp"]
+    def start():
+        return lambda texts: [pa.array(np.array([fingerprint(x, width) for x in texts.to_pylist()], np.uint64).view(np.int64))]
+
+    return add_columns(df, keep, [text.cast("string").cast("binary")], [T.StructField("fp", T.LongType())], start)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """The finishing steps of a 64-bit generator: every bit depends on all."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Different hashes of runs of ``width`` words, of all words if there are fewer."""
+    width = min(width, len(words))
+    last = len(words) - width + 1
+    h = np.zeros(last, np.uint64)
+    for k in range(width):
+        h = _mix(h * np.uint64(31) + words[k : k + last] + np.uint64(k))
+    return np.unique(h)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def wide_fingerprint(text: bytes | None, known: dict[bytes, int] | None = None) -> tuple[int, int, int]:
+    """(index, node, check), signed: 64 bits of two-word shingles, and two times 64 of five-word shingles. ``known`` keeps hashes of words."""
+    known = {} if known is None else known
+    words = (text or b"").lower().split()
+    if not words:
+        return 0, 0, 0
+    for w in set(words) - known.keys():
+        known[w] = xxhash.xxh64_intdigest(w, SEED)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    five = _shingles(h, 5)
+    return _majority(_shingles(h, 2)), _majority(five), _majority(_mix(five + np.uint64(1)))
+
+
+def wide_fingerprints(df: DataFrame, text: Column, /, **keep: Column) -> DataFrame:
+    """Columns ``keep`` and ``fp`` (which names the node), ``index`` and ``check``."""
 
     def start():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps = np.array([fingerprint(x, width) for x in batch.column(len(names) - 1).to_pylist()], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], names=names)
+        def step(texts: pa.Array) -> list[pa.Array]:
+            known: dict[bytes, int] = {}
+            index, fp, check = zip(*[wide_fingerprint(x, known) for x in texts.to_pylist()])
+            return [pa.array(x, pa.int64()) for x in (fp, index, check)]
 
         return step
 
-    return map_batches(d, schema, start)
-
-
-def _ball(fp: DataFrame, low_ball: bool) -> DataFrame:
-    """``fp`` under each key of the index: key (half and value in one number) and the bit that was flipped, or -1."""
-    high = F.shiftrightunsigned("fp", 32)
-    low = F.col("fp").bitwiseAND(0xFFFFFFFF)
-    flip = lambda k: F.when(k < 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, greatest(flip, 0))"))
-    halves = [(0, range(-1, 32)), (1, range(-1, 32 if low_ball else 0))]
-    entries = F.array(*[F.struct(F.lit(h).alias("half"), F.lit(k).alias("flip")) for h, ks in halves for k in ks])
-    d = fp.select("fp", F.explode(entries).alias("e")).select("fp", "e.half", "e.flip")
-    value = F.when(F.col("half") == 0, high).otherwise(low.bitwiseOR(1 << 32))
-    return d.select("fp", F.col("flip").cast("byte").alias("flip"), value.bitwiseXOR(flip(F.col("flip"))).alias("key"))
-
-
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``a, b`` (a < b): all pairs of distinct fingerprints of ``fps`` (column ``fp``) that differ in at most ``radius`` bits, once each."""
-    if not 0 <= radius <= 4:
-        raise ValueError("the index answers radii up to 4")
-    fps = fps.select("fp").distinct()
-    x = _ball(fps, low_ball=False).select(F.col("key").alias("x"), F.col("fp").alias("a"), F.col("flip").alias("i"))
-    y = _ball(fps, low_ball=True).select(F.col("key").alias("y"), F.col("fp").alias("b"), F.col("flip").alias("j"))
-    differing = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    in_high = F.bit_count(F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), 32))
-    # Where a pair meets several times, one meeting counts: both exact, the
-    # first exact and the second flipped, or the smaller bit flipped first;
-    # a meeting in the low half only if the high half does not bring one.
-    once = F.when(F.col("i") < 0, True).otherwise((F.col("j") >= 0) & (F.col("i") < F.col("j")))
-    low = F.col("x") >= (1 << 32)
-    on = (F.col("x") == F.col("y")) & (F.col("a") < F.col("b")) & (differing <= radius) & once & (~low | (in_high > 2))
-    return x.join(y, on).select("a", "b")
+    new = [T.StructField(n, T.LongType()) for n in ("fp", "index", "check")]
+    return add_columns(df, keep, [text.cast("string").cast("binary")], new, start)
+
+
+def segment_widths(segments: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each segment."""
+    cuts = [64 * k // segments for k in range(segments + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _value(index: Column, segment: int, first: int, width: int) -> Column:
+    """A segment's value, with the segment's number in front."""
+    return F.shiftrightunsigned(index, first).bitwiseAND((1 << width) - 1).bitwiseOR(segment << 40)
+
+
+def _balls(values: Column, segments: int) -> Column:
+    """All keys of a fingerprint: its segments' values, and these with one bit flipped."""
+    keys = []
+    for n, (_, width) in enumerate(segment_widths(segments)):
+        v = F.element_at(values, n + 1)
+        keys += [v, *[v.bitwiseXOR(F.lit(1 << k).cast("long")) for k in range(width)]]
+    return F.array(*keys)
+
+
+def _crowded(nodes: DataFrame, segments: int) -> DataFrame:
+    """``key, blocks`` of the keys that may have more than two blocks of entries.
+
+    Only values that many fingerprints share are spread over their balls: where
+    none has more than BLOCK / 33, a key has no more than BLOCK.
+    """
+    values = F.array(*[_value(F.col("index"), n, a, w) for n, (a, w) in enumerate(segment_widths(segments))])
+    many = nodes.select(F.explode(values).alias("v")).groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 33)
+    parts = []
+    for n, (_, width) in enumerate(segment_widths(segments)):
+        flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(width)])
+        own = many.where(F.shiftright("v", 40) == n)
+        parts.append(own.select(F.explode(F.transform(flips, lambda x: F.col("v").bitwiseXOR(x))).alias("key"), "n"))
+    keys = parts[0]
+    for p in parts[1:]:
+        keys = keys.unionByName(p)
+    return keys.groupBy("key").agg((F.ceil(F.sum("n") / BLOCK) + 1).cast("int").alias("blocks")).where(F.col("blocks") > 2)
+
+
+def _near(fields: list[np.ndarray], a, b, radius: int, check: int) -> np.ndarray:
+    """Whether entries a and b (places, or arrays of them) are within the radii; ``fields``: index, or index, node and check bits."""
+    bits = np.bitwise_count(fields[0][a] ^ fields[0][b]) <= radius
+    if len(fields) > 1:
+        bits &= np.bitwise_count(fields[1][a] ^ fields[1][b]) + np.bitwise_count(fields[2][a] ^ fields[2][b]) <= check
+    return bits
+
+
+def _here(index_a: np.ndarray, index_b: np.ndarray, key: np.ndarray, widths: list[tuple[int, int]]) -> np.ndarray:
+    """Whether this key is the one where a pair counts."""
+    segment = (key >> 40).astype(np.int64)
+    value = (key & ((1 << 40) - 1)).astype(np.uint64)
+    good = np.zeros(len(key), bool)
+    earlier = np.zeros(len(key), bool)
+    for n, (first, width) in enumerate(widths):
+        mask = np.uint64((1 << width) - 1)
+        a, b = (index_a >> np.uint64(first)) & mask, (index_b >> np.uint64(first)) & mask
+        d = a ^ b
+        size = np.bitwise_count(d)
+        low = d & (~d + np.uint64(1))
+        place = np.where(size == 2, np.minimum(a ^ low, b ^ low), np.minimum(a, b))
+        good |= (segment == n) & ~earlier & (place == value)
+        earlier |= size <= 2
+    return good
+
+
+def _forest(fields: list[np.ndarray], radius: int, check: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of a spanning forest of the links among all entries: whatever a taken entry links leaves the list."""
+    left = np.arange(len(fields[0]))
+    a, b = [], []
+    while len(left) > 1:
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            k = todo.pop()
+            near = _near(fields, left, k, radius, check)
+            if near.any():
+                hit = left[near]
+                a.append(np.full(len(hit), k))
+                b.append(hit)
+                todo += hit.tolist()
+                left = left[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate(a or [none]), np.concatenate(b or [none])
+
+
+def _verify(radius: int, check: int, segments: int, names: list[str]):
+    """Links of entries sorted by (key, i, j), as (a, b) of nodes with a < b."""
+    widths = segment_widths(segments)
+
+    def links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+        node = batch.column(names[0]).to_numpy()
+        fields = [batch.column(c).to_numpy().view(np.uint64) for c in (["index", *names] if len(names) > 1 else names)]
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
+        sizes = np.diff(np.append(starts, len(key)))
+        end = np.repeat(starts + sizes, sizes)
+        some = np.repeat(sizes <= FEW, sizes)
+        out = []
+        at = np.flatnonzero(some)
+        for d in range(1, FEW):
+            at = at[at + d < end[at]]
+            if not len(at):
+                break
+            p = at[_near(fields, at, at + d, radius, check)]
+            p = p[_here(fields[0][p], fields[0][p + d], key[p], widths)]
+            out.append((node[p], node[p + d]))
+        for s, n in zip(starts[sizes > FEW], sizes[sizes > FEW]):
+            own = [f[s : s + n] for f in fields]
+            a, b = _forest(own, radius, check)
+            out.append((node[s + a], node[s + b]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), ())))
+        real = a != b
+        return np.minimum(a, b)[real], np.maximum(a, b)[real]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+            held.clear()
+            if whole:
+                a, b = links(whole[0])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+            # The last group of a batch may go on in the next one.
+            change = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))
+            if last is not None and (key[0], i[0], j[0]) != last:
+                yield from close()
+            last = (key[-1], i[-1], j[-1])
+            if len(change):
+                held.append(batch.slice(0, change[-1] + 1))
+                yield from close()
+                held.append(batch.slice(change[-1] + 1))
+            else:
+                held.append(batch)
+        yield from close()
+
+    return run
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, check: int | None = None) -> DataFrame:
+    """``a, b`` (a < b) of distinct nodes of ``fps`` (column ``fp``) that differ in at most ``radius`` bits.
+
+    Each link comes once, but under crowded keys, where a spanning forest stands
+    for the links. With ``check``, the columns ``index`` (looked up, ``radius``) and
+    ``check`` (with ``fp``, at most ``check`` of 128 bits) belong to a node too.
+    """
+    if not 1 <= segments <= 4 or check is None and not 0 <= radius < 3 * segments:
+        raise ValueError("the index answers radii below three times its segments")
+    names = ["fp"] if check is None else ["fp", "check"]
+    if check is None:
+        nodes = fps.select("fp").distinct().select("fp", F.col("fp").alias("index"))
+    else:
+        nodes = fps.groupBy("fp").agg(F.min(F.struct("index", "check")).alias("x")).select("fp", "x.index", "x.check")
+    nodes = cut(nodes)
+    values = F.array(*[_value(F.col("index"), n, a, w) for n, (a, w) in enumerate(segment_widths(segments))])
+    carried = names if check is None else ["index", *names]
+    entries = nodes.select(*carried, values.alias("values")).select(*carried, F.explode(_balls(F.col("values"), segments)).alias("key"))
+    zero = F.lit(0).cast("int")
+    crowd = cut(_crowded(nodes, segments))
+    crowds = crowd.count()
+    if crowds:
+        crowd = F.broadcast(crowd) if crowds <= MOST_BROADCAST else crowd
+        entries = entries.join(crowd, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        entries = entries.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        entries = entries.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+        entries = entries.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *carried)
+        parts = entries.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    else:
+        parts = entries.repartition("key").sortWithinPartitions("key").select("key", zero.alias("i"), zero.alias("j"), *carried)
+    return parts.mapInArrow(_verify(radius, check or 0, segments, names), "a long, b long")
+
+
+def clusters(fps: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, tie, fp, root, component_id, first`` of every row (``id, tie, fp``): ``first`` is the smallest (id, tie) of the component, null ids last.
+
+    A fingerprint or component of any size is spread over ``SALTS`` tasks on the way back to the rows.
+    """
+    roots = connected_components(links, "a", "b")
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
+    f = fps.select("id", "tie", "fp", F.pmod(F.xxhash64("id", "tie"), F.lit(SALTS)).alias("salt"))
+    part = f.groupBy("fp", "salt").agg(F.min("id").alias("least"), F.min(order).alias("first"))
+    nodes = part.groupBy("fp").agg(F.min("least").alias("least"), F.min("first").alias("first"), F.collect_set("salt").alias("salts"))
+    linked = roots.withColumnRenamed("node", "fp").join(nodes.select("fp", "least", "first"), "fp")
+    linked = beside(linked, "root", F.col("fp"), component_id=(F.min, F.col("least")), leader=(F.min, F.col("first"))).select("fp", "root", "component_id", "leader")
+    table = nodes.join(linked, "fp", "left").select(
+        "fp",
+        F.explode("salts").alias("salt"),
+        F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("leader", "first").alias("first"),
+    )
+    return f.join(table, ["fp", "salt"]).select("id", "tie", "fp", "root", "component_id", F.struct(F.col("first.id").alias("id"), F.col("first.tie").alias("tie")).alias("first"))
 
 
 def simhash_clusters(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS, tie: Column | None = None) -> DataFrame:
-    """One row a row of ``df``: ``id, tie, fp, root, component_id, first``.
+    """One row a row of ``df``: ``id, tie, fp, root, component_id, first``, by fingerprints of the contract's form.
 
     ``root`` names the component, ``component_id`` is its smallest id, ``first``
     the smallest (id, tie) in it.
@@ -111,13 +343,15 @@ def simhash_clusters(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shape(df, id_col, text_col)
     tie = F.lit(0).cast("long") if tie is None else tie
     f = cut(fingerprints(df, F.col(text_col), width, id=F.col(id_col), tie=tie))
-    roots = connected_components(fingerprint_links(f, radius), "a", "b")
-    order = F.struct(F.col("id").isNull(), "id", "tie")
-    nodes = f.groupBy("fp").agg(F.min("id").alias("least"), F.min(order).alias("first"))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    comps = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
-    table = nodes.select("fp", "root").join(comps, "root")
-    return f.join(table, "fp").select("id", "tie", "fp", "root", "component_id", F.struct(F.col("first.id").alias("id"), F.col("first.tie").alias("tie")).alias("first"))
+    return clusters(f, fingerprint_links(f, radius, max(SEGMENTS, radius // 3 + 1)))
+
+
+def similar_clusters(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tie: Column | None = None) -> DataFrame:
+    """The same columns, by wide fingerprints: documents whose five-word shingles are similar to 0.8 or more, as far as 128 bits tell."""
+    shape(df, id_col, text_col)
+    tie = F.lit(0).cast("long") if tie is None else tie
+    f = cut(wide_fingerprints(df, F.col(text_col), id=F.col(id_col), tie=tie))
+    return clusters(f, fingerprint_links(f, WIDE_RADIUS, WIDE_SEGMENTS, CHECK_RADIUS))
 
 
 def fingerprint_text(fp: Column) -> Column:
@@ -125,11 +359,13 @@ def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS) -> DataFrame:
-    """``df`` with one row of each component: the smallest id, of equal ids the smallest row hash. Columns stay as they are."""
+def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each component of :func:`similar_clusters`: the smallest id, of equal ids the smallest row hash. Columns stay as they are."""
     tie = row_hash(df)
-    c = simhash_clusters(df, id_col=id_col, text_col=text_col, width=width, radius=radius, tie=tie)
-    kept = c.select(F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("k"), F.col("first.tie").alias("t")).distinct()
+    c = similar_clusters(df, id_col=id_col, text_col=text_col, tie=tie)
+    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    kept = c.select(key(F.col("first.id")).alias("k"), F.col("first.tie").alias("t")).distinct()
     cols = [F.col(f"`{n}`") for n in df.columns]
-    keyed = df.select(F.struct(*cols).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"), F.xxhash64(*hashable(df)).alias("t"))
-    return keyed.join(kept, ["k", "t"], "left_semi").dropDuplicates(["k", "t"]).select(*[F.col("row").getField(n).alias(n) for n in df.columns])
+    keyed = df.select(F.struct(*cols).alias("row"), key(F.col(id_col)).alias("k"), F.xxhash64(*hashable(df)).alias("t"))
+    # Repeated rows become one before they travel, however many there are.
+    return keyed.dropDuplicates(["k", "t"]).join(kept, ["k", "t"], "left_semi").select(*[F.col("row").getField(n).alias(n) for n in df.columns])
