@@ -65,6 +65,8 @@ def chat_windows(
     array of (start, end) code points in ``formatted``, ends exclusive.
     """
     shape(turns, conv_col, turn_col, role_col, text_col)
+    if stride < 1 or history < 0:
+        raise ValueError("stride must be positive, history not negative")
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = turns.select(
         F.col(conv_col).alias("conv_id"),

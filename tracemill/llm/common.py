@@ -39,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def hashable(df: DataFrame) -> list[Column]:
     """The columns of ``df`` in forms that xxhash64 accepts: maps as sorted entries, variants (and what holds them deeper) as JSON."""
 

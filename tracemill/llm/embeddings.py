@@ -36,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut, map_batches, shape
+from tracemill.llm.common import SALTS, cut, map_batches, shape
 from tracemill.llm.components import connected_components
 
 CODES = 8
@@ -223,7 +223,7 @@ def _verify(threshold: float, words: int, seed: int, plans: dict[int, tuple[int,
 
 
 def vector_classes(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vector, cid, n``: every different usable vector, the smallest id that has it (a hash where all are null), and its rows."""
+    """``vector, cid, n, salts``: every different usable vector, the smallest id that has it (a hash where all are null), its rows and their salts."""
     usable = (
         F.col("vector").isNotNull()
         & (F.size("vector") > 0)
@@ -231,7 +231,13 @@ def vector_classes(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         & F.exists("vector", lambda x: x != 0)
     )
     d = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(usable)
-    return d.groupBy("vector").agg(F.coalesce(F.min("id"), F.xxhash64(F.first("vector"))).alias("cid"), F.count("*").alias("n"))
+    part = d.groupBy("vector", _salt(F.col("id")).alias("salt")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    return part.groupBy("vector").agg(F.coalesce(F.min("id"), F.xxhash64(F.first("vector"))).alias("cid"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
+
+
+def _salt(id_: Column) -> Column:
+    """Deals the rows of one vector, or of none, out to tasks."""
+    return F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int")
 
 
 def embedding_clusters(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, seed: int = 5) -> DataFrame:
@@ -255,8 +261,9 @@ def embedding_clusters(df: DataFrame, *, id_col: str = "vec_id", vector_col: str
     found = cut(parts.mapInArrow(_verify(threshold, words, seed, plans), "cid long, links long, root long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = connected_components(found, "cid", "root")
-    table = classes.select("vector", "cid", "n").join(links, "cid", "left").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    table = table.select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).join(table, "vector", "left")
+    table = classes.select("vector", "cid", "n", "salts").join(links, "cid", "left").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    table = table.select("vector", F.explode("salts").alias("salt"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).withColumn("salt", _salt(F.col("id")))
+    rows = rows.join(table, ["vector", "salt"], "left")
     component = F.when((F.col("n_links") > 0) | F.col("id").isNotNull(), F.coalesce("root", "id"))
     return rows.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

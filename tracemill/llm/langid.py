@@ -35,7 +35,7 @@ CENTROIDS = 3
 PER_LANGUAGE = 600
 PIECE = 1 << 20
 #: Share of the usual cosine below which a text is rejected, and length classes (octaves of distinct trigrams).
-REJECT = 0.2
+REJECT = 0.3
 LENGTHS = 13
 
 #: ASCII letters and all bytes of multi-byte characters stay; the rest becomes a space.

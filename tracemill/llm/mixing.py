@@ -6,9 +6,10 @@ passes over it (complete epochs); what is left buys documents in key order
 until the prefix sum of sizes reaches it, the last one if more than half of it
 still fits. Nothing is truncated: a document is taken whole or not at all.
 
-Prefix sums are two-level: keys fall into buckets of a 256th of an octave, so
-that a source of any size spreads over about a thousand (source, bucket)
-groups; bucket sums are summed per source, rows only within their bucket.
+Prefix sums are two-level: keys fall into buckets of a 256th of an octave or
+less, so that a source of any size spreads over (source, bucket) groups of some
+20,000 rows at most; bucket sums are summed per source, rows only within their
+bucket. Buckets follow the order of keys, so their width changes no result.
 
 A null source is a source of its own, after all others; a null text has size
 0; equal rows draw equal keys and are interchangeable; an empty table gives an
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import WORD, cut, packed, row_hash, shape, unpacked
 
-#: Key buckets an octave; the fullest bucket holds about 0.1% of its source.
+#: Fewest key buckets an octave; the fullest of 256 holds about 0.1% of its source. More rows get more buckets.
 PER_OCTAVE = 256
+BUCKET_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -94,7 +96,8 @@ def _mixed(
     d = packed(df, source=F.col(source_col), id=F.col(id_col), size=size, q=quality, tie=row_hash(df))
     d = d.withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     d = d.withColumn("key", -F.log(uniform(F.col("id"), F.col("size"), seed=seed)) / F.col("q"))
-    d = d.withColumn("bucket", F.floor(F.log2("key") * PER_OCTAVE).cast("int"))
+    octave = max(PER_OCTAVE, df.count() * PER_OCTAVE // (1000 * BUCKET_ROWS))
+    d = d.withColumn("bucket", F.floor(F.log2("key") * octave).cast("long"))
     # Two plans need the sums; written once, they don't measure the texts twice.
     sums = cut(d.groupBy("skey", "bucket").agg(F.sum("size").alias("bsize"), F.first("source").alias("source")))
     sizes = sums.groupBy("skey").agg(F.sum("bsize").alias("source_size"), F.first("source").alias("source"))

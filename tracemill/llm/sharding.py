@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import packed, row_hash, shape, unpacked
 
-#: Hash buckets that row numbers are counted in; their offsets are one small table.
-BUCKETS = 8192
+#: Rows that a hash bucket has on average; row numbers are counted bucket by bucket.
+BUCKET_ROWS = 20_000
+#: Fewest and most buckets: the offsets of the most are a table of 24 MB.
+FEWEST, MOST = 64, 1 << 20
 #: Rounds of the network; four give a pseudo-random permutation, two are to spare.
 ROUNDS = 6
 #: Walks out of the domain are rarer than 1 in sqrt(N) a step, and there are fewer than sqrt(N) numbers outside it.
@@ -40,20 +42,23 @@ def _network(x: Column, a: Column, b: Column, seed: int) -> Column:
 def number_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Columns ``row`` (the given row), ``number`` (0..N-1, the same in every run) and ``total`` (N).
 
-    Rows are dealt to buckets by a hash of the whole row, so that no key can
-    fill one; the bucket's offset is the count of rows in those before it.
-    ``keys`` (default: all columns) are the columns that the numbers depend on.
+    Rows are dealt to buckets by a hash of the whole row, so that no value of a
+    column can fill one (only copies of a whole row meet in one, which the sort
+    spills); the bucket's offset is the count of rows in those before it. The
+    number of buckets follows from the count of rows. ``keys`` (default: all
+    columns) are the columns that the numbers depend on.
     """
     shape(df, *(keys or []))
+    buckets = max(FEWEST, min(MOST, df.count() // BUCKET_ROWS))
     h = row_hash(df.select(*[f"`{k}`" for k in keys])) if keys else row_hash(df)
-    d = packed(df, h=h).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    counts = packed(df, h=h).select(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    d = packed(df, h=h).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    counts = packed(df, h=h).select(F.pmod("h", F.lit(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     offsets = counts.select(
         "bucket",
         (F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("offset"),
         F.sum("n").over(W.partitionBy()).alias("total"),
     )
-    # At most BUCKETS rows of three numbers: a proven bound.
+    # At most MOST rows of three numbers: a proven bound.
     d = d.join(F.broadcast(offsets), "bucket")
     order = W.partitionBy("bucket").orderBy("h")
     return d.select("row", (F.col("offset") + F.row_number().over(order) - 1).alias("number"), "total")

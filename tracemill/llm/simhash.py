@@ -42,7 +42,7 @@ SEED = 42
 RADIUS = 4
 SEGMENTS = 2
 #: The wide form: segments, bits of two-word shingles and of five-word shingles that may differ. Of 128 bits, 19 differ on average at a similarity of 0.8.
-WIDE_SEGMENTS, WIDE_RADIUS, CHECK_RADIUS = 3, 12, 26
+WIDE_SEGMENTS, WIDE_RADIUS, CHECK_RADIUS = 3, 12, 28
 #: Fingerprints under one key that a block holds, and from how many on a spanning forest stands for the links.
 BLOCK = 4096
 FEW = 64
