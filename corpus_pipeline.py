@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's rows to the shared checkpoint folder as Parquet and reads them back
-for the next, so a lost executor repeats at most one stage.
+for the next, so a lost executor repeats at most one stage. A stage's folder is
+removed once the next one is written; the last stays, as the result reads it.
+
+The language stage learns from the labels that the corpus itself carries, again in
+every run. Rows with null ids, texts or sources, repeated rows and empty tables
+are served as the operators say: a text without letters goes in the first stage,
+of equal rows one stays in the second. Stages but the last keep the columns as
+they are, whatever their names; the last replaces ``shard`` and ``slot``.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontaminate, langid, mixing, sharding, simhash
-from tracemill.llm.common import shared_dir
+from tracemill.llm.common import remove, shared_dir
 
 SHARDS = 40
 
@@ -25,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each group whose five-word shingles are similar to 0.8 or more: its smallest id."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -61,9 +68,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{n}-{name}")
-            docs = spark.read.parquet(f"{folder}/{n}-{name}")
-    return docs
+    before = None
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
