@@ -292,7 +292,8 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGM
         nodes = fps.select("fp").distinct().select("fp", F.col("fp").alias("index"))
     else:
         nodes = fps.groupBy("fp").agg(F.min(F.struct("index", "check")).alias("x")).select("fp", "x.index", "x.check")
-    nodes = cut(nodes)
+    # Entries are many more than nodes, so they are made by more tasks than the nodes need.
+    nodes = cut(nodes.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     values = F.array(*[_value(F.col("index"), n, a, w) for n, (a, w) in enumerate(segment_widths(segments))])
     carried = names if check is None else ["index", *names]
     entries = nodes.select(*carried, values.alias("values")).select(*carried, F.explode(_balls(F.col("values"), segments)).alias("key"))
@@ -316,21 +317,14 @@ def clusters(fps: DataFrame, links: DataFrame) -> DataFrame:
 
     A fingerprint or component of any size is spread over ``SALTS`` tasks on the way back to the rows.
     """
-    roots = connected_components(links, "a", "b")
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    roots = connected_components(links, "a", "b").select(F.col("node").alias("fp"), "root")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
     f = fps.select("id", "tie", "fp", F.pmod(F.xxhash64("id", "tie"), F.lit(SALTS)).alias("salt"))
     part = f.groupBy("fp", "salt").agg(F.min("id").alias("least"), F.min(order).alias("first"))
     nodes = part.groupBy("fp").agg(F.min("least").alias("least"), F.min("first").alias("first"), F.collect_set("salt").alias("salts"))
-    linked = roots.withColumnRenamed("node", "fp").join(nodes.select("fp", "least", "first"), "fp")
-    linked = beside(linked, "root", F.col("fp"), component_id=(F.min, F.col("least")), leader=(F.min, F.col("first"))).select("fp", "root", "component_id", "leader")
-    table = nodes.join(linked, "fp", "left").select(
-        "fp",
-        F.explode("salts").alias("salt"),
-        F.coalesce("root", "fp").alias("root"),
-        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("leader", "first").alias("first"),
-    )
+    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    whole = beside(nodes, "root", F.col("fp"), component_id=(F.min, F.col("least")), leader=(F.min, F.col("first")))
+    table = whole.select("fp", F.explode("salts").alias("salt"), "root", "component_id", F.col("leader").alias("first"))
     return f.join(table, ["fp", "salt"]).select("id", "tie", "fp", "root", "component_id", F.struct(F.col("first.id").alias("id"), F.col("first.tie").alias("tie")).alias("first"))
 
 
