@@ -105,14 +105,20 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def wide_fingerprint(text: bytes | None, known: dict[bytes, int] | None = None) -> tuple[int, int, int]:
+class WordHashes(dict):
+    """Hashes of words, each made once."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def wide_fingerprint(text: bytes | None, known: WordHashes | None = None) -> tuple[int, int, int]:
     """(index, node, check), signed: 64 bits of two-word shingles, and two times 64 of five-word shingles. ``known`` keeps hashes of words."""
-    known = {} if known is None else known
+    known = WordHashes() if known is None else known
     words = (text or b"").lower().split()
     if not words:
         return 0, 0, 0
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh64_intdigest(w, SEED)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     five = _shingles(h, 5)
     return _majority(_shingles(h, 2)), _majority(five), _majority(_mix(five + np.uint64(1)))
@@ -123,7 +129,7 @@ def wide_fingerprints(df: DataFrame, text: Column, /, **keep: Column) -> DataFra
 
     def start():
         def step(texts: pa.Array) -> list[pa.Array]:
-            known: dict[bytes, int] = {}
+            known = WordHashes()
             index, fp, check = zip(*[wide_fingerprint(x, known) for x in texts.to_pylist()])
             return [pa.array(x, pa.int64()) for x in (fp, index, check)]
 
