@@ -113,8 +113,12 @@ def deterministic_id(seed: Column, n: int = 12) -> Column:
 
 def word_grams(words: Column, n: int) -> Column:
     """The n-grams of an array of words, joined by spaces."""
-    size = F.size(words) - n + 1
-    return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    # Shifted copies side by side: inside a lambda the words would be made anew for each place.
+    size = F.greatest(F.lit(0), F.size(words) - n + 1)
+    grams = F.slice(words, F.lit(1), size)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, F.lit(k + 1), size), lambda a, b: F.concat(a, F.lit(" "), b))
+    return grams
 
 
 def char_grams(words: Column, lo: int, hi: int) -> Column:

@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LADDER = (0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25)
+#: The thresholds that are tried, and the largest share of a cluster.
+LADDER = (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)
 LARGEST = 0.45
+#: Rows (query, term) of queries that a broadcast may carry; more meet the documents by a shuffle.
+MOST_QUERY_TERMS = 1_000_000
+#: Members of a scope whose distance matrix (8 bytes a pair) fits a task.
+MOST_MEMBERS = 8_000
 
 
 # --- vectors ------------------------------------------------------------------
@@ -31,6 +36,8 @@ def tfidf(docs: DataFrame, doc: str, grams: Column) -> DataFrame:
 def sparse_cosine(weights: DataFrame, queries: DataFrame) -> DataFrame:
     """``query, doc, score`` from two weight tables, over their common terms."""
     q = queries.select(F.col("doc").alias("query"), "term", F.col("weight").alias("qw"))
+    # Beside a broadcast the weights stay together by document, so sums combine before the shuffle.
+    q = F.broadcast(q) if q.count() <= MOST_QUERY_TERMS else q
     return q.join(weights, "term").where("query <> doc").groupBy("query", "doc").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
 
 

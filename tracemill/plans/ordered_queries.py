@@ -137,7 +137,7 @@ def tick_groups(t: Tables) -> DataFrame:
 
 
 @query("""
-with x as (select conv_id, turn, substr(first_value(text) over (partition by conv_id order by turn), 1, 40) as text from conversations),
+with x as (select conv_id, turn, first_value(text) over (partition by conv_id order by turn) as text from conversations),
 y as (select *, max(least(ceil(((turn * 7) % 10) / 9.0 * length(text)), length(text))) over (partition by conv_id order by turn rows unbounded preceding)::bigint as released from x),
 z as (select *, coalesce(lag(released) over (partition by conv_id order by turn), 0)::bigint as f from y)
 select conv_id, turn, released, substr(text, f + 1, released - f) as part from z
@@ -150,8 +150,9 @@ def proportional_release(t: Tables) -> DataFrame:
 
 
 @query("""
-with x as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as pos from events)
-select user_id, (pos // 8)::bigint as bucket, min(value) as low, max(value) as high from x where pos // 8 < 6 group by 1, 2
+with x as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id) as n from events),
+y as (select *, greatest(1, n // 6) as width from x)
+select user_id, (pos // width)::bigint as bucket, min(value) as low, max(value) as high from y where pos // width < n // width group by 1, 2
 """)
 def waveform_envelope(t: Tables) -> DataFrame:
     pos = F.row_number().over(W.partitionBy("user_id").orderBy(*by_time())) - 1
