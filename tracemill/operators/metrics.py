@@ -240,3 +240,45 @@ def cost_totals(messages: DataFrame, run: str) -> DataFrame:
     missing = F.bool_or(talk & F.col("cost").isNull())
     of = lambda role: F.when(missing, None).otherwise(F.coalesce(F.sum(F.when(F.col("role") == role, F.col("cost"))), F.lit(0.0)))
     return messages.groupBy(run).agg(of("assistant").alias("agent_cost"), of("user").alias("user_cost"), F.sum("tokens").alias("tokens"))
+
+
+# --- experiments ------------------------------------------------------------------
+
+
+def wide_rewards(runs: DataFrame, task: str, model: str, models: Sequence[str], reward: str) -> DataFrame:
+    """One row a task, one column a model: its mean reward there, null where it has no run. The models are named, so one pass does."""
+    return runs.groupBy(task).pivot(model, list(models)).agg(F.avg(reward))
+
+
+def concat_experiments(experiments: Mapping[str, DataFrame], task: str = "task_id", reward: str = "reward") -> DataFrame:
+    """Runs of several experiments in one table, each with its experiment, whether it succeeded and its place among its task's runs."""
+    out = None
+    for name, runs in experiments.items():
+        d = runs.withColumn("experiment", F.lit(name))
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    order = W.partitionBy("experiment", task).orderBy("trial")
+    return out.withColumns({"success": successful(F.col(reward)), "run_of_task": F.row_number().over(order), "runs_of_task": F.count("*").over(W.partitionBy("experiment", task))})
+
+
+def run_summary(runs: DataFrame, *by: str) -> DataFrame:
+    """Runs, failed terminations, and numerators with denominators of authentication, state and reward."""
+    reason, auth, db = F.col("termination_reason"), F.col("auth_status"), F.col("db_match")
+    d = runs.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.count_if(~F.coalesce(reason.isin("agent_stop", "user_stop"), F.lit(False))).alias("failed_terminations"),
+        F.count_if(auth == "succeeded").alias("auth_num"),
+        F.count_if(auth.isin("succeeded", "failed")).alias("auth_den"),
+        F.count_if(db).alias("db_num"),
+        F.count(db).alias("db_den"),
+        F.count_if(successful(F.col("reward"))).alias("reward_num"),
+        F.count("reward").alias("reward_den"),
+    )
+    share = lambda k: F.round(F.try_divide(f"{k}_num", f"{k}_den"), 6).alias(f"{k}_rate")
+    return d.select("*", share("auth"), share("db"), share("reward"))
+
+
+def share_rows(runs: DataFrame, by: Sequence[str], flags: Mapping[str, Column]) -> DataFrame:
+    """Feed of a bar chart: one row a group and measure with its share in percent and the size of its base (rows where it is not null)."""
+    g = runs.groupBy(*by).agg(*[x for k, c in flags.items() for x in (F.avg(c.cast("double")).alias(f"{k}_share"), F.count(c).alias(f"{k}_base"))])
+    rows = F.array(*[F.struct(F.lit(k).alias("measure"), F.round(F.col(f"{k}_share") * 100, 6).alias("percent"), F.col(f"{k}_base").alias("base")) for k in flags])
+    return g.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")

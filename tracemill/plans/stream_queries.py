@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,18 +9,13 @@ from pyspark.sql import functions as F
 from tracemill.operators import joins as J
 from tracemill.operators import ordered as O
 from tracemill.plans.registry import Tables, long, query
+from tracemill.session import scratch
 from tracemill.streaming import streams as S
 from tracemill.streaming import ticks as K
 
 
 def _folder(t: Tables) -> str:
-    """A new folder for a stream's state and output: in the shared checkpoint folder, or a local one where none is set."""
-    sc = t.spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-ck-"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return scratch(t.spark, "stream")
 
 
 def _stream(t: Tables) -> DataFrame:

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,22 +29,33 @@ def parse_document(path: str, content: bytes) -> str:
     raise ValueError(f"unsupported file: {path}")
 
 
+@F.pandas_udf("string")
+def parsed(path: pd.Series, content: pd.Series) -> pd.Series:
+    """:func:`parse_document` over whole batches of files."""
+    return pd.Series([parse_document(p, bytes(c)) for p, c in zip(path, content)])
+
+
 def suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
 def load_file(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read by suffix: JSON rows, one JSON text a YAML or TOML file, one text a plain file. Another suffix raises."""
+    """Read by suffix: JSON rows, one JSON text a YAML or TOML file, one text a plain file. Another suffix raises.
+
+    A JSON file is one document over as many lines as it likes; a JSON folder, as :func:`dump_file` writes it, has one a line.
+    """
     s = suffix(path)
     if s == ".json":
-        r = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        folder = fs.exists(place) and fs.getFileStatus(place).isDirectory()
+        r = spark.read.option("multiLine", not folder).option("mode", "FAILFAST")
         return (r.schema(schema) if schema is not None else r).json(path)
     if s in TEXT:
         return spark.read.text(path, wholetext=True)
     if s in (".yaml", ".yml", ".toml"):
-        parse = F.udf(parse_document, "string")
-        return spark.read.format("binaryFile").load(path).select("path", parse("path", "content").alias("json"))
+        return spark.read.format("binaryFile").load(path).select("path", parsed("path", "content").alias("json"))
     raise ValueError(f"unsupported file suffix: {s or path}")
 
 
@@ -80,9 +91,9 @@ def expand_paths(spark: SparkSession, paths: Sequence[str], extension: str) -> l
     return sorted(f for f in found if f.endswith(extension))
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``id, title, content``, one JSON document a file."""
-    return spark.read.schema("id string, title string, content string").option("multiLine", True).json(folder)
+def read_documents(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """``id, title, content``: one JSON document a file, or one a line as :func:`export_documents` writes them."""
+    return spark.read.schema("id string, title string, content string").option("multiLine", not lines).json(folder)
 
 
 def export_documents(df: DataFrame, folder: str, mode: str = "errorifexists") -> None:
@@ -147,3 +158,24 @@ def wav_bytes(samples: bytes, channels: int, rate: int, bits: int = 16) -> bytes
     block = channels * bits // 8
     head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(samples), b"WAVE", b"fmt ", 16, 1, channels, rate, rate * block, block, bits, b"data", len(samples))
     return head + samples
+
+
+def _little_endian(n: Column, size: int) -> Column:
+    """A number as ``size`` bytes, the lowest first."""
+    digits = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]))
+
+
+def wav_file(samples: Column, channels: int, rate: int, bits: int = 16) -> Column:
+    """The bytes of an audio file around samples, without Python."""
+    size = F.octet_length(samples)
+    block = channels * bits // 8
+    text = lambda s: F.lit(s.encode())
+    number = lambda n, k: F.lit(n.to_bytes(k, "little"))
+    form = [number(16, 4), number(1, 2), number(channels, 2), number(rate, 4), number(rate * block, 4), number(block, 2), number(bits, 2)]
+    return F.concat(text("RIFF"), _little_endian(size + 36, 4), text("WAVEfmt "), *form, text("data"), _little_endian(size, 4), samples)
+
+
+def wav_parts(content: Column) -> Column:
+    """channels, rate, bits and samples of an audio file's bytes."""
+    return _wav(content)
