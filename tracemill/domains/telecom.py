@@ -87,3 +87,40 @@ def refuel(customers: DataFrame, lines: DataFrame, plans: DataFrame, bills: Data
     more = bills.join(due.where("bill_id is not null").select("bill_id", "charge"), "bill_id", "left")
     out = more.select(*[(F.col("total_due") + F.coalesce("charge", F.lit(0.0))).alias(c) if c == "total_due" else F.col(c) for c in bills.columns])
     return apply_changes(lines, d.select("line_id", "rule", "new_data_refueling_gb"), "line_id"), out.unionByName(new), d.select("line_id", "rule", "charge")
+
+
+def sync_world(surroundings: DataFrame, customers: DataFrame, lines: DataFrame, plans: DataFrame, bills: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(surroundings, bills) after both sides have told each other.
+
+    Surroundings: user_id, phone_number, request_bill_id, request_amount,
+    request_paid. The line's state tells whether the user may connect, roam and
+    has used up the data; a request that is paid settles its bill and goes; a
+    user without one gets the customer's first bill that awaits payment. Users
+    without a number stay as they are; a number without a line or plan raises.
+    """
+    line = lines.join(plans.select("plan_id", "data_limit_gb"), "plan_id", "left").select(
+        "phone_number",
+        (F.col("status") == "Active").alias("line_active"),
+        F.col("roaming_enabled").alias("roaming_allowed"),
+        (F.col("data_used_gb") >= F.col("data_limit_gb") + F.col("data_refueling_gb")).alias("usage_exceeded"),
+        "line_id",
+        F.col("data_limit_gb").isNotNull().alias("has_plan"),
+    )
+    d = surroundings.join(line, "phone_number", "left")
+    wrong = F.col("phone_number").isNotNull() & ~F.coalesce("has_plan", F.lit(False))
+    d = d.withColumn("user_id", F.when(wrong, F.raise_error(F.concat(F.lit("no line or plan for "), F.col("phone_number"))).cast(surroundings.schema["user_id"].dataType)).otherwise(F.col("user_id")))
+    settled = F.coalesce(F.col("request_paid"), F.lit(False)) & F.col("phone_number").isNotNull()
+    paid = d.where(settled).select(F.col("request_bill_id").alias("bill_id"), F.lit("Paid").alias("paid_status")).distinct()
+    after = bills.join(paid, "bill_id", "left").select(*[F.coalesce("paid_status", c).alias(c) if c == "status" else F.col(c) for c in bills.columns])
+    owner = customers.select("customer_id", F.explode("line_ids").alias("line_id"))
+    due = after.where("status = 'Awaiting Payment'").groupBy("customer_id").agg(F.min(F.struct("bill_id", "total_due")).alias("due"))
+    d = d.join(owner, "line_id", "left").join(due, "customer_id", "left")
+    keep = F.col("request_bill_id").isNotNull() & ~settled
+    bill = lambda own, new: F.when(keep | F.col("phone_number").isNull(), F.col(own)).otherwise(F.col(new))
+    out = d.select(
+        "user_id", "phone_number", "line_active", "roaming_allowed", "usage_exceeded",
+        bill("request_bill_id", "due.bill_id").alias("request_bill_id"),
+        bill("request_amount", "due.total_due").alias("request_amount"),
+        F.when(keep, F.coalesce("request_paid", F.lit(False))).when(F.col("phone_number").isNull(), F.col("request_paid")).when(F.col("due.bill_id").isNotNull(), False).alias("request_paid"),
+    )
+    return out, after

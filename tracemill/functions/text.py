@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The noise that is cut from assertions and from free text, and words of consent.
 VALUE_NOISE = r"""(?U)(#\w+|\$[\d,.]+|\b\d[\d,.]*\b|'[^']*'|"[^"]*")"""
@@ -158,3 +159,64 @@ def insert_words(text: Column, insert: Column, seed: Column, least: int = 3) ->
     at = F.pmod(F.xxhash64(seed), F.size(words) - 1).cast("int") + 1
     joined = F.array_join(F.concat(F.slice(words, F.lit(1), at), F.array(insert), F.slice(words, at + 1, F.size(words))), " ")
     return F.when(F.size(words) > least, joined).otherwise(text)
+
+
+#: Names of tables that say nothing about a difference.
+SKIP = ("orders", "users", "products", "*", "")
+
+
+def signature_tokens(c: Column) -> Column:
+    """A state signature (``kind:path;kind:path``) as words: kinds and the parts of paths that say something."""
+
+    def words(item: Column) -> Column:
+        path = F.when(F.contains(item, F.lit(":")), F.substr(item, F.instr(item, ":") + 1)).otherwise("")
+        parts = F.transform(F.split(path, r"\."), lambda p: F.replace(p, F.lit("[]"), F.lit("")))
+        return F.concat(F.array(F.substring_index(item, ":", 1)), F.filter(parts, lambda p: ~p.isin(*SKIP)))
+
+    return F.when(F.length(c) > 0, F.array_join(F.flatten(F.transform(F.split(c, ";"), words)), " ")).otherwise("")
+
+
+def signature_gloss(c: Column) -> Column:
+    """A cluster's signature for readers: differences by kind with the last parts of their paths, statements, tools."""
+
+    def state(s: Column) -> Column:
+        items = F.split(s, ";")
+
+        def of(kind: str, verb: str) -> Column:
+            own = F.filter(items, lambda x: F.startswith(x, F.lit(f"{kind}:")))
+            # The last part of a path that is no index or wildcard.
+            last = F.transform(own, lambda x: F.element_at(F.filter(F.split(F.replace(F.substr(x, F.lit(len(kind) + 2)), F.lit("[]"), F.lit("")), r"\."), lambda p: ~p.isin("*", "")), -1))
+            return F.when(F.size(own) > 0, F.concat(F.lit(f"{verb}: "), F.array_join(F.array_sort(F.array_distinct(last)), ", ")))
+
+        return F.array_join(F.array_compact(F.array(of("missed", "missing"), of("wrong", "wrong"), of("extra", "extra"))), " · ")
+
+    def one(p: Column) -> Column:
+        rest = lambda k: F.substr(p, F.lit(k + 1))
+        return (
+            F.when(F.startswith(p, F.lit("db=")), F.nullif(state(rest(3)), F.lit("")))
+            .when(F.startswith(p, F.lit("nl=")), F.concat(F.lit("says: "), rest(3)))
+            .when(F.startswith(p, F.lit("chain=")), F.concat(F.lit("tools: "), F.replace(rest(6), F.lit("->"), F.lit(" → "))))
+            .otherwise(p)
+        )
+
+    return F.when(F.length(c) > 0, F.array_join(F.array_compact(F.transform(F.split(c, r" \| "), one)), " | ")).otherwise("")
+
+
+def as_texts(c: Column, kind: T.DataType) -> Column:
+    """A value with every number and boolean in it as text (``True``, ``1.5``), dates in ISO form; texts and nulls stay."""
+    if isinstance(kind, T.BooleanType):
+        return F.when(c, "True").when(~c, "False")
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[as_texts(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: as_texts(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: as_texts(v, kind.valueType))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return c.cast("string")
+
+
+def json_of_texts(c: Column, kind: T.DataType) -> Column:
+    """The JSON of :func:`as_texts`; a text stays as it is."""
+    return c if isinstance(kind, T.StringType) else F.to_json(as_texts(c, kind), {"ignoreNullFields": "false"})

@@ -15,6 +15,8 @@ LADDER = (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)
 LARGEST = 0.45
 #: Rows (query, term) of queries that a broadcast may carry; more meet the documents by a shuffle.
 MOST_QUERY_TERMS = 1_000_000
+#: Clusters whose sums of vectors may travel to every row.
+MOST_CLUSTERS = 10_000
 #: Members of a scope whose distance matrix (8 bytes a pair) fits a task.
 MOST_MEMBERS = 8_000
 
@@ -94,17 +96,9 @@ def ladder_cut(n: int, merges: Sequence, ladder: Sequence[float] = LADDER, large
     return labels, t
 
 
-def density_clusters(vectors: np.ndarray, least: int) -> np.ndarray:
-    """Density clusters on the mutual-reachability tree, cut where it has the most clusters of at least ``least`` points that hold half of them; noise is -1."""
-    n = len(vectors)
-    if n < least:
-        return np.full(n, -1)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    u = vectors / np.where(norm > 0, norm, 1)
-    d = np.clip(1 - u @ u.T, 0, 2)
-    core = np.sort(d, axis=1)[:, min(least, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
-    # Prim's tree, then components under each edge length.
+def _spanning_tree(reach: np.ndarray) -> list[tuple[float, int, int]]:
+    """Edges (length, a, b) of the least spanning tree of a distance matrix, shortest first."""
+    n = len(reach)
     inside, best, via = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     edges, at = [], 0
     inside[0] = True
@@ -112,42 +106,101 @@ def density_clusters(vectors: np.ndarray, least: int) -> np.ndarray:
         closer = ~inside & (reach[at] < best)
         best[closer], via[closer] = reach[at][closer], at
         at = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[at], via[at], at))
+        edges.append((float(best[at]), int(via[at]), at))
         inside[at] = True
-    edges.sort()
-    best_labels, best_score = np.full(n, -1), -1.0
-    parent = list(range(n))
+    return sorted(edges)
+
+
+def density_clusters(vectors: np.ndarray, least: int) -> np.ndarray:
+    """Density clusters by excess of mass; noise is -1.
+
+    The least spanning tree of mutual reachability is taken apart from its
+    longest edge down. A part of at least ``least`` points is a cluster; where both
+    parts are, it ends and two begin; smaller parts fall out of it. A cluster's
+    stability is the sum over its points of the density (1 / length) at which each
+    leaves, less that at which the cluster began; of a cluster and those that
+    follow it the more stable stay. The whole is never a cluster.
+    """
+    n, least = len(vectors), max(2, least)
+    if n < least:
+        return np.full(n, -1)
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    u = vectors / np.where(norm > 0, norm, 1)
+    d = np.sqrt(np.clip(2 - 2 * u @ u.T, 0, 4))
+    np.fill_diagonal(d, 0)
+    core = np.partition(d, least - 1, axis=1)[:, least - 1]
+    # The tree of joins: node n + k joins two nodes at the k-th shortest edge.
+    top = list(range(2 * n - 1))
 
     def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
         return x
 
-    for k, (length, a, b) in enumerate(edges):
-        parent[find(a)] = find(b)
-        if k + 1 < len(edges) and edges[k + 1][0] == length:
+    size = [1] * n + [0] * (n - 1)
+    parts: list[tuple[int, int, float]] = []
+    for k, (length, a, b) in enumerate(_spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None, :])))):
+        a, b = find(a), find(b)
+        top[a] = top[b] = n + k
+        size[n + k] = size[a] + size[b]
+        parts.append((a, b, 1 / max(length, 1e-12)))
+    # Clusters from the top: 0 is the whole; a point's own is the last that held it.
+    parent, birth, stable, own = [-1], [0.0], [0.0], np.zeros(n, int)
+    stack = [(2 * n - 2, 0)]
+    while stack:
+        node, c = stack.pop()
+        if node < n:
+            own[node] = c
+            continue
+        a, b, density = parts[node - n]
+        big = [x for x in (a, b) if size[x] >= least]
+        if len(big) == 2:
+            stable[c] += (density - birth[c]) * size[node]
+            for x in big:
+                parent.append(c)
+                birth.append(density)
+                stable.append(0.0)
+                stack.append((x, len(parent) - 1))
             continue
-        roots = np.array([find(x) for x in range(n)])
-        names, size = np.unique(roots, return_counts=True)
-        big = names[size >= least]
-        share = size[size >= least].sum() / n
-        score = len(big) + share if share >= 0.5 else share
-        if score > best_score:
-            best_score = score
-            best_labels = np.array([np.flatnonzero(big == r)[0] if r in big else -1 for r in roots])
-    return best_labels
+        for x in (a, b):
+            if x in big:
+                stack.append((x, c))
+                continue
+            stable[c] += (density - birth[c]) * size[x]
+            fallen = [x]
+            while fallen:
+                y = fallen.pop()
+                if y < n:
+                    own[y] = c
+                else:
+                    fallen += parts[y - n][:2]
+    follow = [0.0] * len(parent)
+    chosen = [False] * len(parent)
+    for c in range(len(parent) - 1, 0, -1):
+        chosen[c] = stable[c] >= follow[c]
+        follow[parent[c]] += max(stable[c], follow[c])
+    label = [-1] * len(parent)
+    for c in range(1, len(parent)):
+        label[c] = label[parent[c]] if label[parent[c]] >= 0 else (c if chosen[c] else -1)
+    found = np.array([label[c] for c in own])
+    names, first = np.unique(found[found >= 0], return_index=True)
+    rank = {int(x): k for k, x in enumerate(names[np.argsort(first)])}
+    return np.array([rank.get(int(x), -1) for x in found])
 
 
 def cluster_groups(df: DataFrame, key: str, vector: str, scope: str, threshold: float | None = None, algorithm: str = "agglomerative", min_size: int = 3) -> DataFrame:
     """Clusters within each scope: ``key, scope, cluster``; without a threshold the ladder picks one.
 
     A scope's distance matrix is quadratic, so scopes are one mechanism of one
-    run, as large as a person reviews; noise points become clusters of their own.
+    run, as large as a person reviews; one of more than ``MOST_MEMBERS`` raises.
+    Noise points become clusters of their own.
     """
     schema = f"{key} {dict(df.dtypes)[key]}, {scope} {dict(df.dtypes)[scope]}, cluster int, threshold double"
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
+        if len(f) > MOST_MEMBERS:
+            raise ValueError(f"a scope of {len(f)} members is too large for a distance matrix; split it first")
         f = f.sort_values(key)
         m = np.array(f[vector].tolist(), float)
         if algorithm == "density":
@@ -247,6 +300,8 @@ def silhouette(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
     parts = unit.select("own", F.posexplode("u").alias("k", "x")).groupBy("own", "k").agg(F.sum("x").alias("x"))
     sums = parts.groupBy("own").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("s"))
     sums = sums.join(unit.groupBy("own").agg(F.count("*").alias("n")), "own").withColumnRenamed("own", "c")
+    if sums.count() > MOST_CLUSTERS:
+        raise ValueError("too many clusters to meet every row")
     d = unit.crossJoin(F.broadcast(sums)).select("key", "own", "c", "n", dot(F.col("u"), F.col("s")).alias("p"))
     within = F.col("c") == F.col("own")
     g = d.groupBy("key").agg(

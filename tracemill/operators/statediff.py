@@ -49,6 +49,16 @@ def flatten(df: DataFrame, key: str, state: str) -> DataFrame:
     return df.select(key, F.explode(_flatten(F.col(state))).alias("n")).select(key, "n.path", "n.value")
 
 
+def structural_diff(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``key, path, kind, old, new`` for every leaf that is in one of two JSON states only (added, removed) or differs (changed)."""
+    both = df.select(key, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(a).alias("s")), F.struct(F.lit(1).alias("side"), F.col(b).alias("s")))).alias("x"))
+    n = both.select(key, "x.side", F.explode(_flatten(F.col("x.s"))).alias("n")).select(key, "side", F.array_join("n.path", ".").alias("path"), F.col("n.value").alias("v"))
+    at = lambda k: F.max(F.when(F.col("side") == k, F.col("v")))
+    g = n.groupBy(key, "path").agg(at(0).alias("old"), at(1).alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    return g.select(key, "path", kind.alias("kind"), "old", "new")
+
+
 def three_way(df: DataFrame, key: str, initial: str, gold: str, predicted: str) -> DataFrame:
     """``key, path, kind`` for every difference between gold and predicted: missed, extra or wrong."""
     side = lambda c, n: flatten(df, key, c).select(key, "path", F.col("value").alias(n))

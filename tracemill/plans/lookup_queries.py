@@ -15,6 +15,7 @@ from tracemill.operators import reports as Y
 from tracemill.operators import statediff as SD
 from tracemill.operators import traces as TR
 from tracemill.plans.registry import Tables, long, query
+from tracemill.streaming import streams as S
 from tracemill.streaming import ticks as K
 
 # --- lookups -------------------------------------------------------------------
@@ -303,6 +304,43 @@ def first_seen_errors(t: Tables) -> DataFrame:
     return TR.tool_errors(m).select("run_id", F.array_join("tool_errors", "|").alias("errors"))
 
 
+@query("select o_orderkey, 'missed items ' || lower(o_orderstatus) || ' wrong balance' as words, 'missing: ' || lower(o_orderstatus) || ' · wrong: balance | says: no | tools: a → b' as gloss from orders")
+def signature_words(t: Tables) -> DataFrame:
+    """Signatures as words for clustering and as a line for readers."""
+    s = F.concat(F.lit("missed:orders.*.items[]."), F.lower("o_orderstatus"), F.lit(";wrong:users.*.balance"))
+    return t.orders.select("o_orderkey", X.signature_tokens(s).alias("words"), X.signature_gloss(F.concat(F.lit("db="), s, F.lit(" | nl=no | chain=a->b"))).alias("gloss"))
+
+
+@query("""select o_orderkey, '{"k":"' || o_orderkey || '","open":"' || case when o_orderstatus = 'O' then 'True' else 'False' end || '","day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","ids":["' || o_custkey || '","7"],"none":null}' as response from orders""")
+def json_of_texts(t: Tables) -> DataFrame:
+    """Responses whose numbers and booleans are texts."""
+    d = t.orders.select("o_orderkey", F.struct(F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "O").alias("open"), F.col("o_orderdate").cast("date").alias("day"), F.array(F.col("o_custkey").cast("long"), F.lit(7).cast("long")).alias("ids"), F.lit(None).cast("double").alias("none")).alias("r"))
+    return d.select("o_orderkey", X.json_of_texts(F.col("r"), d.schema["r"].dataType).alias("response"))
+
+
+@query("""
+select o_orderkey, 'status' as path, 'changed' as kind, '"?"' as old, '"' || o_orderstatus || '"' as new from orders union all select o_orderkey, 'x.note', 'added', null, '1' from orders where o_custkey % 2 = 0 union all select o_orderkey, 'old', 'removed', 'true', null from orders
+""")
+def structural_diff(t: Tables) -> DataFrame:
+    """Leaves that two nested states do not share."""
+    a = F.concat(F.lit('{"status": "?", "x": {"same": 1}, "old": true}'))
+    b = F.concat(F.lit('{"status": "'), F.col("o_orderstatus"), F.lit('", "x": {"same": 1'), F.when(F.col("o_custkey") % 2 == 0, ', "note": 1').otherwise(""), F.lit("}}"))
+    return SD.structural_diff(t.orders.select("o_orderkey", a.alias("a"), b.alias("b")), "o_orderkey", "a", "b")
+
+
+@query("""
+with w as (select o_custkey, min('B' || o_orderkey) filter (where o_orderkey % 97 = 0) as bill from orders group by 1)
+select 'U' || o_orderkey as user_id, o_orderstatus = 'O' as line_active, o_orderkey % 2 = 0 as roaming_allowed, o_orderkey % 10 / 2.0 >= [5.0, 10.0, 20.0][(o_orderkey % 3 + 1)::int] as usage_exceeded, w.bill as request_bill_id from orders join w using (o_custkey)
+""")
+def world_sync(t: Tables) -> DataFrame:
+    """What a line's state tells the device, and the bill that a user is asked to pay."""
+    d = _telecom(t)
+    null = lambda k: F.lit(None).cast(k)
+    users = t.orders.select(F.concat(F.lit("U"), F.col("o_orderkey").cast("string")).alias("user_id"), F.concat(F.lit("555"), F.col("o_orderkey").cast("string")).alias("phone_number"), null("string").alias("request_bill_id"), null("double").alias("request_amount"), null("boolean").alias("request_paid"))
+    now, _ = telecom.sync_world(users, d["customers"], d["lines"], d["plans"], d["bills"])
+    return now.select("user_id", "line_active", "roaming_allowed", "usage_exceeded", "request_bill_id")
+
+
 # --- ticks and reports --------------------------------------------------------------------
 
 
@@ -375,3 +413,26 @@ def labelled_clusters(t: Tables) -> DataFrame:
     c = t.orders.groupBy(F.col("o_orderpriority").alias("id")).agg(F.count("*").alias("n")).withColumn("name", F.concat(F.lit("c_"), "id"))
     labels = t.orders.where("o_orderpriority like '1%'").select(F.col("o_orderpriority").alias("id"), F.lit("first").alias("label")).distinct()
     return Y.cluster_table(c, labels).select("id", "label", "n")
+
+
+@query("select event_id, case when event_id % 3 = 0 or event_id % 20 < 5 then false when event_id % 20 >= 15 then true else event_id % 100 / 100.0 < 1 - exp(-0.5) end as acknowledge from events")
+def backchannel_rule(t: Tables) -> DataFrame:
+    """Acknowledgements: never early, always late, by chance between."""
+    k = F.col("event_id")
+    return t.events.select("event_id", S.backchannel(k % 20, k % 3, 5, 15, 2.5, 0.2, k % 100 / 100).alias("acknowledge"))
+
+
+@query("""
+with g as (select user_id, min(event_id) as a, max(event_id) as z, min(event_id) filter (where event_type = 'purchase') as p from events group by 1)
+select user_id, least(coalesce(p, z), a + 2999) as "end", case when p <= a + 2999 then 'done' when z >= a + 2999 then 'max_steps' else 'open' end as reason from g
+""")
+def end_reasons(t: Tables) -> DataFrame:
+    """Where a conversation ends: done, out of steps, or open."""
+    return S.end_reasons(t.events, "user_id", "event_id", F.col("event_type") == "purchase", 3000)
+
+
+@query("select event_id, least(event_id % 50, 20) as played, 0 as waiting from events")
+def audio_discarded(t: Tables) -> DataFrame:
+    """Audio beyond a tick's share is discarded."""
+    d = t.events.select("event_id", F.col("user_id").alias("conv_id"), F.col("event_id").alias("tick_id"), (F.col("event_id") % 50).alias("bytes"))
+    return K.carry_over(d, 20, discard=True).select("event_id", "played", "waiting")

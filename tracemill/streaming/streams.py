@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -137,6 +138,20 @@ def decision_stream(df: DataFrame, policy: Policy, key: str = "conv_id", tick: s
     return df.select(key, tick, "own", "other", "tool").groupBy(key).applyInPandasWithState(run, out, state, "append", kind)
 
 
+def backchannel(since: Column, heard: Column, least: int, most: int, rate: float, tick_seconds: float, draw: Column) -> Column:
+    """Whether to acknowledge at a tick: never without speech of the other side or before ``least`` ticks, always from ``most`` on, by chance between."""
+    chance = 1.0 - math.exp(-rate * tick_seconds)
+    return F.when((heard <= 0) | (since < least), False).when(since >= most, True).otherwise(draw < chance)
+
+
+def end_reasons(df: DataFrame, key: str, tick: str, done: Column, max_steps: int) -> DataFrame:
+    """``key, end, reason``: the first tick that is ``done``, or the one at which ``max_steps`` ticks are over, or the last one there is."""
+    d = df.groupBy(key).agg(F.min(F.when(done, F.col(tick))).alias("done"), F.min(tick).alias("first"), F.max(tick).alias("last"))
+    limit = F.col("first") + max_steps - 1
+    reason = F.when(F.col("done") <= limit, "done").when(F.col("last") >= limit, "max_steps").otherwise("open")
+    return d.select(key, F.least(F.coalesce("done", "last"), limit).alias("end"), reason.alias("reason"))
+
+
 def lagged(df: DataFrame, key: str, tick: str, values: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
     """Each tick with the values of the tick before: what either party sees of the other."""
     from pyspark.sql import Window as W

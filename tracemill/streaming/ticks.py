@@ -261,12 +261,14 @@ def transcripts(events_: DataFrame) -> DataFrame:
     return d.where(F.col("start").isNotNull() & (F.col("done.at") >= F.col("start"))).select("item_id", "start", F.coalesce("stop", F.col("done.at")).alias("end"), F.col("done.text").alias("text"))
 
 
-def carry_over(ticks: DataFrame, cap: int) -> DataFrame:
-    """Bytes that play in each tick when at most ``cap`` fit and the rest waits.
+def carry_over(ticks: DataFrame, cap: int, discard: bool = False) -> DataFrame:
+    """Bytes that play in each tick when at most ``cap`` fit and the rest waits, or is discarded.
 
     What has waited at tick n is the largest sum of arrivals less capacity over
     any stretch that ends there: a running sum less its running minimum.
     """
+    if discard:
+        return ticks.withColumns({"waiting": F.lit(0).cast("long"), "played": F.least(F.col("bytes"), F.lit(cap)).cast("long")})
     w = W.partitionBy("conv_id").orderBy("tick_id").rowsBetween(W.unboundedPreceding, 0)
     d = ticks.withColumn("walk", F.sum(F.col("bytes") - cap).over(w))
     d = d.withColumn("waiting", F.col("walk") - F.least(F.lit(0), F.min("walk").over(w)))
