@@ -176,14 +176,22 @@ def cache_stats(cache: DataFrame, by: Sequence[str]) -> DataFrame:
     return cache.groupBy(*by).agg(F.count("*").alias("entries"), F.sum(F.size("embedding")).alias("numbers"))
 
 
+#: Documents whose hashes, and characters of documents whose texts, make one row.
+MOST_HASHES, MOST_CHARACTERS = 10_000_000, 500_000_000
+
+
 def corpus_hash(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """SHA-256 over the sorted ``id:md5`` of all documents, joined by bars."""
+    """SHA-256 over the sorted ``id:md5`` of all documents, joined by bars: one row by nature, so more than ``MOST_HASHES`` documents raise."""
+    if docs.count() > MOST_HASHES:
+        raise ValueError("too many documents for one hash")
     item = F.concat(F.col(doc).cast("string"), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit(""))))
     return docs.select(item.alias("i")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("i")), "|"), 256).alias("corpus_sha256"))
 
 
 def full_text(docs: DataFrame, order: str, title: str, text: str) -> DataFrame:
-    """All documents as one text, in order: a small knowledge base by nature."""
+    """All documents as one text, in order: a small knowledge base by nature; more than ``MOST_CHARACTERS`` raise."""
+    if (docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0) > MOST_CHARACTERS:
+        raise ValueError("too much text for one row")
     item = F.concat(F.lit("# "), F.col(title), F.lit("\n"), F.col(text))
     parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("t"))))
     return docs.agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("knowledge_base"))

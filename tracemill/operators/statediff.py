@@ -59,27 +59,32 @@ def structural_diff(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return g.select(key, "path", kind.alias("kind"), "old", "new")
 
 
+def _nodes(df: DataFrame, key: str, **states: str) -> DataFrame:
+    """``key, path`` of every node of any of the JSON columns, with ``<name>`` (its own value) and ``<name>_tree`` (a hash of all at and below it) for each.
+
+    All states are parsed in one pass; a node counts for itself and for each node above it.
+    """
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("s")) for n, c in states.items()])
+    n = df.select(key, F.explode(sides).alias("x")).select(key, "x.side", F.explode(_flatten(F.col("x.s"))).alias("n")).select(key, "side", "n.path", "n.value")
+    up = n.select(key, "side", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("top"), "path", "value")
+    h = F.xxhash64(F.slice("path", F.size("top") + 1, F.size("path")), F.col("value")).cast("decimal(38,0)")
+    out = []
+    for name in states:
+        mine = F.col("side") == name
+        own = F.max(F.when(mine & (F.size("top") == F.size("path")), F.col("value")))
+        tree = F.when(F.count_if(mine) > 0, F.concat_ws(":", F.sum(F.when(mine, h)).cast("string"), F.count_if(mine).cast("string")))
+        out += [own.alias(name), tree.alias(f"{name}_tree")]
+    return up.groupBy(key, F.col("top").alias("path")).agg(*out)
+
+
 def three_way(df: DataFrame, key: str, initial: str, gold: str, predicted: str) -> DataFrame:
     """``key, path, kind`` for every difference between gold and predicted: missed, extra or wrong."""
-    side = lambda c, n: flatten(df, key, c).select(key, "path", F.col("value").alias(n))
-    d = side(gold, "g").join(side(predicted, "p"), [key, "path"], "full_outer").join(side(initial, "i"), [key, "path"], "left")
-    d = d.where(~F.col("g").eqNullSafe(F.col("p")))
+    d = _nodes(df, key, i=initial, g=gold, p=predicted).where(~F.col("g").eqNullSafe(F.col("p")))
     # What a difference stands on: a node below one that already differs says nothing new.
     tops = d.select(key, F.col("path").alias("top"))
     above = d.select(key, "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("top")).where(F.size("top") < F.size("path"))
     nested = above.join(tops, [key, "top"], "left_semi").select(key, "path").distinct()
-    d = d.join(nested, [key, "path"], "left_anti")
-    whole = lambda c: _subtree(df, key, c)
-    w = d.join(whole(gold).withColumnRenamed("tree", "gt"), [key, "path"], "left").join(whole(predicted).withColumnRenamed("tree", "pt"), [key, "path"], "left").join(whole(initial).withColumnRenamed("tree", "it"), [key, "path"], "left")
-    return w.select(key, "path", kind_of(F.col("it"), F.col("gt"), F.col("pt")).alias("kind"))
-
-
-def _subtree(df: DataFrame, key: str, state: str) -> DataFrame:
-    """Each node's path with a hash of everything at and below it."""
-    n = flatten(df, key, state)
-    up = n.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("top"), "path", "value")
-    h = F.xxhash64(F.slice("path", F.size("top") + 1, F.size("path")), F.col("value"))
-    return up.groupBy(key, F.col("top").alias("path")).agg(F.concat_ws(":", F.sum(h.cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")).alias("tree"))
+    return d.join(nested, [key, "path"], "left_anti").select(key, "path", kind_of(F.col("i_tree"), F.col("g_tree"), F.col("p_tree")).alias("kind"))
 
 
 def kind_of(initial: Column, gold: Column, predicted: Column) -> Column:
