@@ -1,5 +1,6 @@
 """Registries, the retrieval pipeline, evaluation rules and reports."""
 
+import os
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -83,3 +84,14 @@ def test_viewer_rows(spark):
     assert reports.cluster_table(c, c.select("id", F.lit("L").alias("label"))).first().label == "L"
     s = spark.createDataFrame([(1, 2, 4, "hello")], "conv_id int, start int, end int, text string")
     assert tuple(reports.label_track(s, 0.2).first()) == (1, "0.400000", "1.000000", "hello")
+
+
+def test_entry_needs_no_session():
+    """The registry can be imported before there is a session, and without a library of the subpackage."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for block in ("", "sys.modules['ahocorasick'] = None; "):
+        out = subprocess.run([sys.executable, "-W", "ignore", "-c", f"import sys; {block}import __spark_entry__ as e; print(len(e.queries()) > 200, set(e.oracle_sql()) <= set(e.queries()))"], cwd=root, capture_output=True, text=True, timeout=120)
+        assert out.stdout.split() == ["True", "True"], out.stderr[-500:]

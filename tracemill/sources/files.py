@@ -29,7 +29,7 @@ def parse_document(path: str, content: bytes) -> str:
     raise ValueError(f"unsupported file: {path}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parsed(path: pd.Series, content: pd.Series) -> pd.Series:
     """:func:`parse_document` over whole batches of files."""
     return pd.Series([parse_document(p, bytes(c)) for p, c in zip(path, content)])
