@@ -15,7 +15,10 @@ another bracketed template can occur there, and reading back is exact.
 A null text or role counts as empty, turns sort by number (null first), then
 role and text, so repeated rows stay; rows of a null conversation form one
 conversation; an empty table gives an empty result; other columns are ignored.
-Windows are the unit of work: only a digest gathers a conversation.
+Windows are the unit of work: only a digest gathers a conversation. Turns are
+numbered within their conversation by one sort, which spills, so a conversation
+with a large share of all rows takes one long task, not more memory. A stride below
+one or a negative history raises.
 """
 
 from __future__ import annotations

@@ -15,7 +15,10 @@ their texts, go to the driver, and no more of them than twice the expected rows.
 
 A null text, or one without letters, is ``und`` with score 0. Repeated rows keep
 their rows; an empty table gives an empty result; a table without any label
-makes every text ``und``.
+makes every text ``und``. Working columns have no names that kept ones could
+clash with. ``REJECT`` lies between what foreign, junk and program text reached
+(at most 0.19 of the usual cosine) and what clean text did (0.46 at least, but
+for lines of license text).
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ id that repeats among the documents the text with the smallest hash is learned.
 
 Null and empty texts score as a document of one blank chunk. Repeated rows keep
 their rows; an empty table gives an empty result; without both labels the
-score is the share of label 1 (0.5 if there are none).
+score is the share of label 1 (0.5 if there are none). Very long texts are read in
+pieces of ``STEP_CHUNKS`` chunks; working columns clash with no kept ones.
 """
 
 from __future__ import annotations

@@ -44,6 +44,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and item that it leaks; ``match_end`` counts in the normalised text (words joined by single spaces)."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "distance", "match_end")
@@ -61,7 +62,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    out = sharding.shard_rows(docs, 40)
+    out = sharding.shard_rows(docs, 40, keys=["doc_id", "size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -133,6 +134,27 @@ c as (select a, min(b) as component_id from r group by 1),
 n as (select a, count(*) as n from l group by 1)
 select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
 from embeddings join c on c.a = vec_id left join n on n.a = vec_id
+""",
+    "op8_sharding": r"""
+with recursive t as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, k: case when x % 2 = 1 then xor(3988292384, x >> 1) else x >> 1 end)) as t),
+y as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+z as (select doc_id, length(h) // 2 + 16 as size, list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)) as b from y),
+d as (select doc_id, size::bigint as size, xor(list_reduce(b, lambda x, k: xor(t[(xor(x, k) & 255) + 1], x >> 8)), 4294967295)::bigint as crc from z, t),
+c as (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || size || '|' || crc), 1, 12))::bigint as h from d),
+n as (select count(*) as n, greatest(64, least(1048576, count(*) // 20000)) as buckets from c),
+r as (select c.*, row_number() over (order by h % buckets, h, doc_id nulls first, size, crc) - 1 as number, n.n, ceil(sqrt(n.n))::bigint as a from c, n),
+s as (select *, (n + a - 1) // a as b from r),
+w(doc_id, size, crc, number, n, a, b, step, l, r, done) as (
+  select doc_id, size, crc, number, n, a, b, 0, number // b, number % b, false from s
+  union all
+  select doc_id, size, crc, number, n, a, b, (step + 1) % 6,
+         case when step % 2 = 0 then (l + ('0x' || substr(md5('7|' || step || '|' || r), 1, 12))::bigint % a) % a else l end,
+         case when step % 2 = 1 then (r + ('0x' || substr(md5('7|' || step || '|' || l), 1, 12))::bigint % b) % b else r end,
+         step = 5 and case when step % 2 = 0 then 0 else l * b + (r + ('0x' || substr(md5('7|' || step || '|' || l), 1, 12))::bigint % b) % b end < n
+  from w where not done),
+p as (select doc_id, size, crc, l * b + r as p from w where done)
+select doc_id, size, crc as text_crc32, 'rows' as law, (p % 40)::int as shard, (p // 40)::bigint as slot, null::int as grown_shard from p
 """,
     "op7_chat_format": r"""
 with t as (

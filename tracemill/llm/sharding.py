@@ -28,14 +28,20 @@ ROUNDS = 6
 WALKS = 40
 
 
+def _digest(*parts: Column) -> Column:
+    """48 bits of the MD5 of the parts, written one after the other with bars between them; any SQL engine gives the same."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
 def _network(x: Column, a: Column, b: Column, seed: int) -> Column:
     """One pass over Z_a x Z_b: the halves take turns to be shifted by a hash of the other."""
     left, right = F.call_function("div", x, b), x % b
     for k in range(ROUNDS):
         if k % 2 == 0:
-            left = (left + F.pmod(F.xxhash64(F.lit(seed * 131 + k), right), a)) % a
+            left = (left + _digest(F.lit(seed), F.lit(k), right) % a) % a
         else:
-            right = (right + F.pmod(F.xxhash64(F.lit(seed * 131 + k), left), b)) % b
+            right = (right + _digest(F.lit(seed), F.lit(k), left) % b) % b
     return left * b + right
 
 
@@ -46,11 +52,12 @@ def number_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     column can fill one (only copies of a whole row meet in one, which the sort
     spills); the bucket's offset is the count of rows in those before it. The
     number of buckets follows from the count of rows. ``keys`` (default: all
-    columns) are the columns that the numbers depend on.
+    columns) are the columns that the numbers depend on, by a 48-bit digest of
+    their texts where they are given and a 64-bit hash of the row where not.
     """
     shape(df, *(keys or []))
     buckets = max(FEWEST, min(MOST, df.count() // BUCKET_ROWS))
-    h = row_hash(df.select(*[f"`{k}`" for k in keys])) if keys else row_hash(df)
+    h = _digest(*[F.col(f"`{k}`") for k in keys]) if keys else row_hash(df)
     d = packed(df, h=h).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     counts = packed(df, h=h).select(F.pmod("h", F.lit(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     offsets = counts.select(
@@ -60,7 +67,7 @@ def number_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
     # At most MOST rows of three numbers: a proven bound.
     d = d.join(F.broadcast(offsets), "bucket")
-    order = W.partitionBy("bucket").orderBy("h")
+    order = W.partitionBy("bucket").orderBy("h", *([F.col(f"row.`{k}`") for k in keys] if keys else []))
     return d.select("row", (F.col("offset") + F.row_number().over(order) - 1).alias("number"), "total")
 
 
