@@ -142,7 +142,7 @@ y as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 z as (select doc_id, length(h) // 2 + 16 as size, list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)) as b from y),
 d as (select doc_id, size::bigint as size, xor(list_reduce(b, lambda x, k: xor(t[(xor(x, k) & 255) + 1], x >> 8)), 4294967295)::bigint as crc from z, t),
 c as (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || size || '|' || crc), 1, 12))::bigint as h from d),
-n as (select count(*) as n, greatest(64, least(1048576, count(*) // 20000)) as buckets from c),
+n as (select count(*) as n, greatest(64, least(1048576, count(*) // 2000)) as buckets from c),
 r as (select c.*, row_number() over (order by h % buckets, h, doc_id nulls first, size, crc) - 1 as number, n.n, ceil(sqrt(n.n))::bigint as a from c, n),
 s as (select *, (n + a - 1) // a as b from r),
 w(doc_id, size, crc, number, n, a, b, step, l, r, done) as (

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import packed, row_hash, shape, unpacked
 
 #: Rows that a hash bucket has on average; row numbers are counted bucket by bucket.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Fewest and most buckets: the offsets of the most are a table of 24 MB.
 FEWEST, MOST = 64, 1 << 20
 #: Rounds of the network; four give a pseudo-random permutation, two are to spare.
