@@ -141,10 +141,14 @@ def multiset_contained(need: DataFrame, have: DataFrame, key: str, item: str) ->
 def assign_first(items: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """Each item to the first segment that overlaps it or ended before it began; the rest to the last segment.
 
-    Items have ``item, start, end``, segments ``segment, start, end``.
+    Items have ``item, start, end``, segments ``segment, start, end``, none ending
+    before it starts. So a segment fits just if it starts no later than the item
+    ends, and the first one is a running minimum: one shuffle, no pairs. Items
+    without a key get no segment.
     """
-    last = segments.groupBy(key).agg(F.max("segment").alias("last"))
-    a, b = items.alias("a"), segments.alias("b")
-    fits = ((F.col("b.start") <= F.col("a.end")) & (F.col("a.start") <= F.col("b.end"))) | (F.col("b.end") < F.col("a.start"))
-    hit = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & fits).groupBy(F.col(f"a.{key}").alias(key), F.col("a.item").alias("item")).agg(F.min("b.segment").alias("segment"))
-    return items.join(hit, [key, "item"], "left").join(last, key, "left").select(key, "item", F.coalesce("segment", "last").alias("segment"))
+    s = segments.select(key, F.col("start").alias("_at"), F.lit(0).alias("_kind"), "segment", F.lit(None).cast(items.schema["item"].dataType).alias("item"))
+    i = items.select(key, F.col("end").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(segments.schema["segment"].dataType).alias("segment"), "item")
+    whole = W.partitionBy(key)
+    before = whole.orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = s.unionByName(i).select(key, "item", "_kind", F.min("segment").over(before).alias("_first"), F.max("segment").over(whole).alias("_last")).where("_kind = 1")
+    return d.select(key, "item", F.when(F.col(key).isNotNull(), F.coalesce("_first", "_last")).alias("segment"))
