@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -302,6 +303,68 @@ def test_retrieval_edges(spark):
     assert [(r.doc, r.score) for r in top] == [(3, 1.0), (1, 1.0), (2, 0.0)]
 
 
+def test_cosine_cells_random(spark, monkeypatch):
+    """Several cells against a plain loop: ties, copies, null, zero, short and unsound vectors, null ids."""
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = [(k, [float(rng.randint(-2, 2)) for _ in range(3)]) for k in range(90)]
+    rows += [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, 2.0]), (103, [float("nan"), 1.0, 0.0]), (104, [None, 1.0, 1.0]), (105, []), (None, [1.0, 1.0, 1.0])]
+    rows += [(200 + k, [1.0, 1.0, 1.0]) for k in range(40)]
+
+    def cos(a, b):
+        if not a or not b or len(a) != len(b) or any(x is None or x != x for x in a + b) or not any(a) or not any(b):
+            return 0.0
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    d = spark.createDataFrame(rows, "id long, v array<double>").withColumn("score", F.lit("clash"))
+    q = d.where("id % 5 = 0")
+    got = {}
+    for r in retrieval.cosine_top_k(d, "id", "v", q, "id", "v", 6).collect():
+        got.setdefault(r.query, []).append((r["rank"], round(r.score, 6) + 0.0, r.doc))
+    for i, v in rows:
+        if i is None or i % 5:
+            continue
+        want = sorted(((round(cos(v, u), 6) + 0.0, -1 if j is None else j) for j, u in rows), reverse=True)[:6]
+        assert [(s, -1 if j is None else j) for _, s, j in sorted(got[i])] == want
+    assert retrieval.cosine_top_k(d.limit(0), "id", "v", q, "id", "v", 6).count() == 0
+    assert retrieval.cosine_top_k(d, "id", "v", q.limit(0), "id", "v", 6).count() == 0
+
+
+def test_sparse_cosine_random(spark, monkeypatch):
+    """Several cells against a plain loop; null ids have no pairs."""
+    monkeypatch.setattr(clustering, "CELL", 50)
+    rng = random.Random(6)
+    docs = {k: {f"t{int(rng.random() ** 2 * 12)}": rng.random() + 0.1 for _ in range(rng.randint(1, 8))} for k in range(40)}
+    w = spark.createDataFrame([(k, t, x) for k, d in docs.items() for t, x in d.items()] + [(None, "t0", 1.0)], "doc long, term string, weight double")
+    got = {(r.query, r.doc): r.score for r in clustering.sparse_cosine(w, w.where("doc % 3 = 0")).collect()}
+    want = {(a, b): sum(docs[a][t] * docs[b][t] for t in docs[a].keys() & docs[b].keys()) for a in docs if a % 3 == 0 for b in docs if a != b and docs[a].keys() & docs[b].keys()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert clustering.sparse_cosine(w.limit(0), w).count() == 0
+    assert clustering.sparse_cosine(w, w.limit(0)).count() == 0
+
+
+def test_cells_in_steps(monkeypatch):
+    """A cell taken in many small steps gives what one step gives."""
+    rng = np.random.default_rng(7)
+    d = pa.table({"doc": pa.array(rng.permutation(60)), "v": pa.array(rng.integers(-1, 2, (60, 2)).astype(float).tolist())})
+    q = pa.table({"query": pa.array(range(9)), "v": pa.array(rng.integers(-1, 2, (9, 2)).astype(float).tolist())})
+    w = pa.table({"doc": pa.array(rng.integers(0, 20, 300)), "term": pa.array([f"t{x}" for x in rng.integers(0, 9, 300)]), "weight": rng.random(300)})
+    asked = w.slice(0, 80).rename_columns(["query", "asked", "qw"])
+    rows = lambda t: sorted(tuple(round(x, 9) for x in r.values()) for r in t.to_pylist())
+    best, pairs = rows(retrieval._best_of_cell(d, q, 5, 6)), rows(clustering._cosines_of_cell(w, asked))
+    for size in (1, 7, 33):
+        monkeypatch.setattr(retrieval, "STRIDE", size)
+        monkeypatch.setattr(clustering, "CELL", size)
+        assert rows(retrieval._best_of_cell(d, q, 5, 6)) == best and len(best) == 45
+        assert rows(clustering._cosines_of_cell(w, asked)) == pairs
+    want = {}
+    for x in w.to_pylist():
+        for y in asked.to_pylist():
+            if x["term"] == y["asked"] and x["doc"] != y["query"]:
+                want[y["query"], x["doc"]] = want.get((y["query"], x["doc"]), 0) + x["weight"] * y["qw"]
+    assert [(a, b) for a, b, _ in pairs] == sorted(want) and all(abs(want[a, b] - s) < 1e-8 for a, b, s in pairs)
+
+
 # --- joins, tables, guards -------------------------------------------------------------------------
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 #: The thresholds that are tried, and the largest share of a cluster.
 LADDER = (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)
 LARGEST = 0.45
-#: Rows (query, term) of queries that a broadcast may carry; more meet the documents by a shuffle.
-MOST_QUERY_TERMS = 1_000_000
+#: Weights of queries, and of documents, that meet in one task.
+CELL = 2_000_000
 #: Clusters whose sums of vectors may travel to every row.
 MOST_CLUSTERS = 10_000
 #: Members of a scope whose distance matrix (8 bytes a pair) fits a task.
@@ -31,16 +33,77 @@ def tfidf(docs: DataFrame, doc: str, grams: Column) -> DataFrame:
     n = docs.agg(F.count("*").alias("n"))
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     d = t.join(idf, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = d.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return d.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc")))
+    return d.select("doc", "term", (F.col("w") / norm).alias("weight"))
+
+
+def _places(docs: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """(the different ids, the place of each row's id among them)."""
+    e = pc.dictionary_encode(docs.combine_chunks())
+    e = e.combine_chunks() if isinstance(e, pa.ChunkedArray) else e
+    return e.dictionary, e.indices.to_numpy()
+
+
+def _cosines_of_cell(docs: pa.Table, queries: pa.Table) -> pa.Table:
+    """``query, doc, score`` of a cell's pairs with a common term.
+
+    Every weight of a document meets the query weights of its term in arrays of at
+    most some ``CELL`` products, which are summed by pair.
+    """
+    if not len(docs) or not len(queries):
+        return pa.table({})
+    asked = queries["asked"].combine_chunks()
+    terms = pc.unique(asked)
+    by_term = pc.index_in(asked, terms).to_numpy()
+    order = np.argsort(by_term, kind="stable")
+    names, q = _places(queries["query"])
+    q, qw = q[order], queries["qw"].to_numpy()[order]
+    count = np.bincount(by_term, minlength=len(terms))
+    first = np.cumsum(count) - count
+    met = pc.index_in(docs["term"].combine_chunks(), terms)
+    docs, met = docs.filter(pc.is_valid(met)), met.drop_null().to_numpy()
+    ids, d = _places(docs["doc"])
+    order = np.argsort(d, kind="stable")
+    d, met, w = d[order], met[order], docs["weight"].to_numpy()[order]
+    # Documents of a step: few enough for a table of sums by pair.
+    step = max(1, CELL // max(1, len(names)))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(ids), step):
+        size = min(step, len(ids) - at)
+        sums = np.zeros(size * len(names))
+        lo, hi = np.searchsorted(d, (at, at + size))
+        products = np.cumsum(count[met[lo:hi]])
+        cuts = np.searchsorted(products, np.arange(CELL, products[-1] + CELL, CELL))
+        for a, b in zip([0, *np.minimum(cuts + 1, hi - lo)], [*np.minimum(cuts + 1, hi - lo), hi - lo]):
+            term = met[lo + a : lo + b]
+            n = count[term]
+            entry = np.arange(n.sum()) + np.repeat(first[term] - (np.cumsum(n) - n), n)
+            pair = np.repeat((d[lo + a : lo + b] - at) * len(names), n) + q[entry]
+            sums += np.bincount(pair, np.repeat(w[lo + a : lo + b], n) * qw[entry], len(sums))
+        pairs = np.flatnonzero(sums)
+        found.append((pairs % len(names), pairs // len(names) + at, sums[pairs]))
+    query, doc, score = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    out = pa.table({"query": names.take(pa.array(query)), "doc": ids.take(pa.array(doc)), "score": score})
+    return out.filter(pc.fill_null(pc.not_equal(out["query"], out["doc"]), False))
 
 
 def sparse_cosine(weights: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, doc, score`` from two weight tables, over their common terms."""
-    q = queries.select(F.col("doc").alias("query"), "term", F.col("weight").alias("qw"))
-    # Beside a broadcast the weights stay together by document, so sums combine before the shuffle.
-    q = F.broadcast(q) if q.count() <= MOST_QUERY_TERMS else q
-    return q.join(weights, "term").where("query <> doc").groupBy("query", "doc").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
+    """``query, doc, score`` from two tables of positive weights (doc, term, weight), over their common terms; null ids have no pairs.
+
+    Weights meet in cells of a block of queries and a slice of documents, some
+    ``CELL`` rows each, so what crosses the network grows with the number of
+    cells and not with the pairs of rows under a common term.
+    """
+    n, m = weights.count(), queries.count()
+    blocks = max(1, -(-m // CELL))
+    slices = max(1, -(-n // CELL), min(weights.sparkSession.sparkContext.defaultParallelism, n // 50_000))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    deal = lambda k: F.pmod(F.xxhash64("doc"), F.lit(k)).cast("int")
+    d = weights.where("doc is not null").select("doc", "term", "weight", deal(slices).alias("slice"), every(blocks).alias("block"))
+    q = queries.where("doc is not null").select(F.col("doc").alias("query"), F.col("term").alias("asked"), F.col("weight").alias("qw"), every(slices).alias("slice"), deal(blocks).alias("block"))
+    kind = dict(weights.dtypes)["doc"]
+    cell = ("block", "slice")
+    return d.groupBy(*cell).cogroup(q.groupBy(*cell)).applyInArrow(_cosines_of_cell, f"query {dict(queries.dtypes)['doc']}, doc {kind}, score double")
 
 
 # --- linkage ---------------------------------------------------------------------

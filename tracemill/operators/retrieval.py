@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,16 +95,22 @@ def grep(docs: DataFrame, doc: str, text: str, pattern: str, k: int | None = Non
 BLOCK = 4096
 
 
-def in_blocks(d: DataFrame, q: DataFrame) -> DataFrame:
-    """Every row of q (``query``, ...) with every row of d (``doc``, ...). One block of queries is broadcast; of more, each meets each slice of the documents in a cell."""
-    blocks = -(-q.count() // BLOCK)
-    if blocks <= 1:
-        return d.crossJoin(F.broadcast(q))
-    slices = max(1, -(-d.count() // (4 * BLOCK)))
+def dealt(d: DataFrame, q: DataFrame, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both with ``block`` and ``slice``, so that every row of q (``query``, ...) meets every row of d (``doc``, ...) in one cell of bounded size."""
+    blocks = max(1, -(-q.count() // BLOCK))
+    slices = slices or max(1, -(-d.count() // (4 * BLOCK)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q = q.withColumn("block", deal("query", blocks)).withColumn("slice", every(slices))
     d = d.withColumn("slice", deal("doc", slices)).withColumn("block", every(blocks))
+    return d, q
+
+
+def in_blocks(d: DataFrame, q: DataFrame) -> DataFrame:
+    """Every row of q with every row of d. One block of queries is broadcast; of more, each meets each slice of the documents in a cell."""
+    if q.count() <= BLOCK:
+        return d.crossJoin(F.broadcast(q))
+    d, q = dealt(d, q)
     return d.join(q.hint("shuffle_hash"), ["block", "slice"]).drop("block", "slice")
 
 
@@ -128,18 +137,70 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def cosine_scores(docs: DataFrame, doc: str, vector: str, queries: DataFrame, query: str, query_vector: str) -> DataFrame:
-    """Every query against every document, in blocks of queries."""
-    q = queries.select(F.col(query).alias("query"), doubles(F.col(query_vector)).alias("qv")).withColumn("qn", F.sqrt(dot(F.col("qv"), F.col("qv"))))
-    d = docs.select(F.col(doc).alias("doc"), doubles(F.col(vector)).alias("dv")).withColumn("dn", F.sqrt(dot(F.col("dv"), F.col("dv"))))
-    pairs = in_blocks(d, q)
-    n = F.col("dn") * F.col("qn")
-    return pairs.select("query", "doc", F.when(n > 0, dot(F.col("dv"), F.col("qv")) / n).otherwise(0.0).alias("score"))
+def _units(vectors: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the vectors of a dimension; those that are zero or not finite are left out."""
+    fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False).to_numpy())
+    m = pc.list_flatten(vectors.take(fits)).to_numpy().astype(float).reshape(-1, dim)
+    with np.errstate(all="ignore"):
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sound = np.isfinite(m).all(axis=1)
+    return fits[sound], m[sound]
+
+
+#: Documents of a cell that are scored at a time.
+STRIDE = 1024
+
+
+def _best_of_cell(docs: pa.Table, queries: pa.Table, k: int, digits: int) -> pa.Table:
+    """The k best documents of a cell for each of its queries: ``query, doc, score, rounded``.
+
+    The score in units of its last digit and the document's place, ids descending,
+    make one integer, so ties are settled and a partition finds the best.
+    """
+    if not len(docs) or not len(queries):
+        return pa.table({})
+    docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc", "descending")], null_placement="at_end"))
+    n, m = len(docs), len(queries)
+    keys, scores = np.empty((m, 0), np.int64), np.empty((m, 0))
+    groups = []
+    for dim in filter(None, pc.unique(pc.list_value_length(queries["v"])).to_pylist()):
+        groups.append((*_units(queries["v"], dim), *_units(docs["v"], dim)))
+    for at in range(0, n, STRIDE):
+        to = min(n, at + STRIDE)
+        part = np.zeros((m, to - at))
+        for rows, q, places, d in groups:
+            lo, hi = np.searchsorted(places, (at, to))
+            part[np.ix_(rows, places[lo:hi] - at)] = q @ d[lo:hi].T
+        key = np.rint(part * 10**digits).astype(np.int64) * n + np.arange(n - 1 - at, n - 1 - to, -1)
+        keys, scores = np.hstack([keys, key]), np.hstack([scores, part])
+        if keys.shape[1] > k:
+            best = np.argpartition(keys, -k, axis=1)[:, -k:]
+            keys, scores = np.take_along_axis(keys, best, 1), np.take_along_axis(scores, best, 1)
+    rounded, place = np.divmod(keys.ravel(), n)
+    return pa.table({
+        "query": queries["query"].take(np.repeat(np.arange(m), keys.shape[1])),
+        "doc": docs["doc"].take(n - 1 - place),
+        "score": scores.ravel(),
+        "rounded": rounded / 10.0**digits,
+    })
 
 
 def cosine_top_k(docs: DataFrame, doc: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, rounding: int = 6) -> DataFrame:
-    """Top k by cosine, ties in descending order of the document."""
-    return top_k(cosine_scores(docs, doc, vector, queries, query, query_vector), k, ties=F.desc("doc"), rounding=rounding)
+    """``query, doc, score, rank``: the top k by cosine to ``rounding`` digits, ties in descending order of the document.
+
+    A block of queries meets a slice of the documents in one matrix product, and
+    each cell sends on only its k best of a query. A vector that is null, zero, not
+    finite or of another length than the query scores zero, like any vector
+    against such a query. ``doc`` is a key.
+    """
+    q = queries.select(F.col(query).alias("query"), doubles(F.col(query_vector)).alias("v"))
+    d = docs.select(F.col(doc).alias("doc"), doubles(F.col(vector)).alias("v"))
+    kinds = dict(q.dtypes)["query"], dict(d.dtypes)["doc"]
+    d, q = dealt(d, q)
+    cell = ("block", "slice")
+    best = d.groupBy(*cell).cogroup(q.groupBy(*cell)).applyInArrow(lambda a, b: _best_of_cell(a, b, k, rounding), f"query {kinds[0]}, doc {kinds[1]}, score double, rounded double")
+    w = W.partitionBy("query").orderBy(F.desc("rounded"), F.desc("doc"))
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rounded")
 
 
 def fuse_max(*results: DataFrame, k: int | None = None) -> DataFrame:

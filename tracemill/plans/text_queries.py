@@ -128,10 +128,11 @@ x as (select doc, term, w / nm as weight from w join nm using (doc))
 
 @query(_TFIDF + "select a.doc as query, b.doc, round(sum(a.weight * b.weight), 6) as score from x a join x b using (term) where a.doc <> b.doc and a.doc % 50 = 0 group by 1, 2")
 def tfidf_cosine(t: Tables) -> DataFrame:
-    words = R.tokens(F.col("text"))
+    # A column of its own, so that the words are made once a document.
+    docs, words = t.documents.select("doc_id", R.tokens(F.col("text")).alias("words")), F.col("words")
     # Written once, the weights serve both sides.
     path = scratch(t.spark, "tfidf")
-    C.tfidf(t.documents, "doc_id", F.concat(words, X.word_grams(words, 2))).write.parquet(path)
+    C.tfidf(docs, "doc_id", F.concat(words, X.word_grams(words, 2))).write.parquet(path)
     w = t.spark.read.parquet(path)
     return C.sparse_cosine(w, w.where("doc % 50 = 0")).select("query", "doc", F.round("score", 6).alias("score"))
 
