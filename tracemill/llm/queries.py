@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat, decontaminate, embeddings, html_text, langid, mixing, pii, quality, sharding, simhash
+from tracemill.llm import chat, decontaminate, embeddings, html_text, langid, mixing, pii, quality, quality_rules, sharding, simhash
 from tracemill.llm.common import cut
 
 
@@ -87,7 +87,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_html_text, op4_simhash, op5_pii, op6_decontamination, op7_chat_format, op8_sharding, op9_language, op10_quality)}
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules.judge(docs, keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_html_text, op4_simhash, op5_pii, op6_decontamination, op7_chat_format, op8_sharding, op9_language, op10_quality, op13_quality_rules)}
 
 ORACLES = {
     "op1_mixing": r"""
@@ -183,5 +188,57 @@ select conv_id, count(*)::bigint as n_turns,
         + sum(case when nth = 1 and rank > 1 and system_pos < pos then system_w else 0 end))::bigint as formatted_chars,
        max(rank)::int as n_windows
 from x group by conv_id
+""",
+    "op13_quality_rules": r"""
+with d as (
+  select row_number() over () as r, doc_id, lang, coalesce(text, '') as text, length(coalesce(text, '')) as chars,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t,
+         string_split(coalesce(text, ''), chr(10)) as lines
+  from documents),
+e as (
+  select *, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+         list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as full_lines,
+         [length(regexp_replace(text, '[^A-Z]', '', 'g')), length(regexp_replace(text, '[^0-9]', '', 'g')),
+          length(regexp_replace(text, '[^.,;:!?''\x22()\x2D]', '', 'g')), length(regexp_replace(text, '[\x00-\x7F]', '', 'g')),
+          length(regexp_replace(text, '[^\x00-\x08\x0E-\x1F#$%&*+/<=>@\x5B-\x60{|}~\x7F]', '', 'g')),
+          chars - length(array_to_string(w, ''))] as c
+  from d),
+f as (select *, list_append(c, chars - list_sum(c)::bigint) as classes from e),
+win as (select r, i, array_to_string(w[i + 1:i + 5], ' ') as x from (select r, w, unnest(range(len(w) - 4)) as i from d where len(w) >= 5)),
+twice as (select r, x from win group by 1, 2 having count(*) > 1),
+again as (select r, count(distinct p) as n from (select r, i + unnest(range(5)) as p from win join twice using (r, x)) group by 1),
+terms as (select lang, unnest(t) as term from d where lang is not null),
+seen as (select lang, term, count(*) as n from terms group by 1, 2),
+ranked as (select *, row_number() over (partition by lang order by n desc, term) as k, sum(n) over (partition by lang)::double as total from seen),
+common as (select lang, term, k, n / total as q from ranked where k <= 24),
+rest as (select lang, greatest(1.0::double - sum(q), 0) as q from common group by 1),
+shares as (select lang, k, (1000 * classes[k]) // chars as share from f, range(1, 8) as x(k) where lang is not null and chars > 0),
+counted as (
+  select lang, k, share, sum(count(*)) over (partition by lang, k order by share) as up_to, sum(count(*)) over (partition by lang, k) as docs
+  from shares group by 1, 2, 3),
+median as (select lang, k, min(share)::double as m from counted where 2 * up_to >= docs and docs >= 20 group by 1, 2),
+class_ref as (select lang, k, m / sum(m) over (partition by lang) as q from median),
+class_pairs as (select r, classes[k] / chars::double as p, q from f join class_ref using (lang) where chars >= 100),
+hits as (select r, term, count(*) as n from (select r, lang, unnest(t) as term from d where len(t) >= 100 and chars >= 100) join common using (lang, term) group by 1, 2),
+long as (select r, lang, len(t) as n from d where len(t) >= 100 and chars >= 100),
+term_pairs as (
+  select r, coalesce(h.n, 0) / l.n::double as p, c.q from long l join common c using (lang) left join hits h using (r, term)
+  union all
+  select l.r, (l.n - coalesce(h.n, 0)) / l.n::double, q from long l join rest using (lang) left join (select r, sum(n) as n from hits group by 1) h using (r)),
+class_far as (
+  select r, sqrt(greatest(sum(case when p > 0 then p * ln(2 * p / (p + q)) else 0 end + case when q > 0 then q * ln(2 * q / (p + q)) else 0 end) / 2 / ln(2), 0)) as far
+  from class_pairs group by 1),
+term_far as (
+  select r, sqrt(greatest(sum(case when p > 0 then p * ln(2 * p / (p + q)) else 0 end + case when q > 0 then q * ln(2 * q / (p + q)) else 0 end) / 2 / ln(2), 0)) as far
+  from term_pairs group by 1),
+out as (
+  select f.*, len(w)::bigint as n_words, coalesce(a.n, 0)::bigint as n_repeat_words, x.far as x_far, y.far as y_far,
+         len(w) < 10 or 100 * coalesce(a.n, 0) > 20 * len(w) as base_failed
+  from f left join again a using (r) left join class_far x using (r) left join term_far y using (r))
+select doc_id, n_words, word_chars, n_symbols, (len(full_lines) - len(list_distinct(full_lines)))::bigint as n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not coalesce(x_far > 0.17::double + 20.0::double / chars, false) and not coalesce(y_far > 0.3::double + 10.0::double / len(t), false) as kept,
+       round(x_far, 6) as chars_distance, round(y_far, 6) as terms_distance
+from out
 """,
 }
