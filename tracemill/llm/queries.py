@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat, decontaminate, embeddings, html_text, langid, mixing, pii, quality, quality_rules, sharding, simhash
+from tracemill.llm import chat, decontaminate, embeddings, html_text, langid, mixing, pii, quality, quality_rules, ranked_search, sharding, simhash, whitening
 from tracemill.llm.common import cut
 
 
@@ -87,12 +87,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ranked_search.ranked(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, k=4).withColumnRenamed("id", "vec_id")
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.judge(docs, keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_html_text, op4_simhash, op5_pii, op6_decontamination, op7_chat_format, op8_sharding, op9_language, op10_quality, op13_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_html_text, op4_simhash, op5_pii, op6_decontamination, op7_chat_format, op8_sharding, op9_language, op10_quality, op11_ranked_search, op12_whitening, op13_quality_rules)}
 
 ORACLES = {
     "op1_mixing": r"""
@@ -188,6 +199,25 @@ select conv_id, count(*)::bigint as n_turns,
         + sum(case when nth = 1 and rank > 1 and system_pos < pos then system_w else 0 end))::bigint as formatted_chars,
        max(rank)::int as n_windows
 from x group by conv_id
+""",
+    "op11_ranked_search": r"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+  from documents),
+s as (select count(*) as docs, sum(len(t))::bigint as terms from d where len(t) > 0),
+q as (
+  select row_number() over () as q, item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+  from benchmark),
+qt as (select q, item_id, term, count(*) as times from (select q, item_id, unnest(t) as term from q) group by all),
+tf as (select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(t) as n, unnest(t) as term from d) where term in (select term from qt) group by all),
+w as (select term, floor(1000.0::double * ln((2 * any_value(s.docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, s group by 1),
+x as (
+  select q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * s.docs) // s.terms))))::bigint as score
+  from qt join tf using (term) join w using (term), s group by all),
+k as (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from x where score > 0)
+select item_id, rank::int as rank, doc_id, score from k where rank <= 10
 """,
     "op13_quality_rules": r"""
 with d as (
