@@ -120,3 +120,29 @@ def test_frames(spark):
     assert out.columns == ["page_id", "html", "work0", "text"]
     assert sorted((r.page_id or 0, r.text) for r in out.collect()) == [(0, ""), (1, "a & b"), (1, "a & b"), (2, ""), (3, "")]
     assert html_text.extract_text(d.where("false"), F.col("html"), page_id=F.col("page_id")).count() == 0
+
+
+def test_attributes_are_whole_names_with_values():
+    for start, end in (("<div title='hidden gems'>", "</div>"), ("<div data-hidden='false'>", "</div>"), ("<section aria-labelledby='hidden-h'>", "</section>"), ('<div title="a class=ad b">', "</div>"), ("<div data-style=display:none>", "</div>")):
+        assert f(f"<body>{start}{BODY}{end}</body>") == [A, B, C], start
+    assert f(f"<article><p data-id='comment-3'>{A}</p><p data-valid='menu'>{B}</p><p>{C}</p></article>") == [A, B, C]
+    for gone in ("hidden", "HIDDEN=''", "aria-hidden=true", "style='color:red; display: none'", "class='menu'", "id=x class=sidebar"):
+        assert f(f"<article>{BODY}<div {gone}><p>{A} x</p></div></article>") == [A, B, C], gone
+    began = time.process_time()
+    f("<div " + "a='b \" " * 100_000 + ">" + "<p " + "x = " * 100_000 + ">" + "<p " + " " * 200_000 + "=>")
+    assert time.process_time() - began < 3
+
+
+def test_comments_are_known_by_their_form():
+    remarks = "<div class='reader-remarks'>" + "".join(f"<div class='remark'><b>name {k}</b><p>{A[:300]} {k}</p></div>" for k in range(12)) + "</div>"
+    for page in (f"<article>{BODY}{remarks}</article>", f"<div>{BODY}</div>{remarks}", f"<div>{BODY}{remarks}</div>"):
+        assert f(f"<body>{page}</body>") == [A, B, C]
+    # Parts with headings, and parts that nothing comes before, are the text itself.
+    parts = "".join(f"<section class='part'><h2>Part {k}</h2><p>{A} {k}</p></section>" for k in range(6))
+    assert len(f(f"<body><article>{BODY}<div>{parts}</div></article></body>")) == 15
+    assert len(f("<body><div>" + "".join(f"<div class='part'><p>{A} {k}</p></div>" for k in range(6)) + "</div></body>")) == 6
+
+
+def test_sibling_articles_belong_to_the_text():
+    assert f(f"<body><article>{BODY}</article><article><p>{B} x</p><p>{C} x</p></article></body>") == [A, B, C, f"{B} x", f"{C} x"]
+    assert f(f"<body><article>{BODY}</article><article><a href=x>{A}</a></article></body>") == [A, B, C]

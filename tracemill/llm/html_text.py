@@ -3,7 +3,10 @@
 A page becomes a tree of elements. Elements that hold no article text by their
 nature (menus, headers, footers, sidebars, forms, scripts, notices, adverts,
 reader comments: by tag, role, class name or id) leave it first; where only a
-part of a name says so, unless the element holds much of the page's text.
+part of a name says so, unless the element holds much of the page's text. Reader
+comments are also known by their form: at least ``FEWEST_COMMENTS`` elements of one tag
+and class, side by side, each with a paragraph and none with a heading, that
+make up their parent and follow paragraphs of other text.
 Each remaining block's density is its characters per tag, adjusted by the
 share of link characters and link tags against the page's own:
 
@@ -16,7 +19,8 @@ element around it is all article. The least density on the path from there to
 the body is the threshold: blocks beside the path, up to the outermost main or
 article or else to the body, stay if they reach it, or if they have headings,
 paragraphs, lists or the like and no more than half of their text is links; so
-does bare text.
+does bare text. An article beside that outermost one belongs to it if it
+reaches the threshold and no more than half of its text is links.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by an empty line. Null or empty html
@@ -43,7 +47,8 @@ from tracemill.llm.common import add_columns
 #: What may begin with a less-than sign: a comment, a start or end tag, a declaration.
 _OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
 _MARK = re.compile("[>\"']")
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# One attribute after the other: a whole name, and its value if it has one.
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes select".split())
@@ -62,6 +67,10 @@ NEUTRAL = frozenset("area box block container form list section thread wrap wrap
 #: What may stand in a head; any other start tag or text ends it.
 HEAD = frozenset("base basefont bgsound link meta title script style noscript template".split())
 KEEP = frozenset("html body main article".split())
+#: Elements that a list of reader comments is made of, how many alike make one, and the prose that comes before it.
+ITEMS = frozenset("div section article li".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+FEWEST_COMMENTS, PROSE_BEFORE = 5, 200
 #: Start tags that end an open element of the named kinds.
 _P_ENDERS = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -71,7 +80,7 @@ _KIND = {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "tr", "th": "tr",
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "dropped", "doubt", "link", "chars", "links", "tags", "link_tags", "density", "total", "depth", "p", "open")
+    __slots__ = ("tag", "parent", "kids", "dropped", "doubt", "link", "chars", "links", "tags", "link_tags", "density", "total", "depth", "p", "open", "names")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, link: bool):
         # The open paragraph that a block would end, and the outermost open items of lists and tables by kind and tag.
@@ -82,35 +91,69 @@ class Node:
             self.open = {**self.open, _SCOPE[tag]: {}}
         self.tag, self.parent, self.dropped, self.link = tag, parent, dropped, link
         self.doubt = False
+        self.names = ""
         self.kids: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _marked(tag: str, attributes: str) -> bool | None:
+def _attributes(source: str) -> dict[str, str]:
+    """Names and values of a start tag; of a name that repeats the first counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(source):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def _marked(tag: str, attributes: dict[str, str]) -> bool | None:
     """Whether an element is no part of the article; None if only a part of a class name, id or role says so."""
     if tag in DROP:
         return True
     if not attributes or tag in KEEP:
         return False
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").lower().replace(" ", ""):
+        return True
     doubt = False
-    for name, a, b, c in _ATTR.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif name in ("class", "id", "role"):
-            for whole in value.split():
-                words = {w for w in re.split(r"[^a-z]+", whole) if w}
-                if not MARKS.isdisjoint(words):
-                    if words <= MARKS | NEUTRAL:
-                        return True
-                    doubt = True
+    for name in ("class", "id", "role"):
+        for whole in attributes.get(name, "").lower().split():
+            words = {w for w in re.split(r"[^a-z]+", whole) if w}
+            if not MARKS.isdisjoint(words):
+                if words <= MARKS | NEUTRAL:
+                    return True
+                doubt = True
     return None if doubt else False
 
 
+def _drop_comments(root: Node) -> None:
+    """Drop the lists of reader comments, known by their form."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(k for k in reversed(n.kids) if isinstance(k, Node) and not k.dropped)
+    # Characters, paragraphs and headings inside, and the prose before an element in page order.
+    inside: dict[int, tuple[int, int, int]] = {}
+    for n in reversed(order):
+        kids = [inside[id(k)] for k in n.kids if isinstance(k, Node) and not k.dropped]
+        own = sum(len(k) - k.count(" ") for k in n.kids if isinstance(k, str)) * (not n.link)
+        inside[id(n)] = (own + sum(k[0] for k in kids), (n.tag == "p") + sum(k[1] for k in kids), (n.tag in HEADINGS) + sum(k[2] for k in kids))
+    prose, gone = 0, None
+    for n in order:
+        if gone is not None and n.depth > gone:
+            continue
+        gone = None
+        if n.tag == "p":
+            prose += inside[id(n)][0]
+        if n.parent is None or n.tag in KEEP or prose < PROSE_BEFORE or inside[id(n)][2]:
+            continue
+        alike: dict[tuple[str, str], list[int]] = {}
+        for k in n.kids:
+            if isinstance(k, Node) and not k.dropped and k.tag in ITEMS and k.names and inside[id(k)][1]:
+                alike.setdefault((k.tag, k.names), []).append(inside[id(k)][0])
+        if any(len(x) >= FEWEST_COMMENTS and 5 * sum(x) >= 4 * inside[id(n)][0] for x in alike.values()):
+            n.dropped, gone = True, n.depth
+
+
 def _settle(root: Node) -> None:
     """Drop the elements in doubt unless their text speaks for them: a quarter of the page's own, or half of it together and not mostly links."""
     order, stack = [], [root]
@@ -268,8 +311,10 @@ def parse(source: str) -> Node:
             continue
         tree.end_before(tag)
         node = tree.node
-        marked = _marked(tag, attributes)
+        names = _attributes(attributes)
+        marked = _marked(tag, names)
         new = Node(tag, node, node.dropped or bool(marked), node.link or tag == "a")
+        new.names = names.get("class", "")
         if marked is None and not new.dropped:
             new.doubt = doubt = True
         if tag == "head" and head is None and node is root:
@@ -281,6 +326,7 @@ def parse(source: str) -> Node:
     flush()
     if doubt:
         _settle(root)
+    _drop_comments(root)
     return root
 
 
@@ -376,7 +422,13 @@ def main_blocks(source: str | None) -> list[str]:
     picked: set[tuple[int, int]] = set()
     for k in range(first, last):
         picked |= _beside(path[k + 1], path[k], least)
-    return _texts(path[last], picked, path[first])
+    top = path[last]
+    if top.tag == "article":
+        beside = [(id(top.parent), i) for i, k in enumerate(top.parent.kids) if isinstance(k, Node) and k is not top and k.tag == "article" and not k.dropped and k.density >= least and 2 * k.links <= k.chars]
+        if beside:
+            picked.update(beside)
+            top = top.parent
+    return _texts(top, picked, path[first])
 
 
 def _texts(top: Node, picked: set[tuple[int, int]], core: Node) -> list[str]:

@@ -40,8 +40,8 @@ from tracemill.llm.pii_lines import LINES
 #: The kinds in their order, and the patterns of the contract.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-# A chain of numbers and dots, as long as it goes; addresses are its parts four by four.
-_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+# A chain of four numbers or more between dots, from its beginning and as long as it goes; addresses are its parts four by four.
+_CHAIN = re.compile(r"(?<![0-9])(?<![0-9]\.)[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -112,6 +112,8 @@ _BREAK[[9, 10, 11, 12, 13, 32]] = True
 SIZES = (8, 5, 4, 64, 4, 5, 2, 6, 6)
 OFFSETS = np.concatenate([[0], np.cumsum(SIZES)])
 NEAR = 2
+#: Longer sequences of words are decoded in pieces.
+PIECE_WORDS = 256
 
 
 def word_features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,23 +169,92 @@ class Crf:
         self.emit, self.move = emit, move
 
     def decode(self, features: np.ndarray, sequence: np.ndarray) -> np.ndarray:
-        """The best labels of all words; all sequences advance together."""
+        """The best labels of all words; all sequences advance together, a long one in pieces of about the root of its length."""
         score = self.emit[features].sum(1)
-        first = np.flatnonzero(np.concatenate([[True], np.diff(sequence) != 0])) if len(sequence) else np.zeros(0, int)
+        if not len(sequence):
+            return np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(sequence) != 0]))
         size = np.diff(np.append(first, len(sequence)))
+        none = np.full(len(first), -1)
+        if size.max() <= PIECE_WORDS:
+            return self._pieces(score, first, size, none, none)
+        piece = max(PIECE_WORDS, int(size.max() ** 0.5))
+        count = -(-size // piece)
+        owner = np.repeat(np.arange(len(first)), count)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        start = first[owner] + nth * piece
+        length = np.minimum(piece, first[owner] + size[owner] - start)
+        entry, leave = self._borders(score, start, length, owner, nth)
+        return self._pieces(score, start, length, entry, leave)
+
+    def _borders(self, score: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best labels before and at the end of every piece of a cut sequence, -1 where there is none or the sequence is whole."""
+        cut = np.flatnonzero(np.bincount(owner)[owner] > 1)
+        cut = cut[np.argsort(-length[cut], kind="stable")]
+        begin, size = start[cut], length[cut]
+        # Best score of a piece for each label before it (columns: the label at its end), max-plus products word by word.
+        through = self.move[None] + score[begin][:, None, :]
+        for k in range(1, size[0]):
+            on = np.searchsorted(-size, -k, side="left")
+            best = through[:on, :, :1] + self.move[0]
+            for c in range(1, len(self.move)):
+                np.maximum(best, through[:on, :, c : c + 1] + self.move[c], out=best)
+            through[:on] = best + score[begin[:on] + k][:, None, :]
+        # The first piece of a sequence has no label before it.
+        whole = np.empty((len(start), *self.move.shape))
+        whole[cut] = through
+        heads = cut[nth[cut] == 0]
+        best = np.full((len(start), len(self.move)), -np.inf)
+        best[heads] = self._ends(score, start[heads], length[heads])
+        back = np.zeros(best.shape, np.int64)
+        for k in range(1, nth.max() + 1):
+            at = np.flatnonzero(nth == k)
+            reach = best[at - 1][:, :, None] + whole[at]
+            back[at], best[at] = reach.argmax(1), reach.max(1)
+        entry, leave = np.full(len(start), -1), np.full(len(start), -1)
+        last = np.zeros(len(start), bool)
+        last[np.append(np.flatnonzero(np.diff(owner)), len(owner) - 1)] = True
+        ends = np.flatnonzero(last & (nth > 0))
+        leave[ends] = best[ends].argmax(1)
+        for k in range(nth.max(), 0, -1):
+            at = np.flatnonzero((nth == k) & (leave >= 0))
+            entry[at] = leave[at - 1] = back[at, leave[at]]
+        return entry, leave
+
+    def _ends(self, score: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Best score of each sequence by its last label."""
         order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
-        back = np.zeros(score.shape, np.int64)
+        begin, length = first[order], size[order]
+        best = score[begin].copy()
+        for k in range(1, length[0] if len(length) else 0):
+            on = np.searchsorted(-length, -k, side="left")
+            best[:on] = (best[:on, :, None] + self.move[None]).max(1) + score[begin[:on] + k]
+        out = np.empty_like(best)
+        out[order] = best
+        return out
+
+    def _pieces(self, score: np.ndarray, first: np.ndarray, size: np.ndarray, entry: np.ndarray, leave: np.ndarray) -> np.ndarray:
+        """Best labels of pieces, given the label before and at the end of each (-1: any)."""
+        order = np.argsort(-size, kind="stable")
+        first, size, entry, leave = first[order], size[order], entry[order], leave[order]
+        back = np.zeros(score.shape, np.int8)
         best = score.copy()
-        for k in range(1, size[0] if len(size) else 0):
+        inside = entry >= 0
+        best[first[inside]] += self.move[entry[inside]]
+        for k in range(1, size[0]):
             at = first[: np.searchsorted(-size, -k, side="left")] + k
-            reach = best[at - 1][:, :, None] + self.move[None]
-            back[at] = reach.argmax(1)
-            best[at] += reach.max(1)
-        label = np.zeros(len(sequence), np.int64)
+            reach = best[at - 1][:, :1] + self.move[0]
+            source = np.zeros(reach.shape, np.int8)
+            for c in range(1, len(self.move)):
+                other = best[at - 1][:, c : c + 1] + self.move[c]
+                source[other > reach] = c
+                np.maximum(reach, other, out=reach)
+            back[at] = source
+            best[at] += reach
+        label = np.zeros(len(score), np.int64)
         last = first + size - 1
-        label[last] = best[last].argmax(1)
-        for k in range((size[0] if len(size) else 0) - 1, 0, -1):
+        label[last] = np.where(leave >= 0, leave, best[last].argmax(1))
+        for k in range(size[0] - 1, 0, -1):
             at = first[: np.searchsorted(-size, -k, side="left")] + k
             label[at - 1] = back[at, label[at]]
         return label
@@ -256,6 +327,7 @@ def train(steps: int = 200) -> Crf:
 
 #: Labels of the field that add spans, and what a span of theirs must have: digits enough for a telephone, an at sign for an address.
 ADDED = ("secret", "phone", "email")
+ADDED_LABELS = [LABELS.index(k) for k in ADDED]
 _CORE = re.compile(r"[A-Za-z0-9](?:.*[A-Za-z0-9])?", re.S)
 _HOST = re.compile(r"@[A-Za-z0-9.-]*[A-Za-z0-9]")
 #: Digits of a telephone number that the field may add; dates have fewer.
@@ -288,17 +360,19 @@ def _added(text: str, starts: np.ndarray, ends: np.ndarray, label: np.ndarray, s
     begins = [a for a, _, _ in own]
     reach = list(accumulate((b for _, b, _ in own), max))
     out = []
-    k = 0
-    while k < len(label):
+    done = -1
+    for k in np.flatnonzero(np.isin(label, ADDED_LABELS)).tolist():
+        if k <= done:
+            continue
         kind, last = LABELS[label[k]], k
         if kind == "phone":
             while last + 1 < len(label) and label[last + 1] == label[k] and sequence[last + 1] == sequence[k]:
                 last += 1
-        if kind in ADDED and (span := _trimmed(text, int(starts[k]), int(ends[last]), kind)):
+        if span := _trimmed(text, int(starts[k]), int(ends[last]), kind):
             before = bisect_left(begins, span[1])
             if not before or reach[before - 1] <= span[0]:
                 out.append((*span, kind))
-        k = last + 1
+        done = last
     return out
 
 

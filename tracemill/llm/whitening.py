@@ -215,7 +215,7 @@ def whiten(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
                 square = [s if s < 2**63 else None for s in (int((r.astype(object) ** 2).sum()) for r in whole)]
             else:
                 square = (whole * whole).sum(axis=1)
-            z = (whole.astype(np.float64) / n) @ turn
+            z = np.einsum("ij,jk->ik", whole.astype(np.float64) / n, turn)  # row by row, so that equal rows give equal results
             offsets = pa.array(np.arange(len(rows) + 1) * found, pa.int32())
             return [pa.array(square, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(z.ravel(), pa.float64()))]
 
