@@ -150,20 +150,20 @@ def common_terms(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "term"))
     top = seen.select("*", first.alias("rank")).where(F.col("rank") <= COMMON)
     sums = seen.groupBy("lang").agg(F.sum("n").cast("double").alias("all"))
-    common = top.join(sums, "lang").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "term", (F.col("n") / F.col("all")).alias("share")))).alias("c"))
+    common = top.join(sums, "lang").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "term", F.try_divide("n", "all").alias("share")))).alias("c"))
     return cut(common.select("lang", F.transform("c", lambda x: x["term"]).alias("common"), F.transform("c", lambda x: x["share"]).alias("common_shares")))
 
 
 def class_shares(measured: DataFrame) -> DataFrame:
     """``lang, class_shares``: median shares of the classes over the texts of each language that has enough of them."""
-    shares = measured.where("lang is not null and chars > 0").select("lang", F.transform("classes", lambda x: F.floor(1000 * x / F.col("chars"))).alias("s"))
+    shares = measured.where("lang is not null and chars > 0").select("lang", F.transform("classes", lambda x: F.floor(F.try_divide(1000 * x, F.col("chars")))).alias("s"))
     counted = shares.select("lang", F.posexplode("s").alias("class", "share")).groupBy("lang", "class", "share").agg(F.count("*").alias("n"))
     each = W.partitionBy("lang", "class")
     up_to = F.sum("n").over(each.orderBy("share").rowsBetween(W.unboundedPreceding, 0))
     counted = counted.select("*", up_to.alias("up_to"), F.sum("n").over(each).alias("docs"))
     medians = counted.where((2 * F.col("up_to") >= F.col("docs")) & (F.col("docs") >= MIN_DOCUMENTS)).groupBy("lang", "class").agg(F.min("share").cast("double").alias("m"))
     lists = medians.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("class", "m"))), lambda x: x["m"]).alias("m"))
-    return cut(lists.select("lang", let(total(F.col("m")), lambda s: F.transform("m", lambda x: x / s)).alias("class_shares")))
+    return cut(lists.select("lang", let(total(F.col("m")), lambda s: F.transform("m", lambda x: F.try_divide(x, s))).alias("class_shares")))
 
 
 def beside_language(d: DataFrame, known: DataFrame, by: Column) -> DataFrame:
@@ -181,7 +181,7 @@ def measures(d: DataFrame) -> DataFrame:
     def apart(common: Column, found: Column) -> Column:
         hits = F.filter(found, lambda t: F.array_contains(common, t))
         counts = let(hits, lambda h: F.concat(F.transform(common, lambda w: F.size(h) - F.size(F.array_remove(h, w))), F.array(F.size(found) - F.size(h))))
-        shares = F.transform(counts, lambda c: c / F.size(found))
+        shares = F.transform(counts, lambda c: F.try_divide(c, F.size(found)))
         return distance(shares, let(F.col("common_shares"), lambda q: F.concat(q, F.array(F.greatest(F.lit(1.0) - total(q), F.lit(0.0))))))
 
     judged = (F.size("common") > 0) & (F.length(text) >= MIN_TERMS)
@@ -203,10 +203,10 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ke
     # The medians come from what is measured here; written once, it serves them and the verdicts.
     measured = cut(measures(beside_language(d, known, F.col("text"))))
     d = beside_language(measured, class_shares(measured), F.xxhash64("row"))
-    shares = F.transform("classes", lambda c: c / F.col("chars"))
+    shares = F.transform("classes", lambda c: F.try_divide(c, F.col("chars")))
     d = d.withColumn("chars_far", F.when((F.col("chars") >= MIN_CHARS) & F.col("class_shares").isNotNull(), distance(shares, F.col("class_shares"))))
     failed = (F.col("w.n") < FEWEST_WORDS) | (100 * F.col("w.again") > MOST_REPEATED * F.col("w.n"))
-    strange = F.coalesce(F.col("chars_far") > CHARS_LIMIT + CHARS_SLACK / F.col("chars"), F.lit(False)) | F.coalesce(F.col("t.far") > TERMS_LIMIT + TERMS_SLACK / F.col("t.n"), F.lit(False))
+    strange = F.coalesce(F.col("chars_far") > CHARS_LIMIT + F.try_divide(F.lit(CHARS_SLACK), F.col("chars")), F.lit(False)) | F.coalesce(F.col("t.far") > TERMS_LIMIT + F.try_divide(F.lit(TERMS_SLACK), F.col("t.n")), F.lit(False))
     values = (F.col("w.n"), F.col("w.chars"), F.col("n_symbols"), F.col("n_dup_lines"), F.col("w.again"), failed, ~failed & ~strange, F.round("chars_far", 6), F.round("t.far", 6))
     return d.select(*[F.col("row").getField(c).alias(c) for c in keep], *[v.alias(n) for n, v in zip(new, values)])
 
