@@ -95,7 +95,7 @@ def sync_world(surroundings: DataFrame, customers: DataFrame, lines: DataFrame,
     Surroundings: user_id, phone_number, request_bill_id, request_amount,
     request_paid. The line's state tells whether the user may connect, roam and
     has used up the data; a request that is paid settles its bill and goes; a
-    user without one gets the customer's first bill that awaits payment. Users
+    user without one gets the first bill that awaits payment in the customer's own list. Users
     without a number stay as they are; a number without a line or plan raises.
     """
     line = lines.join(plans.select("plan_id", "data_limit_gb"), "plan_id", "left").select(
@@ -113,7 +113,9 @@ def sync_world(surroundings: DataFrame, customers: DataFrame, lines: DataFrame,
     paid = d.where(settled).select(F.col("request_bill_id").alias("bill_id"), F.lit("Paid").alias("paid_status")).distinct()
     after = bills.join(paid, "bill_id", "left").select(*[F.coalesce("paid_status", c).alias(c) if c == "status" else F.col(c) for c in bills.columns])
     owner = customers.select("customer_id", F.explode("line_ids").alias("line_id"))
-    due = after.where("status = 'Awaiting Payment'").groupBy("customer_id").agg(F.min(F.struct("bill_id", "total_due")).alias("due"))
+    listed = customers.select(F.col("customer_id").alias("payer"), F.posexplode("bill_ids").alias("place", "bill_id"))
+    waiting = after.where("status = 'Awaiting Payment'").select("bill_id", "total_due").join(listed, "bill_id")
+    due = waiting.groupBy(F.col("payer").alias("customer_id")).agg(F.min(F.struct("place", "bill_id", "total_due")).alias("due"))
     d = d.join(owner, "line_id", "left").join(due, "customer_id", "left")
     keep = F.col("request_bill_id").isNotNull() & ~settled
     bill = lambda own, new: F.when(keep | F.col("phone_number").isNull(), F.col(own)).otherwise(F.col(new))

@@ -161,7 +161,7 @@ def insert_words(text: Column, insert: Column, seed: Column, least: int = 3) ->
     return F.when(F.size(words) > least, joined).otherwise(text)
 
 
-#: Names of tables that say nothing about a difference.
+#: Parts of paths that say nothing about a difference.
 SKIP = ("orders", "users", "products", "*", "")
 
 
@@ -176,17 +176,44 @@ def signature_tokens(c: Column) -> Column:
     return F.when(F.length(c) > 0, F.array_join(F.flatten(F.transform(F.split(c, ";"), words)), " ")).otherwise("")
 
 
+#: What was done to an order, by the fields that it changes.
+DEEDS = (
+    ("cancel order", ("cancel_reason",)),
+    ("return items", ("return_items", "return_payment_method_id")),
+    ("exchange items", ("exchange_items", "exchange_new_items", "exchange_payment_method_id", "exchange_price_difference")),
+    ("modify order items", ("items",)),
+)
+#: Where an address belongs, by the first part of its path.
+ADDRESSES = (("change order address", "orders"), ("change user address", "users"))
+
+
+def deeds(paths: Column) -> Column:
+    """What was done, out of the paths (arrays of parts) that changed, as texts in a fixed order.
+
+    Fields are told by whole parts. Paths of payments and states speak only where
+    nothing else does, and where they don't either the last parts of all paths do.
+    """
+    parts = F.flatten(paths)
+    has = lambda *names: F.arrays_overlap(parts, F.array(*[F.lit(n) for n in names]))
+    found = [F.when(has(*fields), text) for text, fields in DEEDS]
+    found += [F.when(F.exists(paths, lambda p: (F.size(p) > 1) & (F.get(p, F.lit(0)) == table) & F.array_contains(p, "address")), text) for text, table in ADDRESSES]
+    found.append(F.when(has("payment_methods"), F.when(has("balance"), "gift-card balance").otherwise("modify payment method")))
+    named = F.array_compact(F.array(*found))
+    last = F.array_sort(F.array_distinct(F.transform(paths, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit("")))))
+    rest = F.when(has("payment_history"), F.array(F.lit("order payment/refund"))).when(has("status"), F.array(F.lit("order status"))).otherwise(last)
+    return F.when(F.size(named) > 0, named).otherwise(rest)
+
+
 def signature_gloss(c: Column) -> Column:
-    """A cluster's signature for readers: differences by kind with the last parts of their paths, statements, tools."""
+    """A cluster's signature for readers: what was missed, wrong or too much as deeds, statements, tools."""
 
     def state(s: Column) -> Column:
-        items = F.split(s, ";")
+        items = F.filter(F.split(s, ";"), lambda x: F.contains(x, F.lit(":")))
 
         def of(kind: str, verb: str) -> Column:
             own = F.filter(items, lambda x: F.startswith(x, F.lit(f"{kind}:")))
-            # The last part of a path that is no index or wildcard.
-            last = F.transform(own, lambda x: F.element_at(F.filter(F.split(F.replace(F.substr(x, F.lit(len(kind) + 2)), F.lit("[]"), F.lit("")), r"\."), lambda p: ~p.isin("*", "")), -1))
-            return F.when(F.size(own) > 0, F.concat(F.lit(f"{verb}: "), F.array_join(F.array_sort(F.array_distinct(last)), ", ")))
+            paths = F.transform(own, lambda x: F.filter(F.split(F.replace(F.substr(x, F.lit(len(kind) + 2)), F.lit("[]"), F.lit("")), r"\."), lambda p: ~p.isin("*", "")))
+            return F.when(F.size(own) > 0, F.concat(F.lit(f"{verb}: "), F.array_join(deeds(paths), ", ")))
 
         return F.array_join(F.array_compact(F.array(of("missed", "missing"), of("wrong", "wrong"), of("extra", "extra"))), " · ")
 

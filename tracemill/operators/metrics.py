@@ -245,9 +245,12 @@ def cost_totals(messages: DataFrame, run: str) -> DataFrame:
 # --- experiments ------------------------------------------------------------------
 
 
-def wide_rewards(runs: DataFrame, task: str, model: str, models: Sequence[str], reward: str) -> DataFrame:
-    """One row a task, one column a model: its mean reward there, null where it has no run. The models are named, so one pass does."""
-    return runs.groupBy(task).pivot(model, list(models)).agg(F.avg(reward))
+def wide_rewards(runs: DataFrame, task: str, model: str, models: Sequence[str], reward: str, order: str | None = None) -> DataFrame:
+    """One row a task, one column a model: the reward of its last run there by ``order`` (none given: the best), 0 for a run without one, null without a run."""
+    value = F.coalesce(F.col(reward).cast("double"), F.lit(0.0))
+    kept = F.max(value) if order is None else F.max_by(value, order)
+    # The models are named, so one pass does.
+    return runs.groupBy(task).pivot(model, list(models)).agg(kept)
 
 
 def concat_experiments(experiments: Mapping[str, DataFrame], task: str = "task_id", reward: str = "reward") -> DataFrame:
@@ -260,18 +263,25 @@ def concat_experiments(experiments: Mapping[str, DataFrame], task: str = "task_i
     return out.withColumns({"success": successful(F.col(reward)), "run_of_task": F.row_number().over(order), "runs_of_task": F.count("*").over(W.partitionBy("experiment", task))})
 
 
+#: The reasons that count as failed terminations in a summary.
+FAILED_REASONS = ("max_steps", "too_many_errors", "infrastructure_error")
+
+
 def run_summary(runs: DataFrame, *by: str) -> DataFrame:
-    """Runs, failed terminations, and numerators with denominators of authentication, state and reward."""
+    """Runs, failed terminations, and numerators with denominators of authentication, state and reward.
+
+    A run succeeds with a reward of exactly 1, out of all runs: one without a reward has 0.
+    """
     reason, auth, db = F.col("termination_reason"), F.col("auth_status"), F.col("db_match")
     d = runs.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.count_if(~F.coalesce(reason.isin("agent_stop", "user_stop"), F.lit(False))).alias("failed_terminations"),
+        F.count_if(reason.isin(*FAILED_REASONS)).alias("failed_terminations"),
         F.count_if(auth == "succeeded").alias("auth_num"),
         F.count_if(auth.isin("succeeded", "failed")).alias("auth_den"),
         F.count_if(db).alias("db_num"),
         F.count(db).alias("db_den"),
-        F.count_if(successful(F.col("reward"))).alias("reward_num"),
-        F.count("reward").alias("reward_den"),
+        F.count_if(exactly_one(F.col("reward"))).alias("reward_num"),
+        F.count("*").alias("reward_den"),
     )
     share = lambda k: F.round(F.try_divide(f"{k}_num", f"{k}_den"), 6).alias(f"{k}_rate")
     return d.select("*", share("auth"), share("db"), share("reward"))

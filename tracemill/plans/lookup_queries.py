@@ -183,13 +183,28 @@ def float_tolerance(t: Tables) -> DataFrame:
 # --- experiments and metrics ---------------------------------------------------------
 
 
-@query("select o_custkey, avg(case when o_orderstatus = 'F' then o_totalprice end) as f, avg(case when o_orderstatus = 'O' then o_totalprice end) as o, avg(case when o_orderstatus = 'P' then o_totalprice end) as p from orders group by 1")
+@query("""
+with r as (select o_custkey, o_orderstatus as model, o_orderkey, case when o_orderkey % 4 = 0 then 0.0 when o_orderkey % 4 = 1 then 0.0 else o_orderkey % 3 / 2.0 end as reward from orders)
+select o_custkey, arg_max(reward, o_orderkey) filter (where model = 'F')::double as f, arg_max(reward, o_orderkey) filter (where model = 'O')::double as o, arg_max(reward, o_orderkey) filter (where model = 'P')::double as p from r group by 1
+""")
 def wide_rewards(t: Tables) -> DataFrame:
-    """One row a task, one column a model."""
-    d = M.wide_rewards(t.orders, "o_custkey", "o_orderstatus", ("F", "O", "P"), "o_totalprice")
+    """One row a task, one column a model: its last run, where a run in four has no reward."""
+    k = F.col("o_orderkey")
+    runs = t.orders.select("o_custkey", "o_orderstatus", "o_orderkey", F.when(k % 4 == 0, None).when(k % 4 == 1, 0.0).otherwise(k % 3 / 2).alias("reward"))
+    d = M.wide_rewards(runs, "o_custkey", "o_orderstatus", ("F", "O", "P"), "reward", "o_orderkey")
     return d.select("o_custkey", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
 
 
+@query("""
+select o_custkey, max(case when o_orderkey % 4 = 0 then 0 else o_orderkey % 3 / 2.0 end) filter (where o_orderstatus = 'F')::double as f, max(case when o_orderkey % 4 = 0 then 0 else o_orderkey % 3 / 2.0 end) filter (where o_orderstatus = 'O')::double as o from orders group by 1
+""")
+def wide_best_rewards(t: Tables) -> DataFrame:
+    """One row a task, one column a model: its best run."""
+    runs = t.orders.select("o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 3 / 2).alias("reward"))
+    d = M.wide_rewards(runs, "o_custkey", "o_orderstatus", ("F", "O"), "reward")
+    return d.select("o_custkey", F.col("F").alias("f"), F.col("O").alias("o"))
+
+
 @query("""
 with r as (select 'base' as experiment, o_custkey as task_id, o_orderkey as trial, case when o_orderstatus = 'F' then 1.0 else 0.0 end as reward from orders where o_orderkey % 2 = 0
 union all select 'new', o_custkey, o_orderkey, case when o_orderstatus = 'O' then 1.0 else 0.3 end from orders where o_orderkey % 2 = 1)
@@ -203,8 +218,8 @@ def experiment_concat(t: Tables) -> DataFrame:
 
 
 _RUNS = """
-r as (select o_orderpriority as task, case when o_orderkey % 3 = 0 then 'max_steps' else 'agent_stop' end as reason, case o_orderkey % 4 when 0 then 'succeeded' when 1 then 'failed' when 2 then 'not_needed' end as auth,
-  case when o_orderkey % 5 > 0 then o_orderkey % 5 = 1 end as db, case when o_orderstatus = 'F' then 1.0 when o_orderstatus = 'O' then 0.0 end as reward from orders)
+r as (select o_orderpriority as task, [null, 'agent_stop', 'max_steps', 'user_stop', 'too_many_errors', 'timeout', 'infrastructure_error'][(o_orderkey % 7 + 1)::int] as reason, case o_orderkey % 4 when 0 then 'succeeded' when 1 then 'failed' when 2 then 'not_needed' end as auth,
+  case when o_orderkey % 5 > 0 then o_orderkey % 5 = 1 end as db, case when o_orderstatus = 'F' then 1.0::double when o_orderstatus = 'O' then 1.0::double - o_orderkey % 2 * 1e-9::double end as reward from orders)
 """
 
 
@@ -212,17 +227,17 @@ def _summary_runs(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     return t.orders.select(
         F.col("o_orderpriority").alias("task"),
-        F.when(k % 3 == 0, "max_steps").otherwise("agent_stop").alias("termination_reason"),
+        F.get(F.array(*[F.lit(x) for x in (None, "agent_stop", "max_steps", "user_stop", "too_many_errors", "timeout", "infrastructure_error")]), (k % 7).cast("int")).alias("termination_reason"),
         F.when(k % 4 == 0, "succeeded").when(k % 4 == 1, "failed").when(k % 4 == 2, "not_needed").alias("auth_status"),
         F.when(k % 5 > 0, k % 5 == 1).alias("db_match"),
-        F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0).alias("reward"),
+        F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 1.0 - k % 2 * 1e-9).alias("reward"),
     )
 
 
 @query(f"""
-with {_RUNS} select task, count(*) as n, count(*) filter (where reason = 'max_steps') as failed_terminations, count(*) filter (where auth = 'succeeded') as auth_num, count(*) filter (where auth in ('succeeded', 'failed')) as auth_den,
-  count(*) filter (where db) as db_num, count(db) as db_den, count(*) filter (where reward = 1) as reward_num, count(reward) as reward_den,
-  round(count(*) filter (where auth = 'succeeded') / count(*) filter (where auth in ('succeeded', 'failed')), 6) as auth_rate, round(count(*) filter (where db) / count(db), 6) as db_rate, round(count(*) filter (where reward = 1) / count(reward), 6) as reward_rate from r group by 1
+with {_RUNS} select task, count(*) as n, count(*) filter (where reason in ('max_steps', 'too_many_errors', 'infrastructure_error')) as failed_terminations, count(*) filter (where auth = 'succeeded') as auth_num, count(*) filter (where auth in ('succeeded', 'failed')) as auth_den,
+  count(*) filter (where db) as db_num, count(db) as db_den, count(*) filter (where reward = 1) as reward_num, count(*) as reward_den,
+  round(count(*) filter (where auth = 'succeeded') / count(*) filter (where auth in ('succeeded', 'failed')), 6) as auth_rate, round(count(*) filter (where db) / count(db), 6) as db_rate, round(count(*) filter (where reward = 1) / count(*), 6) as reward_rate from r group by 1
 """)
 def run_summary(t: Tables) -> DataFrame:
     """Numerators and denominators of a run's measures."""
@@ -230,7 +245,7 @@ def run_summary(t: Tables) -> DataFrame:
 
 
 @query(f"""
-with {_RUNS} select task, 'db' as measure, round(avg(db::int) * 100, 6) as percent, count(db) as base from r group by 1 union all select task, 'reward', round(avg((reward = 1)::int) * 100, 6), count(reward) from r group by 1
+with {_RUNS} select task, 'db' as measure, round(avg(db::int) * 100, 6) as percent, count(db) as base from r group by 1 union all select task, 'reward', round(avg((reward between 1 - 1e-6 and 1 + 1e-6)::int) * 100, 6), count(reward) from r group by 1
 """)
 def bar_feed(t: Tables) -> DataFrame:
     """Shares by group and measure, as rows of a chart."""
@@ -304,11 +319,30 @@ def first_seen_errors(t: Tables) -> DataFrame:
     return TR.tool_errors(m).select("run_id", F.array_join("tool_errors", "|").alias("errors"))
 
 
-@query("select o_orderkey, 'missed items ' || lower(o_orderstatus) || ' wrong balance' as words, 'missing: ' || lower(o_orderstatus) || ' · wrong: balance | says: no | tools: a → b' as gloss from orders")
+#: Signatures that decide between the rules, and their glosses worked out by hand.
+_SIGNED = (
+    ("missed:orders.*.cancel_reason;missed:orders.*.return_items;missed:orders.*.status", "missing: cancel order, return items"),
+    ("wrong:orders.*.items[].options.*;wrong:users.*.payment_methods.*.balance", "wrong: modify order items, gift-card balance"),
+    ("extra:users.*.address.city;missed:orders.*.address.zip", "missing: change order address · extra: change user address"),
+    ("wrong:orders.*.payment_history[].amount;wrong:orders.*.status", "wrong: order payment/refund"),
+    ("missed:orders.*.status", "missing: order status"),
+    ("missed:products.*.variants.*.price;missed:orders.*.note;odd", "missing: note, price"),
+    ("no_db_diff", ""),
+    ("extra:orders.*.exchange_new_items;wrong:users.*.payment_methods.*.brand;extra:orders.*.return_payment_method_id", "wrong: modify payment method · extra: return items, exchange items"),
+)
+_NTH = "[(o_orderkey % 8 + 1)::int]"
+
+
+@query(f"""
+with x as (select o_orderkey, o_orderstatus, {[g for _, g in _SIGNED]}{_NTH} as g from orders)
+select o_orderkey, 'missed items ' || lower(o_orderstatus) || ' wrong balance' as words, case when g = '' then '' else g || ' | ' end || 'says: no ' || o_orderstatus || ' | tools: a → b | ' || o_orderstatus as gloss from x
+""")
 def signature_words(t: Tables) -> DataFrame:
     """Signatures as words for clustering and as a line for readers."""
     s = F.concat(F.lit("missed:orders.*.items[]."), F.lower("o_orderstatus"), F.lit(";wrong:users.*.balance"))
-    return t.orders.select("o_orderkey", X.signature_tokens(s).alias("words"), X.signature_gloss(F.concat(F.lit("db="), s, F.lit(" | nl=no | chain=a->b"))).alias("gloss"))
+    signed = F.get(F.array(*[F.lit(x) for x, _ in _SIGNED]), (F.col("o_orderkey") % 8).cast("int"))
+    whole = F.concat(F.lit("db="), signed, F.lit(" | nl=no "), "o_orderstatus", F.lit(" | chain=a->b | "), "o_orderstatus")
+    return t.orders.select("o_orderkey", X.signature_tokens(s).alias("words"), X.signature_gloss(whole).alias("gloss"))
 
 
 @query("""select o_orderkey, '{"k":"' || o_orderkey || '","open":"' || case when o_orderstatus = 'O' then 'True' else 'False' end || '","day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","ids":["' || o_custkey || '","7"],"none":null}' as response from orders""")
@@ -329,12 +363,14 @@ def structural_diff(t: Tables) -> DataFrame:
 
 
 @query("""
-with w as (select o_custkey, min('B' || o_orderkey) filter (where o_orderkey % 97 = 0) as bill from orders group by 1)
+with w as (select o_custkey, arg_max('B' || o_orderkey, 'B' || o_orderkey) filter (where o_orderkey % 13 = 0) as bill from orders group by 1)
 select 'U' || o_orderkey as user_id, o_orderstatus = 'O' as line_active, o_orderkey % 2 = 0 as roaming_allowed, o_orderkey % 10 / 2.0 >= [5.0, 10.0, 20.0][(o_orderkey % 3 + 1)::int] as usage_exceeded, w.bill as request_bill_id from orders join w using (o_custkey)
 """)
 def world_sync(t: Tables) -> DataFrame:
-    """What a line's state tells the device, and the bill that a user is asked to pay."""
+    """What a line's state tells the device, and the bill that a user is asked to pay: the first that waits in the customer's list, which runs backwards here."""
     d = _telecom(t)
+    d["customers"] = d["customers"].withColumn("bill_ids", F.reverse("bill_ids"))
+    d["bills"] = d["bills"].withColumn("status", F.when(F.substring("bill_id", 2, 20).cast("long") % 13 == 0, "Awaiting Payment").otherwise("Paid"))
     null = lambda k: F.lit(None).cast(k)
     users = t.orders.select(F.concat(F.lit("U"), F.col("o_orderkey").cast("string")).alias("user_id"), F.concat(F.lit("555"), F.col("o_orderkey").cast("string")).alias("phone_number"), null("string").alias("request_bill_id"), null("double").alias("request_amount"), null("boolean").alias("request_paid"))
     now, _ = telecom.sync_world(users, d["customers"], d["lines"], d["plans"], d["bills"])

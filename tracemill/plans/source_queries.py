@@ -63,14 +63,39 @@ def _runs(t: Tables) -> DataFrame:
 
 @query("select o_orderkey::varchar as id, o_orderpriority as task_id, (o_orderkey % 4)::int as trial, o_custkey / 100 as agent_cost, true as indexed from orders")
 def results_sink(t: Tables) -> DataFrame:
-    """Runs by task with a narrow index, read back and matched with it."""
+    """One file a run with a narrow index, read back through the loader and matched with the index."""
     path = scratch(t.spark, "results")
     R.save_runs(_runs(t), path)
-    runs = t.spark.read.schema(_RUN).json(f"{path}/simulations")
+    runs = R.load_runs(t.spark, path, _RUN)
     index = t.spark.read.schema("id string").json(f"{path}/index").withColumn("indexed", F.lit(True))
     return runs.join(index, "id", "left").select("id", "task_id", "trial", "agent_cost", "indexed")
 
 
+@query("""
+select c_custkey::varchar as id, 'missing' as side from customer where c_custkey % 11 = 0 union all
+select c_custkey::varchar, 'extra' from customer where c_custkey % 13 = 0 and c_custkey % 11 <> 0
+""")
+def results_integrity(t: Tables) -> DataFrame:
+    """Runs that the index names and no file holds, and the other way round."""
+    path = scratch(t.spark, "integrity")
+    run = t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("task_id"))
+    R.save_runs(run.where("c_custkey % 11 <> 0"), path)
+    run.where("c_custkey % 13 <> 0 or c_custkey % 11 = 0").write.mode("overwrite").json(f"{path}/index")
+    return R.integrity_report(t.spark, path)
+
+
+@query("""
+select c_mktsegment as task_id, count(*) as runs, sum(len(t))::bigint as parts, max(t[1]) as first from (select c_mktsegment, [c_name, c_nationkey::varchar] as t from customer) group by 1
+""")
+def results_nested(t: Tables) -> DataFrame:
+    """Nested runs written one a file and read back some files a task, then summed up."""
+    path = scratch(t.spark, "nested")
+    run = t.customer.select(F.concat(F.lit("r "), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("task_id"), F.struct(F.array(F.struct(F.col("c_name").alias("text")), F.struct(F.col("c_nationkey").cast("string").alias("text"))).alias("messages")).alias("trace"))
+    R.save_runs(run, path)
+    d = R.load_runs(t.spark, path, run.schema)
+    return d.groupBy("task_id").agg(F.count("*").alias("runs"), long(F.sum(F.size("trace.messages"))).alias("parts"), F.max(F.get("trace.messages", F.lit(0))["text"]).alias("first"))
+
+
 @query("select n_nationkey::varchar as id, n_name as task_id, (n_regionkey)::int as trial, 25 as declared from nation")
 def results_monolith(t: Tables) -> DataFrame:
     """One file with all runs: the layout is told, runs come by their schema, the rest without reading them."""

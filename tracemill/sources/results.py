@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from tracemill.operators.dml import insert_absent, upsert
 from tracemill.operators.joins import missing_and_extra
 from tracemill.operators.metrics import INFRA
+from tracemill.sources import run_files
 
 KEY = ("trial", "task_id", "seed")
-INDEX = ("id", "task_id", "trial", "reward", "termination_reason", "agent_cost", "duration")
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
@@ -31,11 +31,18 @@ def load_runs(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     if detect_format(spark, path) == "json":
         outer = T.StructType([T.StructField("simulations", T.ArrayType(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)))])
         return spark.read.schema(outer).option("multiLine", True).json(path).select(F.inline("simulations"))
-    runs = spark.read.schema(schema).option("multiLine", True).json(f"{path}/simulations")
-    index = spark.read.schema("id string").option("multiLine", True).json(f"{path}/index")
-    stems = runs.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("id"))
-    check_integrity(index, stems)
-    return runs
+    bad = run_files.integrity(path)
+    if bad:
+        raise ValueError("index and files differ: " + ", ".join(f"{i} ({what})" for i, what in bad[:10]))
+    run_files.register(spark)
+    return spark.read.format("run_files").schema(schema).load(path)
+
+
+def integrity_report(spark: SparkSession, path: str) -> DataFrame:
+    """``id, side`` of each difference between the index and the files of the folder layout: missing files, extra files."""
+    index = spark.read.schema("id string").json(f"{path}/index")
+    stems = spark.read.format("binaryFile").load(f"{path}/simulations").select(F.url_decode(F.regexp_extract("path", r"([^/]+)\.json$", 1)).alias("id"))
+    return missing_and_extra(index, stems, "id")
 
 
 def check_integrity(index: DataFrame, stems: DataFrame, key: str = "id") -> None:
@@ -61,10 +68,12 @@ def run_table(runs: DataFrame, tasks: DataFrame, strict: bool = True, key: str =
 
 
 def save_runs(runs: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Runs partitioned by task, and a narrow index."""
-    mode = "overwrite" if overwrite else "errorifexists"
-    runs.write.mode(mode).partitionBy("task_id").json(f"{path}/simulations")
-    runs.select(*[c for c in INDEX if c in runs.columns]).write.mode(mode).json(f"{path}/index")
+    """One file a run and a narrow index, as :func:`load_runs` reads them; ids that repeat are refused."""
+    again = runs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(10).collect()
+    if again:
+        raise ValueError("ids repeat: " + ", ".join(str(r.id) for r in again))
+    run_files.register(runs.sparkSession)
+    runs.write.format("run_files").mode("overwrite" if overwrite else "append").option("path", path).save()
 
 
 def append_checkpoint(done: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
