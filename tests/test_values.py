@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import signal
-from tracemill.operators import clustering
+from tracemill.operators import clustering, ordered
 from tracemill.plans import compare_queries, evaluation_queries, registry, stream_queries  # noqa: F401
 
 
@@ -70,11 +70,91 @@ def test_density_clusters(spark, data):
     assert len(rows) == len({r.vec_id for r in rows}) == spark.read.parquet(f"{data}/embeddings.parquet").count()
 
 
-def test_scope_too_large(spark, monkeypatch):
-    monkeypatch.setattr(clustering, "MOST_MEMBERS", 3)
-    d = spark.range(5).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"), F.lit("a").alias("s"))
-    with pytest.raises(Exception, match="too large"):
-        clustering.cluster_groups(d, "id", "v", "s", 0.5).collect()
+def matrix_merges(v):
+    """Average linkage from the matrix of distances, nearest pair by nearest pair."""
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    size, found = np.ones(len(v)), []
+    for _ in range(len(v) - 1):
+        i, j = sorted(divmod(int(d.argmin()), len(v)))
+        found.append(d[i, j])
+        row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+        row[[i, j]] = np.inf
+        d[i], d[:, i], d[j], d[:, j] = row, row, np.inf, np.inf
+        size[i] += size[j]
+    return found
+
+
+def matrix_tree(u, least):
+    """Core distances and the lengths of the least spanning tree, from the matrix."""
+    d = np.sqrt(np.clip(2 - 2 * u @ u.T, 0, 4))
+    np.fill_diagonal(d, 0)
+    core = np.sort(d, axis=1)[:, least - 1]
+    reach = np.maximum(d, np.maximum(core[:, None], core))
+    inside, best, out = np.zeros(len(u), bool), np.full(len(u), np.inf), []
+    at = 0
+    for _ in range(len(u) - 1):
+        inside[at] = True
+        best = np.minimum(best, reach[at])
+        at = int(np.where(inside, np.inf, best).argmin())
+        out.append(best[at])
+    return core, sorted(out)
+
+
+def test_trees_without_matrices(monkeypatch):
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 50, 700):
+        v = rng.normal(size=(n, 9)) + rng.normal(size=(6, 9))[rng.integers(0, 6, n)] * 2
+        merges = clustering.average_linkage(v)
+        assert np.allclose([m[2] for m in merges], matrix_merges(v)) and len(merges) == n - 1
+        assert sorted(x for a, b, _ in merges for x in (a, b)) == list(range(2 * n - 2))
+        u = clustering.unit_rows(v)
+        monkeypatch.setattr(clustering, "DISTANCES", 1000)
+        core, lengths = matrix_tree(u, 2)
+        assert np.allclose(clustering.core_distances(u, 2), core)
+        assert np.allclose([e[0] for e in clustering.spanning_tree(u, core)], lengths)
+    same = np.repeat(rng.normal(size=(3, 5)), 40, axis=0)
+    assert sorted(np.bincount(clustering.cut_tree(120, clustering.average_linkage(same), 1e-6))) == [40, 40, 40]
+
+
+def test_scopes_of_many_thousands():
+    rng = np.random.default_rng(6)
+    v = np.repeat(np.eye(16)[:12], 1000, axis=0) + rng.normal(size=(12_000, 16)) * 0.05
+    labels, _ = clustering.ladder_cut(len(v), clustering.average_linkage(v))
+    assert sorted(np.bincount(labels)) == [1000] * 12
+    found = clustering.density_clusters(v[::3], 20)
+    assert all(len({x for x in found[k * 1000 // 3 + 1 : (k + 1) * 1000 // 3] if x >= 0}) == 1 for k in range(12)) and len(set(found[found >= 0])) == 12
+
+
+def test_one_tree_many_cuts(spark):
+    d = spark.range(60).select("id", F.array(F.cos(F.col("id") * F.col("id")), F.sin(F.col("id") * F.col("id"))).alias("v"), (F.col("id") % 2).alias("s"))
+    many = clustering.cluster_groups(d, "id", "v", "s", (0.01, 0.2, 0.6))
+    for t in (0.01, 0.2, 0.6):
+        one = clustering.cluster_groups(d, "id", "v", "s", t)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.where(F.col("threshold") == t).collect()))
+
+
+def test_silhouette_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows_ = [(k, int(rng.integers(0, 40)), rng.normal(size=5).tolist()) for k in range(300)] + [(999, 77, [1.0, 0.0, 0.0, 0.0, 0.0])]
+    d = spark.createDataFrame(rows_, "key long, c int, v array<double>")
+    whole = {r.key: r.silhouette for r in clustering.silhouette(d, "key", "c", "v").collect()}
+    monkeypatch.setattr(clustering, "MOST_CLUSTERS", 7)
+    parts = {r.key: r.silhouette for r in clustering.silhouette(d, "key", "c", "v").collect()}
+    assert whole[999] == 0 and all(abs(whole[k] - parts[k]) < 1e-12 for k in whole) and len(parts) == 301
+
+
+def test_running_total(spark):
+    rng = np.random.default_rng(3)
+    v = [(int(x), k) for k, x in enumerate(rng.integers(0, 9, 500))]
+    d = ordered.running_total(spark.createDataFrame(v, "x int, k int").repartition(5), [F.desc("x"), F.asc("k")], F.col("x"), "t")
+    got = [(r.x, r.k, r.t) for r in d.orderBy(F.desc("x"), "k").collect()]
+    want, t = [], 0
+    for x, k in sorted(v, key=lambda r: (-r[0], r[1])):
+        t += x
+        want.append((x, k, t))
+    assert got == want
 
 
 def lcs(a, b):

@@ -12,15 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracemill.operators.ordered import running_total
+from tracemill.session import cut
+
 #: The thresholds that are tried, and the largest share of a cluster.
 LADDER = (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)
 LARGEST = 0.45
 #: Weights of queries, and of documents, that meet in one task.
 CELL = 2_000_000
-#: Clusters whose sums of vectors may travel to every row.
-MOST_CLUSTERS = 10_000
-#: Members of a scope whose distance matrix (8 bytes a pair) fits a task.
-MOST_MEMBERS = 8_000
+#: Clusters whose sums of vectors travel to every row in one array.
+MOST_CLUSTERS = 5_000
+#: Distances that a task holds at a time.
+DISTANCES = 4_000_000
 
 
 # --- vectors ------------------------------------------------------------------
@@ -109,43 +112,74 @@ def sparse_cosine(weights: DataFrame, queries: DataFrame) -> DataFrame:
 # --- linkage ---------------------------------------------------------------------
 
 
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norm > 0, norm, 1)
+
+
 def average_linkage(vectors: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (a, b, distance) of average linkage under cosine distance; a new cluster is n, n+1, ... in order."""
+    """Merges (a, b, distance) of average linkage under cosine distance, nearest first; a new cluster is n, n+1, ... in order.
+
+    The mean cosine of two clusters is the product of their sums of unit vectors
+    over the product of their sizes, so a cluster is its sum and size and no matrix
+    of distances is made. Chains of nearest neighbours find the merges: average
+    linkage never brings clusters nearer by merging others, so two that are each
+    other's nearest merge in any order of work.
+    """
     n = len(vectors)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    u = vectors / np.where(norm > 0, norm, 1)
-    d = 1 - u @ u.T
-    np.fill_diagonal(d, np.inf)
-    ids, sizes, merges = list(range(n)), np.ones(n), []
-    alive = np.ones(n, bool)
-    for step in range(n - 1):
-        i, j = divmod(int(d.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        merges.append((ids[i], ids[j], float(d[i, j])))
-        row = (d[i] * sizes[i] + d[j] * sizes[j]) / (sizes[i] + sizes[j])
-        row[~alive] = np.inf
-        row[[i, j]] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
-        sizes[i] += sizes[j]
-        alive[j] = False
-        ids[i] = n + step
+    sums, sizes, member = unit_rows(np.asarray(vectors, float)).copy(), np.ones(n), np.arange(n)
+    alive, left = np.ones(n, bool), n
+    found: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while left > 1:
+        if 2 * left < len(sums):
+            # Dead rows go; the chain keeps its clusters.
+            place = np.cumsum(alive) - 1
+            chain = place[chain].tolist()
+            sums, sizes, member, alive = sums[alive], sizes[alive], member[alive], np.ones(left, bool)
+        if not chain:
+            chain.append(int(alive.argmax()))
+        a = chain[-1]
+        near = sums @ sums[a] / (sizes * sizes[a])
+        near[~alive] = -np.inf
+        near[a] = -np.inf
+        b = int(near.argmax())
+        # Of equals the one before in the chain: so a chain always comes nearer and ends.
+        if len(chain) > 1 and near[chain[-2]] >= near[b] - 1e-12:
+            b = chain[-2]
+            del chain[-2:]
+            found.append((1 - float(near[b]), int(member[a]), int(member[b])))
+            sums[a] += sums[b]
+            sizes[a] += sizes[b]
+            alive[b] = False
+            sums[b] = 0
+            left -= 1
+        else:
+            chain.append(b)
+    top = list(range(2 * n - 1))
+
+    def cluster(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    merges = []
+    for k, (distance, a, b) in enumerate(sorted(found, key=lambda m: m[0])):
+        a, b = sorted((cluster(a), cluster(b)))
+        top[a] = top[b] = n + k
+        merges.append((a, b, distance))
     return merges
 
 
 def cut_tree(n: int, merges: Sequence[tuple[int, int, float]], threshold: float) -> np.ndarray:
     """Labels 0.. by first member when all merges below the threshold are done."""
-    parent = list(range(n + len(merges)))
-    for k, (a, b, dist) in enumerate(merges):
-        if dist < threshold:
-            parent[a] = parent[b] = n + k
-    root = np.arange(n)
-    for k in range(n):
-        r = k
-        while parent[r] != r:
-            r = parent[r]
-        root[k] = r
-    _, first, inverse = np.unique(root, return_index=True, return_inverse=True)
+    root = np.arange(n + len(merges))
+    for k in range(len(merges) - 1, -1, -1):
+        a, b, distance = merges[k]
+        if distance < threshold:
+            root[a] = root[b] = root[n + k]
+    _, first, inverse = np.unique(root[:n], return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[inverse]
 
 
@@ -159,18 +193,36 @@ def ladder_cut(n: int, merges: Sequence, ladder: Sequence[float] = LADDER, large
     return labels, t
 
 
-def _spanning_tree(reach: np.ndarray) -> list[tuple[float, int, int]]:
-    """Edges (length, a, b) of the least spanning tree of a distance matrix, shortest first."""
-    n = len(reach)
-    inside, best, via = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
+def core_distances(units: np.ndarray, least: int) -> np.ndarray:
+    """Each row's distance to its ``least``-th nearest, itself counted, some rows against all at a time."""
+    n = len(units)
+    core = np.empty(n)
+    step = max(1, DISTANCES // n)
+    for at in range(0, n, step):
+        d = np.sqrt(np.clip(2 - 2 * units[at : at + step] @ units.T, 0, 4))
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = 0
+        core[at : at + step] = np.partition(d, least - 1, axis=1)[:, least - 1]
+    return core
+
+
+def spanning_tree(units: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """Edges (length, a, b) of the least spanning tree of mutual reachability, shortest first; a row of distances is made when its point joins."""
+    n = len(units)
+    ids, best, via = np.arange(1, n), np.full(n - 1, np.inf), np.zeros(n - 1, int)
+    rest, far = units[1:], core[1:]
+    gone = np.zeros(n - 1, bool)
     edges, at = [], 0
-    inside[0] = True
-    for _ in range(n - 1):
-        closer = ~inside & (reach[at] < best)
-        best[closer], via[closer] = reach[at][closer], at
-        at = int(np.where(inside, np.inf, best).argmin())
-        edges.append((float(best[at]), int(via[at]), at))
-        inside[at] = True
+    for left in range(n - 1, 0, -1):
+        if 2 * left < len(ids):
+            stay = ~gone
+            ids, best, via, rest, far, gone = ids[stay], best[stay], via[stay], rest[stay], far[stay], gone[stay]
+        reach = np.maximum(np.sqrt(np.clip(2 - 2 * (rest @ units[at]), 0, 4)), np.maximum(core[at], far))
+        closer = ~gone & (reach < best)
+        best[closer], via[closer] = reach[closer], at
+        k = int(np.where(gone, np.inf, best).argmin())
+        at = int(ids[k])
+        edges.append((float(best[k]), int(via[k]), at))
+        gone[k] = True
     return sorted(edges)
 
 
@@ -187,11 +239,8 @@ def density_clusters(vectors: np.ndarray, least: int) -> np.ndarray:
     n, least = len(vectors), max(2, least)
     if n < least:
         return np.full(n, -1)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    u = vectors / np.where(norm > 0, norm, 1)
-    d = np.sqrt(np.clip(2 - 2 * u @ u.T, 0, 4))
-    np.fill_diagonal(d, 0)
-    core = np.partition(d, least - 1, axis=1)[:, least - 1]
+    u = unit_rows(np.asarray(vectors, float))
+    core = core_distances(u, least)
     # The tree of joins: node n + k joins two nodes at the k-th shortest edge.
     top = list(range(2 * n - 1))
 
@@ -203,7 +252,7 @@ def density_clusters(vectors: np.ndarray, least: int) -> np.ndarray:
 
     size = [1] * n + [0] * (n - 1)
     parts: list[tuple[int, int, float]] = []
-    for k, (length, a, b) in enumerate(_spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None, :])))):
+    for k, (length, a, b) in enumerate(spanning_tree(u, core)):
         a, b = find(a), find(b)
         top[a] = top[b] = n + k
         size[n + k] = size[a] + size[b]
@@ -252,29 +301,27 @@ def density_clusters(vectors: np.ndarray, least: int) -> np.ndarray:
     return np.array([rank.get(int(x), -1) for x in found])
 
 
-def cluster_groups(df: DataFrame, key: str, vector: str, scope: str, threshold: float | None = None, algorithm: str = "agglomerative", min_size: int = 3) -> DataFrame:
-    """Clusters within each scope: ``key, scope, cluster``; without a threshold the ladder picks one.
+def cluster_groups(df: DataFrame, key: str, vector: str, scope: str, threshold: float | Sequence[float] | None = None, algorithm: str = "agglomerative", min_size: int = 3) -> DataFrame:
+    """Clusters within each scope: ``key, scope, cluster, threshold``; without a threshold the ladder picks one, of several each cuts the one tree.
 
-    A scope's distance matrix is quadratic, so scopes are one mechanism of one
-    run, as large as a person reviews; one of more than ``MOST_MEMBERS`` raises.
-    Noise points become clusters of their own.
+    A scope is one mechanism of one run, as large as a person reviews: its vectors
+    (not their distances) are one task's. Noise points become clusters of their own.
     """
     schema = f"{key} {dict(df.dtypes)[key]}, {scope} {dict(df.dtypes)[scope]}, cluster int, threshold double"
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        if len(f) > MOST_MEMBERS:
-            raise ValueError(f"a scope of {len(f)} members is too large for a distance matrix; split it first")
         f = f.sort_values(key)
         m = np.array(f[vector].tolist(), float)
         if algorithm == "density":
-            labels, t = density_clusters(m, min_size), float("nan")
+            labels = density_clusters(m, min_size)
             free = labels < 0
-            labels = labels.copy()
             labels[free] = labels.max(initial=-1) + 1 + np.arange(free.sum())
+            cuts = [(labels, float("nan"))]
         else:
             merges = average_linkage(m)
-            labels, t = (cut_tree(len(m), merges, threshold), threshold) if threshold is not None else ladder_cut(len(m), merges)
-        return pd.DataFrame({key: f[key], scope: f[scope], "cluster": labels.astype("int32"), "threshold": t})
+            asked = [threshold] if isinstance(threshold, (int, float)) else threshold
+            cuts = [ladder_cut(len(m), merges)] if asked is None else [(cut_tree(len(m), merges, t), t) for t in asked]
+        return pd.concat([pd.DataFrame({key: f[key], scope: f[scope], "cluster": labels.astype("int32"), "threshold": float(t)}) for labels, t in cuts])
 
     return df.select(key, scope, vector).groupBy(scope).applyInPandas(run, schema)
 
@@ -288,7 +335,8 @@ def level0(runs: DataFrame, run: str = "run_id", task: str = "task_id") -> DataF
     d = runs.withColumn("name", key)
     t = d.groupBy("name", task).agg(F.avg((F.col("failure_type") != "pass").cast("double")).alias("rate"), F.count("*").alias("n"))
     g = t.groupBy("name").agg(F.avg("rate").alias("failure_rate"), F.sum("n").alias("count"), F.count("*").alias("tasks"))
-    g = g.withColumn("id", F.concat(F.lit("l0_"), F.lpad((F.row_number().over(W.orderBy("name")) - 1).cast("string"), 3, "0")))
+    # Mechanisms are the names of a fixed list of rules.
+    g = g.withColumn("id", F.format_string("l0_%03d", F.row_number().over(W.orderBy("name")) - 1))
     return g.orderBy(F.desc("failure_rate"), F.desc("count"), "id")
 
 
@@ -296,7 +344,9 @@ def level1(runs: DataFrame, task: str = "task_id") -> DataFrame:
     """Failing runs by mechanism and signature: count, tasks, dominant chain, worst first."""
     d = runs.where("failure_type <> 'pass'")
     g = d.groupBy("mechanism", "signature").agg(F.count("*").alias("count"), F.count_distinct(task).alias("tasks"))
-    g = g.withColumn("id", F.concat(F.lit("c_"), F.lpad((F.row_number().over(W.orderBy(F.desc("count"), "mechanism", "signature")) - 1).cast("string"), 3, "0")))
+    # Signatures are as many as they like: they are numbered by ranges.
+    g = running_total(g, [F.desc("count"), F.asc("mechanism"), F.asc("signature")], F.lit(1), "place")
+    g = g.withColumn("id", F.format_string("c_%03d", F.col("place") - 1)).drop("place")
     return g.orderBy(F.desc("count"), "id")
 
 
@@ -339,10 +389,14 @@ def purity(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return d.select(F.col("p").alias("cluster"), F.col("t").alias("label"), "size", (F.col("n") / F.col("size")).alias("purity"))
 
 
+def structure_of_sizes(sizes: DataFrame, *by: str) -> DataFrame:
+    """Clusters, singletons, largest share, mean size out of a table with a cluster's size ``n`` a row."""
+    return sizes.groupBy(*by).agg(F.count("*").alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"), (F.max("n") / F.sum("n")).alias("largest_share"), F.avg("n").alias("mean_size"))
+
+
 def structure(df: DataFrame, cluster: str) -> DataFrame:
     """One row: clusters, singletons, largest share, mean size."""
-    g = df.groupBy(cluster).agg(F.count("*").alias("n"))
-    return g.agg(F.count("*").alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"), (F.max("n") / F.sum("n")).alias("largest_share"), F.avg("n").alias("mean_size"))
+    return structure_of_sizes(df.groupBy(cluster).agg(F.count("*").alias("n")))
 
 
 def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
@@ -362,17 +416,27 @@ def silhouette(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
     unit = df.select(F.col(key).alias("key"), F.col(cluster).alias("own"), F.transform(v, lambda x: x / F.sqrt(dot(v, v))).alias("u"))
     parts = unit.select("own", F.posexplode("u").alias("k", "x")).groupBy("own", "k").agg(F.sum("x").alias("x"))
     sums = parts.groupBy("own").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("s"))
-    sums = sums.join(unit.groupBy("own").agg(F.count("*").alias("n")), "own").withColumnRenamed("own", "c")
-    if sums.count() > MOST_CLUSTERS:
-        raise ValueError("too many clusters to meet every row")
-    d = unit.crossJoin(F.broadcast(sums)).select("key", "own", "c", "n", dot(F.col("u"), F.col("s")).alias("p"))
-    within = F.col("c") == F.col("own")
-    g = d.groupBy("key").agg(
-        F.max(F.when(within, F.col("n"))).alias("n"),
-        F.max(F.when(within & (F.col("n") > 1), 1 - (F.col("p") - 1) / (F.col("n") - 1))).alias("a"),
-        F.min(F.when(~within, 1 - F.col("p") / F.col("n"))).alias("b"),
-    )
-    return g.select("key", F.when((F.col("n") == 1) | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+    sums = cut(sums.join(unit.groupBy("own").agg(F.count("*").alias("n")), "own").withColumnRenamed("own", "c"))
+    # Sums that fit a broadcast meet every row in an array of their own; of more, slices meet slices of rows.
+    s_ = F.struct("c", "n", "s")
+    slices = -(-sums.count() // MOST_CLUSTERS) or 1
+    dealt = sums.withColumn("slice", F.pmod(F.xxhash64("c"), F.lit(slices)).cast("int"))
+    per = dealt.groupBy("slice").agg(F.collect_list(s_).alias("all"))
+    own = F.col("own")
+
+    def against(row: Column) -> Column:
+        """(size, within, nearest) of a row against a slice of clusters."""
+        at = F.transform("all", lambda c: F.struct(c["c"].alias("c"), c["n"].alias("n"), dot(row, c["s"]).alias("p")))
+        mine = F.get(F.filter(at, lambda c: c["c"] == own), F.lit(0))
+        other = F.array_min(F.transform(F.filter(at, lambda c: c["c"] != own), lambda c: 1 - c["p"] / c["n"]))
+        return F.struct(mine["n"].alias("n"), F.when(mine["n"] > 1, 1 - F.try_divide(mine["p"] - 1, mine["n"] - 1)).alias("a"), other.alias("b"))
+
+    if slices == 1:
+        d = unit.crossJoin(F.broadcast(per)).select("key", against(F.col("u")).alias("x")).select("key", "x.*")
+    else:
+        rows = unit.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        d = rows.join(per, "slice").select("key", against(F.col("u")).alias("x")).groupBy("key").agg(F.max("x.n").alias("n"), F.max("x.a").alias("a"), F.min("x.b").alias("b"))
+    return d.select("key", F.when((F.col("n") == 1) | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
 def diverse(df: DataFrame, n: int, group: str, task: str, chain: str, flags: str, order: str) -> DataFrame:

@@ -83,11 +83,13 @@ def response_windows(calls: DataFrame, answers: DataFrame, key: str, start: str,
     return d.select("row.*", (during | after).alias("answered"))
 
 
-def exists_match(gold: DataFrame, calls: DataFrame, key: str, cond: Column) -> DataFrame:
-    """Gold rows with ``matched``: some call of the same key meets ``cond`` (over aliases a and b). A call may serve several."""
-    hit = gold.alias("a").join(calls.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & cond, "left_semi").withColumn("matched", F.lit(True))
-    miss = gold.alias("a").join(calls.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & cond, "left_anti").withColumn("matched", F.lit(False))
-    return hit.unionByName(miss)
+def exists_match(gold: DataFrame, calls: DataFrame, key: str, condition: str) -> DataFrame:
+    """Gold rows with ``matched``: some call of the same key meets the SQL ``condition`` (over aliases a and b). A call may serve several.
+
+    A subquery in the select list is one existence join: no pairs, no second pass.
+    """
+    sql = f"select a.*, exists(select 1 from {{calls}} b where a.`{key}` = b.`{key}` and ({condition})) as matched from {{gold}} a"
+    return gold.sparkSession.sql(sql, gold=gold, calls=calls)
 
 
 def args_match(gold: Column, call: Column, compare: Column) -> Column:

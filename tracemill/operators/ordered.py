@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracemill.session import cut
+
 
 def rank_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Places 1..n; ties get places of their own."""
@@ -137,3 +139,19 @@ def nearest_shallower(df: DataFrame, by: Sequence[str], pos: str, depth: str, de
     w = W.partitionBy(*by).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
     above = [F.when(F.col(depth) == d, F.max(F.when(F.col(depth) < d, F.col(pos))).over(w)) for d in range(1, deepest + 1)]
     return df.withColumn("parent", F.coalesce(*above))
+
+
+def running_total(df: DataFrame, order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with the running total of a whole ``value`` over all rows in ``order``, rows that tie in any order but each its own.
+
+    Rows are dealt by ranges of the order and written once, so a row's range is
+    fixed; the ranges' sums are summed up, and rows only within their range.
+    """
+    spark = df.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = cut(df.withColumn("_value", value.cast("long")).repartitionByRange(ranges, *order)).withColumn("_range", F.spark_partition_id())
+    sums = d.groupBy("_range").agg(F.sum("_value").alias("_sum"))
+    # One row a range.
+    before = sums.select("_range", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum("_value").over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return d.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + within).drop("_range", "_value", "_before")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracemill.operators.ordered import running_total
+
 #: Published defaults of Okapi BM25 with a floor for negative idf: k1, b, epsilon.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -237,22 +239,30 @@ def cache_stats(cache: DataFrame, by: Sequence[str]) -> DataFrame:
     return cache.groupBy(*by).agg(F.count("*").alias("entries"), F.sum(F.size("embedding")).alias("numbers"))
 
 
-#: Documents whose hashes, and characters of documents whose texts, make one row.
-MOST_HASHES, MOST_CHARACTERS = 10_000_000, 500_000_000
+#: Buckets of a corpus hash; a part of a knowledge base has so many characters, or one document.
+BUCKETS, PART_CHARACTERS = 4_096, 50_000_000
+
 
+def corpus_hash(docs: DataFrame, doc: str, text: str, buckets: int = BUCKETS) -> DataFrame:
+    """One row: a SHA-256 that changes with any id or text, whatever the order or the partitions.
 
-def corpus_hash(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """SHA-256 over the sorted ``id:md5`` of all documents, joined by bars: one row by nature, so more than ``MOST_HASHES`` documents raise."""
-    if docs.count() > MOST_HASHES:
-        raise ValueError("too many documents for one hash")
-    item = F.concat(F.col(doc).cast("string"), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    return docs.select(item.alias("i")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("i")), "|"), 256).alias("corpus_sha256"))
+    A document's ``id:md5`` belongs to a bucket by the first digits of the MD5 of
+    its id; a bucket is hashed over its items in order, the corpus over the
+    hashes of its buckets in order. A bucket holds n / ``buckets`` items.
+    """
+    name = F.coalesce(F.col(doc).cast("string"), F.lit(""))
+    bucket = (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+    item = F.concat(name, F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    each = docs.select(bucket.alias("b"), item.alias("i")).groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("i")), "|"), 256).alias("h"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "|")
+    return each.agg(F.sha2(whole, 256).alias("corpus_sha256"))
 
 
-def full_text(docs: DataFrame, order: str, title: str, text: str) -> DataFrame:
-    """All documents as one text, in order: a small knowledge base by nature; more than ``MOST_CHARACTERS`` raise."""
-    if (docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0) > MOST_CHARACTERS:
-        raise ValueError("too much text for one row")
+def full_text(docs: DataFrame, order: str, title: str, text: str, part_characters: int = PART_CHARACTERS) -> DataFrame:
+    """``part, knowledge_base``: all documents as one text, in order, in parts of about ``part_characters`` that follow each other by an empty line."""
     item = F.concat(F.lit("# "), F.col(title), F.lit("\n"), F.col(text))
-    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("t"))))
-    return docs.agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("knowledge_base"))
+    d = docs.select(F.col(order).alias("o"), item.alias("t")).where("t is not null")
+    d = running_total(d, [F.asc("o"), F.asc("t")], F.length("t"), "end")
+    part = F.floor((F.col("end") - F.length("t")) / part_characters).cast("long")
+    parts = F.sort_array(F.collect_list(F.struct("end", "o", "t")))
+    return d.groupBy(part.alias("part")).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("knowledge_base"))

@@ -302,7 +302,7 @@ def diverse_sample(t: Tables) -> DataFrame:
 @query("""
 with m as (select user_id, event_type as name, user_id % 9 as task, value > 80 as fail from events), k as (select *, case when fail then name else 'pass' end as nm from m),
 t as (select nm, task, avg(case when fail then 1.0 else 0.0 end) as rate, count(*) as n from k group by 1, 2), g as (select nm as name, avg(rate) as failure_rate, sum(n)::bigint as count, count(*) as tasks from t group by 1)
-select name, failure_rate, count, tasks, 'l0_' || lpad((row_number() over (order by name) - 1)::varchar, 3, '0') as id from g
+select name, failure_rate, count, tasks, printf('l0_%03d', row_number() over (order by name) - 1) as id from g
 """)
 def cluster_level0(t: Tables) -> DataFrame:
     fail = F.col("value") > 80
@@ -311,11 +311,11 @@ def cluster_level0(t: Tables) -> DataFrame:
 
 
 @query("""
-with g as (select event_type as mechanism, 'k' || (event_id % 6) as signature, count(*) as count, count(distinct user_id) as tasks from events where value > 80 group by 1, 2)
-select *, 'c_' || lpad((row_number() over (order by count desc, mechanism, signature) - 1)::varchar, 3, '0') as id from g
+with g as (select event_type as mechanism, 'k' || (event_id % 997) as signature, count(*) as count, count(distinct user_id) as tasks from events where value > 80 group by 1, 2)
+select *, printf('c_%03d', row_number() over (order by count desc, mechanism, signature) - 1) as id from g
 """)
 def cluster_level1(t: Tables) -> DataFrame:
-    d = t.events.select(F.col("user_id").alias("task_id"), F.col("event_type").alias("mechanism"), F.concat(F.lit("k"), (F.col("event_id") % 6).cast("string")).alias("signature"), F.when(F.col("value") > 80, "db_only").otherwise("pass").alias("failure_type"))
+    d = t.events.select(F.col("user_id").alias("task_id"), F.col("event_type").alias("mechanism"), F.concat(F.lit("k"), (F.col("event_id") % 997).cast("string")).alias("signature"), F.when(F.col("value") > 80, "db_only").otherwise("pass").alias("failure_type"))
     return C.level1(d)
 
 

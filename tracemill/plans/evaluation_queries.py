@@ -134,11 +134,9 @@ def latent_space(t: Tables) -> DataFrame:
 @query()
 def cluster_sweep(t: Tables) -> DataFrame:
     """Thresholds by structure, and the best sane one."""
-    grid = None
-    for threshold in (0.3, 0.5, 0.7, 0.9):
-        c = C.cluster_groups(t.embeddings, "vec_id", "embedding", "label", threshold).withColumn("c", F.concat_ws(":", "label", "cluster"))
-        row = C.structure(c, "c").withColumn("distance", F.lit(threshold)).withColumn("score", -F.abs(F.col("mean_size") - 5.0))
-        grid = row if grid is None else grid.unionByName(row)
+    cuts = C.cluster_groups(t.embeddings, "vec_id", "embedding", "label", (0.3, 0.5, 0.7, 0.9))
+    sizes = cuts.groupBy(F.col("threshold").alias("distance"), "label", "cluster").agg(F.count("*").alias("n"))
+    grid = C.structure_of_sizes(sizes, "distance").withColumn("score", -F.abs(F.col("mean_size") - 5.0))
     return C.best_setting(grid, "score")
 
 

@@ -255,7 +255,7 @@ select o_orderkey, exists (select 1 from lineitem where l_orderkey = o_orderkey
 def exists_match(t: Tables) -> DataFrame:
     gold = t.orders.select("o_orderkey")
     calls = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_returnflag")
-    return J.exists_match(gold, calls, "o_orderkey", (F.col("b.l_quantity") >= 45) & (F.col("b.l_returnflag") == "R")).select("o_orderkey", "matched")
+    return J.exists_match(gold, calls, "o_orderkey", "b.l_quantity >= 45 and b.l_returnflag = 'R'").select("o_orderkey", "matched")
 
 
 @query("""

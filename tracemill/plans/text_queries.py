@@ -19,9 +19,14 @@ def content_hash(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5("text").alias("content_md5"), F.sha2("text", 256).alias("content_sha256"), X.deterministic_id(F.col("doc_id").cast("string")).alias("short_id"))
 
 
-@query("select sha256(string_agg(item_id || ':' || md5(text), '|' order by item_id || ':' || md5(text))) as corpus_sha256 from benchmark")
+@query("""
+with i as (select ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 4096 as b, doc_id || ':' || md5(coalesce(text, '')) as i from documents),
+h as (select b, sha256(string_agg(i, '|' order by i)) as h from i group by 1)
+select sha256(string_agg(h, '|' order by b)) as corpus_sha256 from h
+""")
 def corpus_hash(t: Tables) -> DataFrame:
-    return R.corpus_hash(t.benchmark, "item_id", "text")
+    """One hash of all documents, by way of buckets."""
+    return R.corpus_hash(t.documents, "doc_id", "text")
 
 
 @query(r"""
@@ -248,6 +253,11 @@ def loss_model(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "id long, r_rate double, p_rate double, bad_share double")
 
 
-@query("select string_agg('# ' || item_id || chr(10) || text, chr(10) || chr(10) order by item_id) as knowledge_base from benchmark")
+@query("""
+with d as (select doc_id, '# ' || doc_id || chr(10) || text as t from documents where text is not null),
+r as (select *, sum(length(t)) over (order by doc_id, t rows unbounded preceding) as z from d)
+select ((z - length(t)) // 1000000)::bigint as part, string_agg(t, chr(10) || chr(10) order by z) as knowledge_base from r group by 1
+""")
 def knowledge_base_text(t: Tables) -> DataFrame:
-    return R.full_text(t.benchmark.withColumn("title", F.col("item_id").cast("string")), "item_id", "title", "text")
+    """All documents as one text, in parts of a million characters."""
+    return R.full_text(t.documents.withColumn("title", F.col("doc_id").cast("string")), "doc_id", "title", "text", 1_000_000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "tracemill", **conf: str) -> SparkSession:
@@ -28,12 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder; without one, a local session gets a folder of its own and a cluster an error."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder; without one, a local session gets a folder of its own and a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         told = spark.conf.get("spark.checkpoint.dir", None)
         if not told and not sc.master.startswith("local"):
             raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="tracemill-ck-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
