@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import pii, quality_rules, ranked_search, whitening
+from tracemill.llm import decontaminate, pii, quality_rules, ranked_search, simhash, whitening
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -219,3 +219,48 @@ def test_verdicts(spark, data):
 
 def test_rules_of_nothing(spark):
     assert not quality_rules.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).collect()
+
+
+# --- decontamination in bands, nodes of wide fingerprints ---------------------------------
+
+
+def test_windows_together_are_like_one_by_one():
+    rng = random.Random(8)
+    for _ in range(60):
+        m = rng.randint(12, 200)
+        pattern = "".join(rng.choices("abcd é", k=m))
+        k = m // 12
+        text = "".join(rng.choices("abcd éx", k=150))
+        spoiled = list(pattern)
+        for _ in range(rng.randint(0, k + 1)):
+            spoiled[rng.randrange(m)] = rng.choice("abcx")
+        text += "".join(spoiled) + "".join(rng.choices("abcd éx", k=90))
+        symbols = decontaminate.Symbols([pattern])
+        length = m + 4 * k + 8
+        starts = sorted(rng.sample(range(-k, len(text)), 30)) + [150 - k]
+        one = [(d, max(0, s) + e) for s in starts for d, e in [decontaminate.myers(pattern, text[max(0, s) : max(0, s + length)], k) or (k + 1, 0)] if d <= k]
+        assert decontaminate.myers_windows(symbols.bits(pattern), symbols.of(text), np.array(starts), length, m, k) == (min(one) if one else None)
+
+
+def test_repetitive_texts_are_verified_in_time():
+    rng = random.Random(1)
+    common = "the of and to a in is that it for was on with as be by this are at from".split()
+    items = [(k, " ".join(rng.choices(common, k=rng.randint(5, 9))), 1) for k in range(200)]
+    text = " ".join(rng.choices(common, k=11_000))
+    matcher = decontaminate.Matcher(items)
+    began = time.process_time()
+    found = {i: d for i, d, _ in matcher.find(text)}
+    assert time.process_time() - began < 2
+    whole = f" {decontaminate.normalise(text)} "
+    for i, t, _ in items[:40]:
+        hit = decontaminate.myers(t, whole, len(t) // 12) if len(t) >= 12 else None
+        assert len(t) < 12 or found.get(i) == (hit[0] if hit else None)
+
+
+def test_nodes_are_told_apart_by_all_their_bits(spark):
+    d = spark.createDataFrame([(1, 5, 7, 7, 0), (2, 6, 7, 7, -1), (3, 8, 7, 7, 0)], "id long, fp long, index long, five long, check long")
+    links = {(r.a, r.b) for r in simhash.fingerprint_links(d, simhash.WIDE_RADIUS, simhash.WIDE_SEGMENTS, simhash.CHECK_RADIUS).collect()}
+    assert links == {(5, 8)}
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "")], "id long, t string")
+    rows = {r.id: r for r in simhash.wide_fingerprints(texts, F.col("t"), id=F.col("id")).collect()}
+    assert rows[1].fp == rows[2].fp != rows[3].fp and rows[3].five == 0

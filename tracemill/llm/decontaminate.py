@@ -5,8 +5,10 @@ after both are lower-cased and reduced to words joined by single spaces; k is
 one edit for every ``CHARS_PER_EDIT`` characters of the item. An item is split
 into k + 1 pieces, so k edits leave at least one piece intact: an Aho-Corasick
 automaton finds every exact piece hit, and Myers' bit-parallel algorithm
-verifies the window around it. Windows of one item that overlap are joined and
-verified once. An item too short for any edit must occur as whole words.
+verifies the window around it. Hits whose places differ by few characters share a
+band, whose window is hardly longer than the item; the many bands of an item in a
+repetitive text are verified all at once, a step for each place in the window. An
+item too short for any edit must occur as whole words.
 
 Documents are read whole, by an automaton in each task, so nothing is shuffled.
 Different items go to the tasks in blocks of about ``BLOCK_CHARS`` characters (a
@@ -27,6 +29,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -37,6 +40,8 @@ from tracemill.llm.common import map_batches, shape
 
 CHARS_PER_EDIT = 12
 BLOCK_CHARS = 4_000_000
+#: Characters of an item's windows from which they are verified all at once, and windows that are.
+MANY, TOGETHER = 2_000, 8_192
 _WORDS = re.compile(r"\w+")
 
 
@@ -79,6 +84,77 @@ def bits(pattern: str) -> dict[str, int]:
     return dict(peq)
 
 
+def bands(diagonals: list[int], k: int) -> list[int]:
+    """Where each band begins; a band holds the diagonals up to 2k + 8 after its first one."""
+    out, last = [], None
+    for d in sorted(diagonals):
+        if last is None or d > last + 2 * k + 8:
+            out.append(d)
+            last = d
+    return out
+
+
+class Symbols:
+    """Characters of all items as small numbers, one more for any other."""
+
+    def __init__(self, texts: list[str]):
+        self.known = np.array(sorted({ord(c) for t in texts for c in set(t)}), np.uint32)
+
+    def of(self, text: str) -> np.ndarray:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.minimum(np.searchsorted(self.known, code), max(0, len(self.known) - 1))
+        return np.where(self.known[at] == code, at, len(self.known)) if len(self.known) else np.zeros(len(code), int)
+
+    def bits(self, pattern: str) -> np.ndarray:
+        """For each symbol the bit set of its places, 64 a column."""
+        table = np.zeros((len(self.known) + 1, -(-len(pattern) // 64)), np.uint64)
+        for i, c in enumerate(self.of(pattern)):
+            table[c, i // 64] |= np.uint64(1 << (i % 64))
+        return table
+
+
+def myers_windows(table: np.ndarray, symbols: np.ndarray, starts: np.ndarray, length: int, m: int, k: int) -> tuple[int, int] | None:
+    """(distance, end) of the best occurrence with at most k edits in any of the windows of one length, the first of equals: a step of all windows at a time."""
+    one, shift = np.uint64(1), np.uint64(63)
+    words = table.shape[1]
+    top = np.uint64((m - 1) % 64)
+    best = None
+    for at in range(0, len(starts), TOGETHER):
+        begin = starts[at : at + TOGETHER]
+        n = len(begin)
+        pv = [np.full(n, ~np.uint64(0)) for _ in range(words)]
+        mv = [np.zeros(n, np.uint64) for _ in range(words)]
+        score, least, end = np.full(n, m), np.full(n, k + 1), np.zeros(n, np.int64)
+        for j in range(length):
+            place = begin + j
+            inside = (place >= 0) & (place < len(symbols))
+            symbol = np.where(inside, symbols[np.clip(place, 0, len(symbols) - 1)], len(table) - 1)
+            carry = np.zeros(n, np.uint64)
+            ph_in = mh_in = np.zeros(n, np.uint64)
+            for w in range(words):
+                eq = table[symbol, w]
+                xv = eq | mv[w]
+                part = eq & pv[w]
+                total = part + pv[w]
+                over = total < part
+                total = total + carry
+                carry = (over | (total < carry)).astype(np.uint64)
+                xh = (total ^ pv[w]) | eq
+                ph, mh = mv[w] | ~(xh | pv[w]), pv[w] & xh
+                if w == words - 1:
+                    score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+                ph_out, mh_out = ph >> shift, mh >> shift
+                ph, mh = (ph << one) | ph_in, (mh << one) | mh_in
+                ph_in, mh_in = ph_out, mh_out
+                pv[w], mv[w] = mh | ~(xv | ph), ph & xv
+            better = inside & (score < least)
+            least[better], end[better] = score[better], place[better] + 1
+        hit = np.lexsort((end, least))[0]
+        if least[hit] <= k and (best is None or (least[hit], end[hit]) < best):
+            best = (int(least[hit]), int(end[hit]))
+    return best
+
+
 class Matcher:
     """Finds the items of one block, (id, text, copies) each, in normalised documents."""
 
@@ -86,6 +162,8 @@ class Matcher:
         self.items = [(i, t, len(t) // chars_per_edit) for i, t in ((i, normalise(t)) for i, t, *_ in items) if t]
         self.copies = [n[0] if n else 1 for i, t, *n in items if normalise(t)]
         self.peq = [bits(t) for _, t, _ in self.items]
+        self.symbols = Symbols([t for _, t, _ in self.items])
+        self.tables: dict[int, np.ndarray] = {}
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, text, k) in enumerate(self.items):
             if not k:
@@ -109,30 +187,30 @@ class Matcher:
         for end, (size, at) in self.automaton.iter(text):
             for n, offset in at:
                 starts[n].append(end + 1 - size - offset)
-        found = []
+        found, symbols = [], None
         for n, diagonals in starts.items():
             item, pattern, k = self.items[n]
             if not k:
                 found += [(item, 0, diagonals[0] + len(pattern))] * self.copies[n]
             else:
                 best = None
-                diagonals.sort()
-                lo = diagonals[0]
-                hi = lo
-                windows = []
-                for d in diagonals[1:]:
-                    if d - k > hi + len(pattern) + k:
-                        windows.append((lo, hi))
-                        lo = d
-                    hi = d
-                windows.append((lo, hi))
-                for a, b in windows:
-                    a, b = max(0, a - k), b + len(pattern) + k
-                    hit = myers(pattern, text[a:b], k, self.peq[n])
-                    if hit and (best is None or hit[0] < best[0]):
-                        best = (hit[0], a + hit[1] - 1)
+                begin = bands(diagonals, k)
+                length = len(pattern) + 4 * k + 8
+                if len(begin) * length > MANY and len(begin) > 1:
+                    symbols = self.symbols.of(text) if symbols is None else symbols
+                    if n not in self.tables:
+                        self.tables[n] = self.symbols.bits(pattern)
+                    best = myers_windows(self.tables[n], symbols, np.array(begin) - k, length, len(pattern), k)
+                else:
+                    for d in begin:
+                        a = max(0, d - k)
+                        hit = myers(pattern, text[a : d - k + length], k, self.peq[n])
+                        if hit and (best is None or hit[0] < best[0]):
+                            best = (hit[0], a + hit[1])
+                        if best and not best[0]:
+                            break
                 if best:
-                    found += [(item, *best)] * self.copies[n]
+                    found += [(item, best[0], best[1] - 1)] * self.copies[n]
             if first and found:
                 break
         return found

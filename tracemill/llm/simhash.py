@@ -125,18 +125,17 @@ def wide_fingerprint(text: bytes | None, known: WordHashes | None = None) -> tup
 
 
 def wide_fingerprints(df: DataFrame, text: Column, /, **keep: Column) -> DataFrame:
-    """Columns ``keep`` and ``fp`` (which names the node), ``index`` and ``check``."""
+    """Columns ``keep`` and ``index``, ``five`` and ``check``, and ``fp``, a hash of the three that names the node: what differs in any is told apart."""
 
     def start():
         def step(texts: pa.Array) -> list[pa.Array]:
             known = WordHashes()
-            index, fp, check = zip(*[wide_fingerprint(x, known) for x in texts.to_pylist()])
-            return [pa.array(x, pa.int64()) for x in (fp, index, check)]
+            return [pa.array(x, pa.int64()) for x in zip(*[wide_fingerprint(x, known) for x in texts.to_pylist()])]
 
         return step
 
-    new = [T.StructField(n, T.LongType()) for n in ("fp", "index", "check")]
-    return add_columns(df, keep, [text.cast("string").cast("binary")], new, start)
+    new = [T.StructField(n, T.LongType()) for n in ("index", "five", "check")]
+    return add_columns(df, keep, [text.cast("string").cast("binary")], new, start).withColumn("fp", F.xxhash64("index", "five", "check"))
 
 
 def segment_widths(segments: int) -> list[tuple[int, int]]:
@@ -229,8 +228,8 @@ def _verify(radius: int, check: int, segments: int, names: list[str]):
 
     def links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-        node = batch.column(names[0]).to_numpy()
-        fields = [batch.column(c).to_numpy().view(np.uint64) for c in (["index", *names] if len(names) > 1 else names)]
+        node = batch.column("fp").to_numpy()
+        fields = [batch.column(c).to_numpy().view(np.uint64) for c in names]
         starts = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
         sizes = np.diff(np.append(starts, len(key)))
         end = np.repeat(starts + sizes, sizes)
@@ -288,20 +287,17 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGM
     """``a, b`` (a < b) of distinct nodes of ``fps`` (column ``fp``) that differ in at most ``radius`` bits.
 
     Each link comes once, but under crowded keys, where a spanning forest stands
-    for the links. With ``check``, the columns ``index`` (looked up, ``radius``) and
-    ``check`` (with ``fp``, at most ``check`` of 128 bits) belong to a node too.
+    for the links. With ``check``, a node has the columns ``index`` (looked up,
+    ``radius``), ``five`` and ``check`` (together at most ``check`` of 128 bits).
     """
     if not 1 <= segments <= 4 or check is None and not 0 <= radius < 3 * segments:
         raise ValueError("the index answers radii below three times its segments")
-    names = ["fp"] if check is None else ["fp", "check"]
-    if check is None:
-        nodes = fps.select("fp").distinct().select("fp", F.col("fp").alias("index"))
-    else:
-        nodes = fps.groupBy("fp").agg(F.min(F.struct("index", "check")).alias("x")).select("fp", "x.index", "x.check")
+    names = ["fp"] if check is None else ["index", "five", "check"]
+    nodes = fps.select("fp").distinct().select("fp", F.col("fp").alias("index")) if check is None else fps.select("fp", *names).dropDuplicates(["fp"])
     # Entries are many more than nodes, so they are made by more tasks than the nodes need.
     nodes = cut(nodes.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     values = F.array(*[_value(F.col("index"), n, a, w) for n, (a, w) in enumerate(segment_widths(segments))])
-    carried = names if check is None else ["index", *names]
+    carried = names if check is None else ["fp", *names]
     entries = nodes.select(*carried, values.alias("values")).select(*carried, F.explode(_balls(F.col("values"), segments)).alias("key"))
     zero = F.lit(0).cast("int")
     crowd = cut(_crowded(nodes, segments))
