@@ -107,3 +107,31 @@ def test_policy_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     want = sorted(map(tuple, S.decisions(spark.createDataFrame(rows, schema), p).collect()))
     assert got == want
+
+
+def test_commit_log(spark, tmp_path):
+    from tracemill.streaming.commitlog import COMPACT, CommitLog
+
+    log = CommitLog(spark, str(tmp_path / "t"), ["k", "j"])
+    rows = lambda a, b: spark.range(a, b).select(F.col("id").alias("k"), F.lit(1).alias("j"), F.lit("x").alias("v"))
+    log.write(rows(0, 10), "w", 0)
+    # A batch that is repeated after its commit, and one whose writer was lost between data and commit.
+    assert log.write(rows(0, 10), "w", 0) is None
+    rows(10, 20).write.parquet(f"{log.path}/data/000000000001-lost")
+    assert log.read(rows(0, 1).schema).count() == 10
+    log.write(rows(10, 20), "w", 1)
+    assert sorted(r.k for r in log.read(rows(0, 1).schema).collect()) == list(range(20))
+    # Another stream with the same rows adds nothing; its batch ids are its own.
+    log.write(rows(5, 25), "other", 0)
+    assert sorted(r.k for r in log.read(rows(0, 1).schema).collect()) == list(range(25))
+    # Keys that grow are held against no older folder, however many there are; the log is read from few files.
+    for n in range(2, COMPACT + 5):
+        log.write(rows(100 * n, 100 * n + 2), "w", n)
+    entries = log.entries()
+    assert len(entries) == COMPACT + 6 and all(e["compared"] == 0 for e in entries[3:]) and entries[2]["compared"] == 2
+    assert log.read(rows(0, 1).schema).count() == 25 + 2 * (COMPACT + 3)
+    assert log.write(rows(0, 0), "w", 999) is None and len(log.entries()) == COMPACT + 7
+    nulls = spark.createDataFrame([(None, 1, "a"), (None, 1, "b")], "k long, j int, v string")
+    log.write(nulls, "w", 1000)
+    log.write(nulls, "w", 1001)
+    assert log.read(nulls.schema).where("k is null").count() == 1

@@ -10,8 +10,10 @@ from tracemill.operators import joins as J
 from tracemill.operators import ordered as O
 from tracemill.plans.registry import Tables, long, query
 from tracemill.session import scratch
+from tracemill.streaming import stateful as ST
 from tracemill.streaming import streams as S
 from tracemill.streaming import ticks as K
+from tracemill.streaming.commitlog import CommitLog
 
 
 def _folder(t: Tables) -> str:
@@ -55,11 +57,80 @@ def stream_dedupe(t: Tables) -> DataFrame:
 
 @query("select event_id, user_id from events")
 def stream_checkpoint(t: Tables) -> DataFrame:
-    """The same stream run twice into one table: the second run adds nothing."""
+    """The same stream run twice into one table with a commit log: the second run adds nothing."""
     out = _folder(t)
+    d = _stream(t).select("event_id", "user_id")
+    log = CommitLog(t.spark, out, ["event_id"])
     for n in (1, 2):
-        S.run_available(_stream(t).select("event_id", "user_id"), S.idempotent_append(f"{out}/rows", ["event_id"]), None, f"{out}/state{n}")
-    return t.spark.read.parquet(f"{out}/rows")
+        S.run_available(d, log.sink(f"run{n}"), None, f"{out}/state{n}")
+    return log.read(d.schema)
+
+
+def _in_thirds(t: Tables, make) -> DataFrame:
+    """What ``make`` does to a stream of the events that come in three batches of a third of the time, each run a start of its own from the same checkpoint."""
+    out = _folder(t)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = t.events.agg(F.min(us), F.max(us)).first()
+    for n in range(3):
+        t.events.where(F.floor((us - lo) * 3 / (hi - lo + 1)) == n).write.mode("append").parquet(f"{out}/in")
+        rows = make(t.spark.readStream.schema(t.events.schema).parquet(f"{out}/in"))
+        with ST.rocksdb(t.spark):
+            S.run_available(rows, None, f"{out}/rows", f"{out}/state")
+    return t.spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+@query("""
+with x as (select user_id, event_id, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as b from events),
+s as (select *, sum(case when us - b > 21600000000 then 1 else 0 end) over (partition by user_id order by us, event_id rows unbounded preceding) as seg from x),
+r as (select *, (row_number() over (partition by user_id, seg order by us, event_id) - 1) // 4 as chunk from s),
+g as (select user_id, seg, chunk, min(us) as first_us, max(us) as last_us, count(*) as steps from r group by 1, 2, 3),
+l as (select *, max(seg) over (partition by user_id) as last_seg from g)
+select user_id, first_us, last_us, steps, case when steps = 4 then 'max_steps' else 'timeout' end as reason from l
+where steps = 4 or seg < last_seg or last_us + 21600000000 <= (select max(epoch_us(ts)) - 600000000 from events)
+""")
+def stream_ends(t: Tables) -> DataFrame:
+    """Conversations that end with their fourth step, or when six hours pass without one: timers on event time, in three starts from one checkpoint."""
+    return _in_thirds(t, lambda d: ST.ends(d, "user_id", "ts", "event_id", 21_600, 4, "10 minutes"))
+
+
+@query("""
+with x as (select user_id as conv_id, event_id, ts, floor(value * 3)::bigint as bytes from events),
+w as (select *, sum(bytes - 160) over (partition by conv_id order by ts, event_id rows unbounded preceding) as walk from x),
+m as (select *, walk - least(0, min(walk) over (partition by conv_id order by ts, event_id rows unbounded preceding)) as waiting from w)
+select conv_id, event_id, waiting::bigint as waiting, (coalesce(lag(waiting) over (partition by conv_id order by ts, event_id), 0) + bytes - waiting)::bigint as played from m
+""")
+def stream_carry_over(t: Tables) -> DataFrame:
+    """Audio that waits for later ticks, its amount kept as state over three starts."""
+    own = lambda d: d.select(F.col("user_id").alias("conv_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 3).cast("long").alias("bytes"))
+    return _in_thirds(t, lambda d: ST.carry_over(own(d), "conv_id", ["ts", "event_id"], 160)).select("conv_id", "event_id", "waiting", "played")
+
+
+@query("""
+with x as (select user_id as conv_id, event_id, event_type, count(*) filter (where event_type <> 'error') over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as before, row_number() over (partition by user_id order by ts, event_id) as n from events),
+q as (select conv_id, before, string_agg(event_id::varchar, ',' order by n) as results from x where event_type = 'error' group by 1, 2)
+select x.conv_id, x.event_id as tick, lag(x.event_type) over (partition by x.conv_id order by n) as seen, coalesce(q.results, '') as results from x left join q using (conv_id, before) where event_type <> 'error'
+""")
+def stream_tick_views(t: Tables) -> DataFrame:
+    """What each tick sees of the one before, and the results of tools that came since, over three starts."""
+    text = F.col("event_id").cast("string")
+    own = lambda d: d.select(F.col("user_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("chunk"), F.when(F.col("event_type") == "error", text).alias("result"))
+    return _in_thirds(t, lambda d: ST.tick_views(own(d), "conv_id", ["ts", "tick"])).withColumn("results", F.array_join("results", ","))
+
+
+@query("""
+with e as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as n, epoch_us(ts) as us from events)
+select a.user_id as run_id, 'noise' as effect, 'user' as who, a.us as start, b.us as "end" from e a join e b on a.user_id = b.user_id and b.n = case a.n % 9 when 1 then a.n + 3 when 2 then a.n + 1 when 5 then a.n + 3 when 6 then a.n + 2 when 7 then a.n + 1 end where a.n % 9 in (1, 2, 5, 6, 7)
+""")
+def stream_interval_log(t: Tables) -> DataFrame:
+    """Opens and closes of a log as a stream, what is open kept as a list over three starts: two open and close, three open and all close, one closes nothing."""
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    kind = F.when((F.col("n") % 9).isin(1, 2, 5, 6, 7), "open").when(F.col("n") % 9 == 8, "close_all").otherwise("close")
+    numbered = t.events.withColumn("n", n).select("event_id", kind.alias("event"))
+    path = scratch(t.spark, "log")
+    numbered.write.parquet(path)
+    kinds = t.spark.read.parquet(path)
+    own = lambda d: d.join(kinds, "event_id").select(F.col("user_id").alias("run_id"), F.lit("noise").alias("effect"), F.lit("user").alias("who"), "event", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
+    return _in_thirds(t, lambda d: ST.interval_log(own(d), "run_id"))
 
 
 @query("select user_id, epoch_us(time_bucket(interval 1 day, ts)) as start_us, count(*) as events from events group by 1, 2")
