@@ -54,6 +54,13 @@ def gilbert_elliott(loss: float, burst_ms: float, bad_loss: float = BAD_LOSS) ->
     return {"r_rate": r, "p_rate": p, "bad_share": p / (p + r)}
 
 
+def loss_rates(loss: Column, burst_ms: Column, bad_loss: float = BAD_LOSS) -> Column:
+    """:func:`gilbert_elliott` of columns, as a struct; a loss that the bad state can't make has no rate into it."""
+    fits = (loss >= 0) & (loss < bad_loss)
+    r = F.try_divide(F.lit(1000.0), F.when(burst_ms > 0, burst_ms))
+    return F.struct(r.alias("r_rate"), F.when(fits, r * loss / (F.lit(bad_loss) - loss)).alias("p_rate"), F.when(fits, loss / bad_loss).alias("bad_share"))
+
+
 def loss_chain(n: int, loss: float, burst_ms: float, seed: int, packet_s: float = 0.02, good_loss: float = 0.0, bad_loss: float = BAD_LOSS) -> list[bool]:
     """Whether each of n packets is lost: the chain itself, for one stream."""
     m, rng, bad, out = gilbert_elliott(loss, burst_ms, bad_loss), np.random.default_rng(seed), False, []

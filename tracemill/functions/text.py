@@ -103,11 +103,6 @@ def json_in(c: Column) -> Column:
     return F.coalesce(ok(fenced), ok(bare))
 
 
-def canonical_hash(entries: Column) -> Column:
-    """SHA-256 of a map with sorted keys; equal within this engine only."""
-    return F.sha2(F.to_json(F.array_sort(F.map_entries(entries))), 256)
-
-
 def deterministic_id(seed: Column, n: int = 12) -> Column:
     return F.substring(F.sha2(seed, 256), 1, n)
 

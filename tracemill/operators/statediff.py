@@ -15,6 +15,8 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from tracemill.session import cut
 from pyspark.sql import types as T
 
 _ROWS = T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.StringType())), T.StructField("value", T.StringType())]))
@@ -114,15 +116,17 @@ def kind_rows(columns: Sequence[str], initial: DataFrame, gold: DataFrame, predi
     return d.select(key, "field", kind_of(F.col("i"), F.col("g"), F.col("p")).alias("kind"))
 
 
-def replay(calls: DataFrame, initial: DataFrame, key: str, reducer: Callable[[dict, str, dict], object], mutating: Sequence[str], state: str = "state") -> DataFrame:
+def replay(calls: DataFrame, initial: DataFrame, key: str, reducer: Callable[[dict, str, dict], object], mutating: Sequence[str], state: str = "state", isolate: bool = False) -> DataFrame:
     """The state of each key after its calls: only mutating ones are applied, in order.
 
     ``calls``: key, pos, name, arguments (JSON), response (JSON or null);
     ``initial``: key, state (JSON). ``reducer`` changes the state in place and
     returns the call's response; a recorded response that differs raises. A
     trajectory is the unit of the fold; calls that don't mutate never get here.
+    With ``isolate`` a failure stays with its key: its state is null, ``applied``
+    counts the calls before it and ``reason`` says what was wrong.
     """
-    schema = f"{key} {dict(initial.dtypes)[key]}, {state} string, applied long"
+    schema = f"{key} {dict(initial.dtypes)[key]}, {state} string, applied long" + ", reason string" * isolate
     live = calls.where(F.col("name").isin(*mutating)).select(key, "pos", "name", "arguments", "response")
     d = initial.select(key, F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("string").alias("response"), state)
     d = d.unionByName(live.withColumn(state, F.lit(None).cast("string")).withColumn("pos", F.col("pos").cast("long")))
@@ -130,19 +134,42 @@ def replay(calls: DataFrame, initial: DataFrame, key: str, reducer: Callable[[di
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
         start = frame[frame["name"].isna()]
+        columns = [key, state, "applied", *["reason"] * isolate]
         if start.empty:
-            return pd.DataFrame({key: [], state: [], "applied": []})
-        now, n = json.loads(start[state].iloc[0]), 0
-        for name, args, response in frame[frame["name"].notna()][["name", "arguments", "response"]].itertuples(index=False):
-            got = reducer(now, name, json.loads(args or "{}"))
-            n += 1
-            if response is not None and json.loads(response) != got:
-                raise ValueError(f"replayed response of {name} differs")
-        return pd.DataFrame({key: [start[key].iloc[0]], state: [json.dumps(now, sort_keys=True)], "applied": [n]})
+            return pd.DataFrame({c: [] for c in columns})
+        n, reason, after = 0, None, None
+        try:
+            now = json.loads(start[state].iloc[0])
+            for name, args, response in frame[frame["name"].notna()][["name", "arguments", "response"]].itertuples(index=False):
+                got = reducer(now, name, json.loads(args or "{}"))
+                if response is not None and json.loads(response) != got:
+                    raise ValueError(f"replayed response of {name} differs")
+                n += 1
+            after = json.dumps(now, sort_keys=True)
+        except Exception as e:
+            if not isolate:
+                raise
+            reason = f"{type(e).__name__}: {e}"
+        return pd.DataFrame([(start[key].iloc[0], after, n, reason)[: len(columns)]], columns=columns)
 
     return d.groupBy(key).applyInPandas(fold, schema)
 
 
+def replay_and_diff(initial: DataFrame, gold: DataFrame, predicted: DataFrame, key: str, reducer: Callable[[dict, str, dict], object], mutating: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """``key, db_signature, db_kinds, reason``: both trajectories replayed from the initial state, and their three-way difference.
+
+    A trajectory that can't be replayed leaves its key without a signature and
+    gives the reason, the gold one's before the predicted one's; all others go on.
+    """
+    side = lambda calls, n: replay(calls, initial, key, reducer, mutating, isolate=True).select(key, F.col("state").alias(n), F.concat(F.lit(f"{n}: "), "reason").alias(f"{n}_reason"))
+    d = initial.select(key, F.col("state").alias("initial")).join(side(gold, "gold"), key, "left").join(side(predicted, "predicted"), key, "left")
+    # Both folds are read by the difference and by the reasons.
+    d = cut(d)
+    whole = d.where("gold is not null and predicted is not null")
+    signed = signatures(three_way(whole, key, "initial", "gold", "predicted"), whole, key, fields)
+    return d.select(key, F.coalesce("gold_reason", "predicted_reason").alias("reason")).join(signed, key, "left").select(key, "db_signature", "db_kinds", "reason")
+
+
 def end_states_equal(a: DataFrame, b: DataFrame, key: str, states: Sequence[str]) -> DataFrame:
     """Whether all named states agree, by the hash of their canonical text."""
     h = lambda d, n: d.select(key, *[F.sha2(F.col(s), 256).alias(f"{n}_{s}") for s in states])

@@ -165,6 +165,12 @@ def tool_errors(messages: DataFrame, run: str = "run_id") -> DataFrame:
     return d.groupBy(run).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("tool_errors"))
 
 
+def error_counts(messages: DataFrame, run: str = "run_id") -> DataFrame:
+    """``run, communication_errors, environment_errors``: messages of the parties, and of tools, that are errors."""
+    bad, tool = F.coalesce(F.col("error"), F.lit(False)), F.col("role") == "tool"
+    return messages.groupBy(run).agg(F.count_if(bad & ~tool).alias("communication_errors"), F.count_if(bad & tool).alias("environment_errors"))
+
+
 def features(runs: DataFrame, messages: DataFrame, writes: Sequence[str], auth: Sequence[str], diffs: DataFrame | None = None, run: str = "run_id", transfer: str = "transfer_to_human_agents") -> DataFrame:
     """One wide row a run: outcome, chains, flags, errors, signatures, mechanism and clustering text.
 

@@ -28,22 +28,27 @@ def text_round_trip(t: Tables) -> DataFrame:
     return S.load_file(t.spark, path).select(F.explode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line")).agg(F.count("*").alias("files"), long(F.sum(F.length("line"))).alias("n_chars"))
 
 
-@query("select n_nationkey as k, n_name as yaml_name, n_regionkey::varchar as toml_region from nation")
+@query("select s_suppkey as k, s_name as yaml_name, s_acctbal as yaml_balance, s_name as toml_name, s_nationkey::bigint as toml_nation from supplier")
 def yaml_and_toml(t: Tables) -> DataFrame:
-    """YAML and TOML documents as JSON text."""
-    k = F.col("n_nationkey").cast("string")
-    y = F.encode(F.concat(F.lit("key: "), k, F.lit("\nname: '"), F.col("n_name"), F.lit("'\n")), "utf-8")
-    m = F.encode(F.concat(F.lit("[a]\nregion = "), F.col("n_regionkey").cast("string"), F.lit("\n")), "utf-8")
-    d = t.nation.select("n_nationkey", S.parsed(F.lit("x.yaml"), y).alias("y"), S.parsed(F.lit("x.toml"), m).alias("m"))
-    return d.select(F.get_json_object("y", "$.key").cast("long").alias("k"), F.get_json_object("y", "$.name").alias("yaml_name"), F.get_json_object("m", "$.a.region").alias("toml_region"))
+    """Rows as YAML and TOML files, one a row, through the sink and the scan by suffix."""
+    path = scratch(t.spark, "documents")
+    rows = t.supplier.select(F.col("s_suppkey").alias("key"), F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.array("s_nationkey").alias("nations")).alias("who"))
+    S.dump_file(rows, f"{path}.yaml")
+    S.dump_file(rows, f"{path}.toml")
+    read = lambda s: S.load_file(t.spark, f"{path}.{s}").select(F.from_json("json", rows.schema).alias(s))
+    d = read("yaml").join(read("toml"), F.col("yaml.key") == F.col("toml.key"))
+    return d.select(F.col("yaml.key").alias("k"), F.col("yaml.who.name").alias("yaml_name"), F.col("yaml.who.balance").alias("yaml_balance"), F.col("toml.who.name").alias("toml_name"), long(F.get("toml.who.nations", F.lit(0))).alias("toml_nation"))
 
 
-@query("select 'nation' as name union all values ('part'), ('region')")
+@query("select 'orders' as name, count(*) as rows from orders union all select 'customer', count(*) from customer union all select 'supplier', count(*) from supplier")
 def path_expansion(t: Tables) -> DataFrame:
-    """Files, globs and folders in one sorted list, each file once."""
-    found = S.expand_paths(t.spark, [f"{t.folder}/region.parquet", f"{t.folder}/na*.parquet", f"{t.folder}/part.parquet", f"{t.folder}/region.parquet"], ".parquet")
-    d = t.spark.createDataFrame([(x,) for x in found], "path string")
-    return d.select(F.regexp_extract("path", r"(\w+)\.parquet", 1).alias("name")).distinct()
+    """Files, globs and folders in one sorted list, each file once; then all their rows are read, by file."""
+    names = ("orders", "cust*", "supplier", "orders")
+    out = None
+    for path in S.expand_paths(t.spark, [f"{t.folder}/{n}.parquet" for n in names], ".parquet"):
+        one = t.spark.read.parquet(path).agg(F.count("*").alias("rows")).select(F.lit(path).alias("path"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(F.regexp_extract("path", r"/(\w+)\.parquet", 1).alias("name")).agg(long(F.sum("rows")).alias("rows"))
 
 
 _RUN = "id string, task_id string, trial int, reward double, termination_reason string, agent_cost double, duration double"

@@ -228,11 +228,11 @@ def probability_rules(t: Tables) -> DataFrame:
 
 
 @query("""
-select i::bigint as i, round((sin(i / 10.0 * 2 * pi() * 0.5) * 0.6 + sin(i / 10.0 * 2.3 * 2 * pi() * 0.5) * 0.3 + sin(i / 10.0 * 0.37 * 2 * pi() * 0.5) * 0.1) * 3 + 15, 6) as snr from range(1000) t(i)
+select event_id, round((sin(value * 2 * pi() * 0.5) * 0.6 + sin(value * 2.3 * 2 * pi() * 0.5) * 0.3 + sin(value * 0.37 * 2 * pi() * 0.5) * 0.1) * 3 + 15, 6) as snr from events
 """)
 def snr_envelope(t: Tables) -> DataFrame:
-    d = t.spark.range(1000).withColumnRenamed("id", "i")
-    return d.select("i", F.round(S.snr_envelope(F.col("i") / 10.0, 0.5, 15.0, 3.0, (0.6, 1.0), (0.3, 2.3), (0.1, 0.37)), 6).alias("snr"))
+    """The level of noise at the time of each event."""
+    return t.events.select("event_id", F.round(S.snr_envelope(F.col("value"), 0.5, 15.0, 3.0, (0.6, 1.0), (0.3, 2.3), (0.1, 0.37)), 6).alias("snr"))
 
 
 @query("""
@@ -246,11 +246,13 @@ def audio_levels(t: Tables) -> DataFrame:
 
 
 @query("""
-select l.k as id, round(1000 / (100.0 + 50 * k), 6)::double as r_rate, round(1000 / (100.0 + 50 * k) * (0.02 * (k + 1)) / (0.2 - 0.02 * (k + 1)), 6)::double as p_rate, round(0.02 * (k + 1) / 0.2, 6)::double as bad_share from range(5) l(k)
+with x as (select event_id, value::double / 600 as loss, 20.0::double + event_id % 500 as burst from events)
+select event_id, round(1000 / burst, 6) as r_rate, round(case when loss < 0.2 and loss >= 0 then 1000 / burst * loss / (0.2::double - loss) end, 6) as p_rate, round(case when loss < 0.2 and loss >= 0 then loss / 0.2::double end, 6) as bad_share from x
 """)
 def loss_model(t: Tables) -> DataFrame:
-    rows = [(k, *(round(m[x], 6) for x in ("r_rate", "p_rate", "bad_share"))) for k in range(5) for m in [S.gilbert_elliott(0.02 * (k + 1), 100.0 + 50 * k)]]
-    return t.spark.createDataFrame(rows, "id long, r_rate double, p_rate double, bad_share double")
+    """Rates of the two-state loss model, for a loss and a length of bursts a row."""
+    m = S.loss_rates(F.col("value") / 600, F.lit(20.0) + F.col("event_id") % 500)
+    return t.events.select("event_id", *[F.round(m[c], 6).alias(c) for c in ("r_rate", "p_rate", "bad_share")])
 
 
 @query("""

@@ -35,6 +35,36 @@ def parsed(path: pd.Series, content: pd.Series) -> pd.Series:
     return pd.Series([parse_document(p, bytes(c)) for p, c in zip(path, content)])
 
 
+def _toml(v: dict, name: str = "") -> str:
+    """A dictionary as TOML: plain values first, then tables by their full names; nulls have no place in it."""
+    import json
+
+    key = lambda k: k if k.replace("_", "").replace("-", "").isalnum() and k.isascii() else json.dumps(k)
+    lines = [f"{key(k)} = {json.dumps(x)}" for k, x in v.items() if x is not None and not isinstance(x, dict)]
+    for k, x in v.items():
+        if isinstance(x, dict):
+            whole = f"{name}.{key(k)}" if name else key(k)
+            lines += [f"[{whole}]", _toml(x, whole)]
+    return "\n".join(lines)
+
+
+def format_document(kind: str, row: str) -> str:
+    """A row's JSON as a YAML or TOML document."""
+    import json
+
+    if kind == ".toml":
+        return _toml(json.loads(row))
+    import yaml
+
+    return yaml.safe_dump(json.loads(row), allow_unicode=True, sort_keys=False)
+
+
+@F.pandas_udf(T.StringType())
+def formatted(kind: pd.Series, row: pd.Series) -> pd.Series:
+    """:func:`format_document` over whole batches of rows."""
+    return pd.Series([format_document(k, r) for k, r in zip(kind, row)])
+
+
 def suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
@@ -55,17 +85,20 @@ def load_file(spark: SparkSession, path: str, schema: T.StructType | str | None
     if s in TEXT:
         return spark.read.text(path, wholetext=True)
     if s in (".yaml", ".yml", ".toml"):
-        return spark.read.format("binaryFile").load(path).select("path", parsed("path", "content").alias("json"))
+        return spark.read.format("binaryFile").load(path).select("path", parsed(F.lit(s), "content").alias("json"))
     raise ValueError(f"unsupported file suffix: {s or path}")
 
 
 def dump_file(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write by suffix: JSON lines, or the one text column of a text file; YAML and TOML are not written in parts."""
+    """Write by suffix: JSON lines, the one text column of a text file, or YAML or TOML, a file a row."""
     s = suffix(path)
     if s == ".json":
         df.write.mode(mode).json(path)
     elif s in TEXT:
         df.select(F.concat_ws("", *df.columns)).write.mode(mode).text(path)
+    elif s in (".yaml", ".yml", ".toml"):
+        row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        df.select(formatted(F.lit(s), row).alias("value")).write.mode(mode).option("maxRecordsPerFile", 1).text(path)
     else:
         raise ValueError(f"unsupported file suffix: {s or path}")
 
