@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.operators.ordered import running_total
+from tracemill.session import cut
 
 #: Published defaults of Okapi BM25 with a floor for negative idf: k1, b, epsilon.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -24,24 +25,28 @@ def tokens(text: Column) -> Column:
 
 
 def bm25_index(docs: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
-    """Documents as words, their lengths, totals of the corpus and the idf of every term. A null text raises.
+    """Documents as words, their lengths, totals of the corpus and the document frequency of every term. A null text raises.
 
-    Document frequencies come from the distinct words of each document, so
-    counts combine before the shuffle and no (document, term) table is built.
+    One pass counts: each document gives its distinct words and one row for itself
+    with its length, so what is shuffled is a count a term and task. The counts are
+    written once.
     """
     body = F.coalesce(F.col(text), F.raise_error(F.lit("document without text")).cast("string"))
     t = docs.select(F.col(doc).alias("doc"), tokens(body).alias("ts"))
     lengths = t.select("doc", F.size("ts").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = t.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("ts").cast("long").alias("dl")))
+    words = F.transform(F.array_distinct("ts"), lambda w: F.struct(w.alias("term"), F.lit(0).cast("long").alias("dl")))
+    seen = cut(t.select(F.explode(F.concat(itself, words)).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl")))
+    corpus = seen.where("term is null").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    terms = seen.where("term is not null").select("term", "df")
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     # The mean over terms, from the few different document frequencies.
     mean = terms.groupBy("df").agg(F.count("*").alias("k")).crossJoin(F.broadcast(corpus)).agg((F.sum(F.col("k") * raw) / F.sum("k")).alias("mean"))
     return {"words": t, "lengths": lengths, "corpus": corpus, "terms": terms, "mean": mean}
 
 
-#: Different query terms that a broadcast may carry; more are joined by shuffle.
-MOST_TERMS = 1_000_000
+#: Different query terms that a broadcast may carry; more are joined by shuffle. So many stand in the plan and filter words before they become rows.
+MOST_TERMS, LISTED = 1_000_000, 20_000
 
 
 def bm25_scores(index: dict[str, DataFrame], queries: DataFrame, query: str, text: str) -> DataFrame:
@@ -49,15 +54,25 @@ def bm25_scores(index: dict[str, DataFrame], queries: DataFrame, query: str, tex
 
     Only words that some query has become postings.
     """
-    q = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
+    q = cut(queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf")))
     asked = q.select("term").distinct()
-    asked = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
+    n = asked.count()
+    small = lambda d: F.broadcast(d) if n <= MOST_TERMS else d
     totals = index["corpus"].crossJoin(F.broadcast(index["mean"]))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = index["terms"].join(asked, "term").crossJoin(F.broadcast(totals)).select("term", "avgdl", F.when(raw < 0, F.col("mean") * EPSILON).otherwise(raw).alias("idf"))
-    postings = index["words"].select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(asked, "term").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    idf = index["terms"].join(small(asked), "term").crossJoin(F.broadcast(totals)).select("term", "avgdl", F.when(raw < 0, F.col("mean") * EPSILON).otherwise(raw).alias("idf"))
+    words = index["words"].select("doc", F.size("ts").alias("dl"), "ts")
+    if n <= LISTED:
+        listed = [r.term for r in asked.collect()]
+        words = words.select("doc", "dl", F.explode(F.filter("ts", lambda w: w.isin(listed))).alias("term"))
+    else:
+        words = words.select("doc", "dl", F.explode("ts").alias("term")).join(small(asked), "term")
+    postings = words.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(idf, "term").join(q, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    weights = q.join(idf, "term")
+    weights = F.broadcast(weights) if q.count() <= MOST_TERMS else weights
+    # Rounded, as sums of the same parts in another order differ in their last digits, and equal documents would not tie.
+    return postings.join(weights, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query", ties: Column | None = None, rounding: int | None = None) -> DataFrame:
