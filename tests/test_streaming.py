@@ -92,17 +92,47 @@ def test_policy_rules():
     assert acts == ["wait", "wait", "wait", "generate_message", "keep_talking", "keep_talking", "stop_talking", "generate_message"]
 
 
+def acts(p, *ticks):
+    s = S.Policy.start()
+    return [p.step(s, *t[:3], **(t[3] if len(t) > 3 else {})) for t in ticks]
+
+
+def test_policy_signals():
+    own, both, heard, quiet = (True, False, False), (True, True, False), (False, True, False), (False, False, False)
+    p = S.Policy(yield_interrupted=2, yield_interrupting=4, wait_other=1, wait_self=1)
+    # An acknowledgement is not broken off, speech with a tool's result holds its ground longer.
+    assert acts(p, own, both, (*both, {"back": True}), both) == ["keep_talking", "keep_talking", "keep_talking", "stop_talking"]
+    assert acts(p, own, *[(*both, {"holds": True})] * 4) == ["keep_talking"] * 4 + ["stop_talking"]
+    # Without a limit for being interrupted nothing ends speech.
+    assert "stop_talking" not in acts(S.Policy(yield_interrupted=None, yield_interrupting=1), heard, *[both] * 9)
+    # Verdicts count at every third tick; breaking in comes before acknowledging, a tool before both.
+    q = S.Policy(check_every=3, wait_other=1, wait_self=1)
+    assert acts(q, *[(*heard, {"interrupts": True})] * 3) == ["wait", "wait", "generate_message"]
+    assert acts(q, heard, heard, (*heard, {"interrupts": True, "acknowledges": True}), heard, heard, (*heard, {"acknowledges": True})) == ["wait", "wait", "generate_message", "wait", "wait", "backchannel"]
+    assert acts(q, heard, heard, (False, True, True, {"interrupts": True})) == ["wait", "wait", "generate_message"]
+    # Chance decides between the least and the most ticks.
+    r = S.Policy(backchannel_min=2, backchannel_max=5, rate=2.0, tick_seconds=0.5)
+    assert acts(r, *[(*heard, {"draw": 0.99})] * 6) == ["wait"] * 4 + ["backchannel", "wait"]
+    assert acts(r, *[(*heard, {"draw": 0.5})] * 4) == ["wait", "backchannel", "wait", "backchannel"]
+    # Thresholds that vary, and overlap that is not answered.
+    v = S.Policy(wait_other=1, wait_self=1, variance=4)
+    assert acts(v, heard, *[(*quiet, {"draw": 0.4})] * 3) == ["wait", "wait", "wait", "generate_message"]
+    assert acts(v, heard, *[(*quiet, {"draw": 0.9})] * 5) == ["wait"] * 5 + ["generate_message"]
+    for discard, last in ((False, "generate_message"), (True, "wait")):
+        assert acts(S.Policy(wait_other=1, wait_self=1, discard_overlap=discard), own, both, own, quiet)[-1] == last
+
+
 def test_policy_stream_equals_batch(spark, tmp_path):
-    rows = [(c, t, (c * t) % 3 == 0, (t // 2 + c) % 2 == 0, t % 11 == 10) for c in range(6) for t in range(30)]
-    schema = "conv_id int, tick_id int, own boolean, other boolean, tool boolean"
+    rows = [(c, t, (c * t) % 3 == 0, (t // 2 + c) % 2 == 0, t % 11 == 10, t % 7 == 3, (c * 37 + t * 11) % 100 / 100) for c in range(6) for t in range(30)]
+    schema = "conv_id int, tick_id int, own boolean, other boolean, tool boolean, interrupts boolean, draw double"
     src = tmp_path / "in"
     src.mkdir()
     for n in range(3):
         part = [r for r in rows if r[1] // 10 == n]
-        (src / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("conv_id", "tick_id", "own", "other", "tool"), r))) for r in part))
+        (src / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("conv_id", "tick_id", "own", "other", "tool", "interrupts", "draw"), r))) for r in part))
         os.utime(src / f"{n}.json", (1_700_000_000 + 60 * n,) * 2)  # files are taken in order of time
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(src))
-    p = S.Policy(wait_self=2, backchannel_every=5)
+    p = S.Policy(wait_self=2, backchannel_min=2, backchannel_max=6, rate=3.0, tick_seconds=0.2, variance=2, check_every=2, discard_overlap=True)
     S.run_available(S.decision_stream(stream, p), None, str(tmp_path / "out"), str(tmp_path / "state"))
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     want = sorted(map(tuple, S.decisions(spark.createDataFrame(rows, schema), p).collect()))

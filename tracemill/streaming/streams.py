@@ -61,16 +61,61 @@ def idempotent_append(path: str, keys: Sequence[str]) -> Callable[[DataFrame, in
 ACTIONS = ("stop_talking", "keep_talking", "generate_message", "wait", "backchannel")
 
 
-class Policy:
-    """Thresholds of the turn-taking decisions, in ticks; None switches a rule off."""
+#: What else may be known of a tick, and what it is where a table lacks the column: the listener's verdicts to break in and to acknowledge,
+#: own speech that only acknowledges, own speech that brings a tool's result, and a number drawn from 0 to 1.
+SIGNALS = {"interrupts": False, "acknowledges": False, "back": False, "holds": False, "draw": 1.0}
+
 
-    def __init__(self, wait_other: int = 2, wait_self: int = 4, yield_interrupted: int | None = 2, yield_interrupting: int | None = 5, backchannel_every: int | None = None):
+class Policy:
+    """Thresholds of the turn-taking decisions, in ticks; None switches a rule off.
+
+    ``wait_other``, ``wait_self``: silence of both sides before an answer.
+    ``yield_interrupted``, ``yield_interrupting``: overlap that is borne where the
+    other side, or this one (also with a tool's result), broke in; without the
+    first no overlap ends speech. ``variance``: ticks over a threshold within which
+    chance decides. ``check_every``: ticks at which the listener's verdicts count.
+    Acknowledgements by chance come between ``backchannel_min`` and
+    ``backchannel_max`` ticks after the last, ``rate`` a second; ``backchannel_every``
+    is a fixed distance. ``discard_overlap``: speech of the other side that ended
+    while this one spoke is not answered.
+    """
+
+    def __init__(
+        self,
+        wait_other: int = 2,
+        wait_self: int = 4,
+        yield_interrupted: int | None = 2,
+        yield_interrupting: int | None = 5,
+        backchannel_every: int | None = None,
+        backchannel_min: int | None = None,
+        backchannel_max: int | None = None,
+        rate: float = 0.0,
+        tick_seconds: float = 0.05,
+        check_every: int | None = None,
+        variance: float = 0.0,
+        discard_overlap: bool = False,
+    ):
         self.wait_other, self.wait_self = wait_other, wait_self
         self.yield_interrupted, self.yield_interrupting = yield_interrupted, yield_interrupting
-        self.backchannel_every = backchannel_every
-
-    def step(self, s: dict, own: bool, other: bool, tool: bool) -> str:
+        self.backchannel_min = backchannel_min if backchannel_every is None else backchannel_every
+        self.backchannel_max = backchannel_max if backchannel_every is None else backchannel_every
+        self.chance = 1.0 - math.exp(-rate * tick_seconds)
+        self.check_every, self.variance, self.discard_overlap = check_every, variance, discard_overlap
+
+    def over(self, value: int, threshold: int, draw: float) -> bool:
+        """Whether a threshold is reached: never below it, always ``variance`` above it, with rising chance between."""
+        if value < threshold or value >= threshold + self.variance:
+            return value >= threshold
+        return draw < (value - threshold) / self.variance
+
+    def acknowledges(self, since: int, draw: float) -> bool:
+        if self.backchannel_min is None or since < self.backchannel_min:
+            return False
+        return self.backchannel_max is not None and since >= self.backchannel_max or draw < self.chance
+
+    def step(self, s: dict, own: bool, other: bool, tool: bool, interrupts: bool = False, acknowledges: bool = False, back: bool = False, holds: bool = False, draw: float = 1.0) -> str:
         """Advance the state by one tick and decide."""
+        s["ticks"] += 1
         s["own_run"] = s["own_run"] + 1 if own else 0
         s["other_run"] = s["other_run"] + 1 if other else 0
         s["since_own"] = 0 if own else s["since_own"] + 1
@@ -78,42 +123,64 @@ class Policy:
         s["heard"] += other
         s["since_back"] += 1
         if own:
-            if not other:
-                return "keep_talking"
-            limit = self.yield_interrupting if s["own_run"] < s["other_run"] else self.yield_interrupted
-            if self.yield_interrupted is not None and limit is not None and s["other_run"] >= limit:
-                return "stop_talking"
-            return "keep_talking"
+            return self._speaking(s, other, back, holds, draw)
         if tool:
             return "generate_message"
         if other:
-            if self.backchannel_every is not None and s["since_back"] >= self.backchannel_every:
+            if self.check_every is None or s["ticks"] % self.check_every == 0:
+                if interrupts:
+                    return "generate_message"
+                if acknowledges:
+                    s["since_back"] = 0
+                    return "backchannel"
+            if self.acknowledges(s["since_back"], draw):
                 s["since_back"] = 0
                 return "backchannel"
             return "wait"
-        if s["heard"] and s["since_other"] >= self.wait_other and s["since_own"] >= self.wait_self:
+        if s["heard"] and self.over(s["since_other"], self.wait_other, draw) and self.over(s["since_own"], self.wait_self, draw):
             s["heard"] = 0
             return "generate_message"
         return "wait"
 
+    def _speaking(self, s: dict, other: bool, back: bool, holds: bool, draw: float) -> str:
+        if back:
+            return "keep_talking"
+        if other:
+            limit = self.yield_interrupting if holds or s["own_run"] < s["other_run"] else self.yield_interrupted
+            yields = self.yield_interrupted is not None and limit is not None and self.over(s["other_run"], limit, draw)
+            return "stop_talking" if yields else "keep_talking"
+        if self.discard_overlap:
+            s["heard"] = 0
+        return "keep_talking"
+
     @staticmethod
     def start() -> dict:
-        return {"own_run": 0, "other_run": 0, "since_own": 0, "since_other": 0, "heard": 0, "since_back": 0}
+        return dict.fromkeys(_STATE, 0)
+
+
+_STATE = ("ticks", "own_run", "other_run", "since_own", "since_other", "heard", "since_back")
+
+
+def _with_signals(df: DataFrame, key: str, tick: str) -> DataFrame:
+    more = [F.coalesce(F.col(c), F.lit(v)).alias(c) if c in df.columns else F.lit(v).alias(c) for c, v in SIGNALS.items()]
+    return df.select(key, tick, "own", "other", "tool", *more)
 
 
-_STATE = ("own_run", "other_run", "since_own", "since_other", "heard", "since_back")
+def _decide(policy: Policy, s: dict, f: pd.DataFrame) -> list[str]:
+    rows = f[["own", "other", "tool", *SIGNALS]].itertuples(index=False)
+    return [policy.step(s, *map(bool, r[:-1]), float(r[-1])) for r in rows]
 
 
 def decisions(df: DataFrame, policy: Policy, key: str = "conv_id", tick: str = "tick_id") -> DataFrame:
-    """``key, tick, action`` of batch ticks (columns own, other, tool): one fold a conversation."""
+    """``key, tick, action`` of batch ticks (columns own, other, tool and any of ``SIGNALS``): one fold a conversation."""
     schema = f"{key} {dict(df.dtypes)[key]}, {tick} {dict(df.dtypes)[tick]}, action string"
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f, s = f.sort_values(tick), Policy.start()
-        f["action"] = [policy.step(s, bool(a), bool(b), bool(c)) for a, b, c in zip(f["own"], f["other"], f["tool"])]
+        f = f.sort_values(tick)
+        f["action"] = _decide(policy, Policy.start(), f)
         return f[[key, tick, "action"]]
 
-    return df.select(key, tick, "own", "other", "tool").groupBy(key).applyInPandas(run, schema)
+    return _with_signals(df, key, tick).groupBy(key).applyInPandas(run, schema)
 
 
 def decision_stream(df: DataFrame, policy: Policy, key: str = "conv_id", tick: str = "tick_id", timeout_ms: int | None = None) -> DataFrame:
@@ -128,14 +195,14 @@ def decision_stream(df: DataFrame, policy: Policy, key: str = "conv_id", tick: s
             return
         s = dict(zip(_STATE, g.get)) if g.exists else Policy.start()
         f = pd.concat(list(frames)).sort_values(tick)
-        f["action"] = [policy.step(s, bool(a), bool(b), bool(c)) for a, b, c in zip(f["own"], f["other"], f["tool"])]
+        f["action"] = _decide(policy, s, f)
         g.update(tuple(int(s[c]) for c in _STATE))
         if timeout_ms is not None:
             g.setTimeoutDuration(timeout_ms)
         yield f[[key, tick, "action"]]
 
     kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
-    return df.select(key, tick, "own", "other", "tool").groupBy(key).applyInPandasWithState(run, out, state, "append", kind)
+    return _with_signals(df, key, tick).groupBy(key).applyInPandasWithState(run, out, state, "append", kind)
 
 
 def backchannel(since: Column, heard: Column, least: int, most: int, rate: float, tick_seconds: float, draw: Column) -> Column:
