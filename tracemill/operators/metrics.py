@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracemill.operators.ordered import running_total
+
 INFRA = "infrastructure_error"
 EPS = 1e-6
 
@@ -287,6 +289,31 @@ def run_summary(runs: DataFrame, *by: str) -> DataFrame:
     return d.select("*", share("auth"), share("db"), share("reward"))
 
 
+def mean_rows(frame: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Feed of a chart with error bars: one row a group and measure with its mean, sample deviation and count, nulls apart."""
+    g = frame.groupBy(*by).agg(*[f(m).alias(f"{m}_{n}") for m in measures for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("n", F.count))])
+    rows = F.array(*[F.struct(F.lit(m).alias("measure"), *[F.col(f"{m}_{n}").alias(n) for n in ("mean", "std", "n")]) for m in measures])
+    return g.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+
+
+def placed(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """``df`` with each row's place in the order, from 1."""
+    return running_total(df, list(order), F.lit(1), name)
+
+
+def newest(df: DataFrame, date: str, first: int, *ties: Column) -> DataFrame:
+    """The first rows by their date as text, the latest first and a missing one last: texts are compared, so a month goes before a year."""
+    return df.orderBy(F.desc(F.coalesce(F.col(date), F.lit(""))), *ties).limit(first)
+
+
+def frequent(df: DataFrame, value: str, least: float) -> DataFrame:
+    """``value, n, frequency`` of the values that make up more than a share of all rows, most frequent first."""
+    g = df.groupBy(value).agg(F.count("*").alias("n"))
+    total = g.agg(F.sum("n").alias("total"))
+    g = g.crossJoin(F.broadcast(total)).select(value, "n", (F.col("n") / F.col("total")).alias("frequency"))
+    return g.where(F.col("frequency") > least).orderBy(F.desc("frequency"), value)
+
+
 def share_rows(runs: DataFrame, by: Sequence[str], flags: Mapping[str, Column]) -> DataFrame:
     """Feed of a bar chart: one row a group and measure with its share in percent and the size of its base (rows where it is not null)."""
     g = runs.groupBy(*by).agg(*[x for k, c in flags.items() for x in (F.avg(c.cast("double")).alias(f"{k}_share"), F.count(c).alias(f"{k}_base"))])
