@@ -3,7 +3,7 @@
 import pytest
 from compare import check, connect
 
-from tracemill.plans import compare_queries, evaluation_queries, lookup_queries, metric_queries, ordered_queries, registry, report_queries, source_queries, state_queries, stream_queries, text_queries  # noqa: F401
+from tracemill.plans import compare_queries, domain_queries, evaluation_queries, lookup_queries, metric_queries, ordered_queries, registry, report_queries, source_queries, state_queries, stream_queries, text_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")

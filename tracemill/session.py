@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +41,25 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_PARENTS: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system; a gateway that is gone already leaves it."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception as e:
+        warnings.warn(f"left behind: {path} ({e})", stacklevel=2)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared checkpoint folder. Those of a session have one parent, which goes when the driver's process ends."""
+    parent = f"{shared_folder(spark)}/scratch"
+    if parent not in _PARENTS:
+        _PARENTS.add(parent)
+        atexit.register(_remove, spark, parent)
+    return f"{parent}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
