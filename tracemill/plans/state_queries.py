@@ -188,3 +188,38 @@ def viewer_nodes(t: Tables) -> DataFrame:
     m = t.conversations.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("pos"), role.alias("role"), F.col("text").alias("content"), F.when(F.col("role") == "assistant", call).alias("calls"))
     features = t.conversations.select(F.col("conv_id").alias("run_id")).distinct().where("run_id % 3 > 0").withColumn("failure_type", F.concat(F.lit("f"), (F.col("run_id") % 3).cast("string")))
     return RP.viewer_rows(m, features).select("run_id", long("node").alias("node"), "depth", "kind", "text", "failure_type")
+
+
+@query("""
+with a as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as seq, ['get', 'login', 'update'][((conv_id + turn) % 3 + 1)::int] as name, (conv_id + turn) % 5 = 0 as bad from conversations where role = 'assistant'),
+c as (select *, lag(name) over (partition by conv_id order by seq) is distinct from name as new from a),
+g as (select conv_id, coalesce(string_agg(name, '>' order by seq) filter (where new), '') as tools, max(name) filter (where name = 'update') as writes, min(seq) filter (where name = 'update') as w, min(seq) filter (where name = 'login') as l, count(*) filter (where bad) as errors from c group by 1),
+u as (select u.conv_id, min((select count(*) from a where a.conv_id = u.conv_id and a.turn < u.turn)) as yes from conversations u where u.role = 'user' and u.conv_id % 2 = 0 group by 1),
+r as (select distinct conv_id, ['pass', 'db_only', 'nl_only', 'mixed'][(conv_id % 4 + 1)::int] as failure from conversations)
+select r.conv_id as run_id, failure as failure_type, coalesce(tools, '') as tools, coalesce(writes, '') as writes, case when g.conv_id is null then null when w is null then true else coalesce(l < w, false) end as auth_before_mutate, case when w is not null then coalesce(yes < w, false) end as confirm_before_write, errors as num_env_errors,
+  case when failure = 'pass' then 'pass' when failure = 'nl_only' then 'comm_miss' when writes is null then 'stalled_no_action' else 'other' end as mechanism,
+  case failure when 'db_only' then 'db=unknown' when 'nl_only' then 'nl=says hello' when 'mixed' then 'db=unknown | nl=says hello' else 'chain=' || coalesce(writes, nullif(replace(tools, '>', '->'), ''), 'no_tools') end as signature
+from r left join g using (conv_id) left join u using (conv_id)
+""")
+def run_features(t: Tables) -> DataFrame:
+    """One wide row a run, out of its messages, calls, results and reward: chains, flags, errors, class, mechanism, signature."""
+    c = t.conversations
+    run, none = F.col("conv_id").alias("run_id"), F.lit(None).cast("array<struct<id:string,name:string>>")
+    n = F.col("conv_id") + F.col("turn")
+    call = F.concat_ws("-", "conv_id", "turn")
+    name = F.get(F.array(*[F.lit(x) for x in ("get", "login", "update")]), (n % 3).cast("int"))
+    text = F.lit(None).cast("string")
+    row = lambda pos, role, calls, ids, error, content: (run, pos.alias("pos"), F.lit(role).alias("role"), calls.alias("calls"), ids.alias("tool_call_id"), error.alias("error"), content.alias("content"))
+    said = c.where("role = 'user'").select(*row(F.col("turn") * 2, "user", none, text, F.lit(False), F.when(F.col("conv_id") % 2 == 0, "yes, go on").otherwise("hm")))
+    agent = c.where("role = 'assistant'")
+    asked = agent.select(*row(F.col("turn") * 2, "assistant", F.array(F.struct(call.alias("id"), name.alias("name"))), text, F.lit(False), F.lit("")))
+    got = agent.select(*row(F.col("turn") * 2 + 1, "tool", none, call, n % 5 == 0, F.lit("Error: no")))
+    k = F.col("conv_id") % 4
+    part = lambda x, bad: F.struct(F.lit(x).alias("key"), F.when(bad, 0.0).otherwise(1.0).alias("value"))
+    info = F.struct(
+        F.when(k == 0, 1.0).otherwise(0.0).alias("reward"), F.array(F.lit("DB"), F.lit("NL_ASSERTION")).alias("reward_basis"), F.map_from_entries(F.array(part("DB", k.isin(1, 3)), part("NL_ASSERTION", k.isin(2, 3)))).alias("reward_breakdown"),
+        F.struct(F.lit(True).alias("db_match")).alias("db_check"), F.array(F.struct(F.lit("says hello").alias("nl_assertion"), (~k.isin(2, 3)).alias("met"))).alias("nl_assertions"), F.lit(None).cast("array<struct<met:boolean>>").alias("communicate_checks"),
+    )
+    runs = c.select("conv_id").distinct().select(run, info.alias("reward_info"), F.lit("user_stop").alias("termination_reason"))
+    d = TR.features(runs, said.unionByName(asked).unionByName(got), ["update"], ["login"])
+    return d.select("run_id", "failure_type", F.array_join("tool_chain", ">").alias("tools"), F.array_join("write_chain", ">").alias("writes"), "auth_before_mutate", "confirm_before_write", "num_env_errors", "mechanism", "signature")
