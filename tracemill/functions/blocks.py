@@ -16,6 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def samples(pcm: Column) -> Column:
+    """16-bit little-endian samples as an array of numbers; an odd byte at the end is left out."""
+    both = F.regexp_extract_all(F.hex(pcm), F.lit("[0-9A-F]{4}"), F.lit(0))
+    whole = F.transform(both, lambda h: F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("int"))
+    return F.transform(whole, lambda x: F.when(x > 32767, x - 65536).otherwise(x))
+
+
 def cut_blocks(df: DataFrame, key: str, pcm: str, samples: int) -> DataFrame:
     """``key, block, pcm``: tracks in blocks of ``samples``, the last one shorter; an odd byte at the end is left out."""
     size = 2 * samples

@@ -88,9 +88,7 @@ def overlay_tracks(t: Tables) -> DataFrame:
     """Tracks laid over each other by the clock of their mix, in cells of half a thousand samples."""
     d = t.documents.select((F.col("doc_id") % 10).alias("mix"), "doc_id", F.encode("text", "utf-8").alias("pcm"))
     cells = B.overlay(d, "mix", F.col("doc_id") * 37, "pcm", 500)
-    s = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.conv(F.concat(F.substr(F.hex("pcm"), 4 * i + 3, F.lit(2)), F.substr(F.hex("pcm"), 4 * i + 1, F.lit(2))), 16, 10).cast("int"))
-    signed = F.transform(s, lambda x: F.when(x > 32767, x - 65536).otherwise(x))
-    d = cells.select("mix", "cell", signed.alias("s"))
+    d = cells.select("mix", "cell", B.samples(F.col("pcm")).alias("s"))
     # A cell has silence where no track is; the loudest sample is one that a track made.
     return d.select("mix", "cell", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), long(F.array_max(F.filter("s", lambda x: x != 0))).alias("loudest"))
 
@@ -103,8 +101,7 @@ def filter_blocks(t: Tables) -> DataFrame:
     """A filter over tracks that are cut into blocks of 64 samples."""
     d = B.cut_blocks(t.documents.select("doc_id", F.encode("text", "utf-8").alias("pcm")), "doc_id", "pcm", 64)
     d = B.filter_blocks(d, "doc_id", [0.5, 0.25, -0.125])
-    s = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.concat(F.substr(F.hex("pcm"), 4 * i + 3, F.lit(2)), F.substr(F.hex("pcm"), 4 * i + 1, F.lit(2))), 16, 10).cast("int"))
-    total = F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.when(x > 32767, x - 65536).otherwise(x), F.lit(0)))
+    total = F.aggregate(B.samples(F.col("pcm")), F.lit(0).cast("long"), lambda a, x: a + x)
     return d.select("doc_id", "block", long(F.octet_length("pcm") / 2).alias("samples"), total.alias("total"))
 
 
@@ -114,8 +111,8 @@ def audio_codecs(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.encode("text", "utf-8").alias("pcm")).where("octet_length(pcm) % 2 = 0 and octet_length(pcm) > 0")
     d = d.withColumn("m", S.from_mulaw(S.to_mulaw("pcm"))).withColumn("a", S.from_alaw(S.to_alaw("pcm")))
     same = lambda c, there, back: F.col(c) == back(there(c))
-    high = lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("pcm") / 2 - 1).cast("int")), lambda i: F.conv(F.substr(F.hex(c), 4 * i + 3, F.lit(2)), 16, 10).cast("int"))
-    close = F.forall(F.arrays_zip(high("pcm").alias("x"), high("m").alias("y")), lambda p: F.least(F.pmod(p["x"] - p["y"], F.lit(256)), F.pmod(p["y"] - p["x"], F.lit(256))) <= 4)
+    # A step of the loudest segment is 1,024 of the full scale's 65,536.
+    close = F.forall(F.arrays_zip(B.samples(F.col("pcm")).alias("x"), B.samples(F.col("m")).alias("y")), lambda p: F.abs(p["x"] - p["y"]) <= 1024)
     return d.select("doc_id", long(F.octet_length("pcm") / 2).alias("samples"), same("m", S.to_mulaw, S.from_mulaw).alias("mulaw_stays"), same("a", S.to_alaw, S.from_alaw).alias("alaw_stays"), close.alias("close"))
 
 
