@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.operators.ordered import running_total
 from tracemill.session import cut
@@ -133,7 +134,11 @@ def in_blocks(d: DataFrame, q: DataFrame) -> DataFrame:
 
 def grep_top_k(docs: DataFrame, queries: DataFrame, k: int, doc: str, text: str, query: str, pattern: str, ignore_case: bool = True) -> DataFrame:
     """``query, doc, score, rank``: the k documents with most matches of each query's pattern. The patterns are a column, so one pass over the documents matches a block of them."""
-    valid = F.udf(lambda p: valid_pattern(p, ignore_case) if p is not None else None, "string")
+
+    @F.arrow_udf(T.StringType())
+    def valid(patterns: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else valid_pattern(p, ignore_case) for p in patterns.to_pylist()], pa.string())
+
     q = queries.select(F.col(query).alias("query"), valid(F.col(pattern)).alias("pattern"))
     d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("body"))
     score = F.regexp_count("body", F.col("pattern")).cast("double").alias("score")
